@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import decontaminate, recompression, shared, suffixes
+from fathom.llm import decontaminate, huffman, packing, recompression, shared, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,13 +27,28 @@ def op2_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return out.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.read_files(huffman.write_files(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
+
+
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.dedup_bytes(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_recompression, op8_suffix_array)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_recompression, op5_packing, op6_token_files, op8_suffix_array)}
 
 
 def oracle_sql() -> dict[str, str]:
