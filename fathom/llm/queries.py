@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import decontaminate, huffman, packing, recompression, shared, suffixes
+from fathom.llm import decontaminate, huffman, near_copies, packing, recompression, shared, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op2_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.near_copies(table(spark, sf_dir, "documents"))
+
+
 def tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -48,7 +52,7 @@ def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_recompression, op5_packing, op6_token_files, op8_suffix_array)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_recompression, op3_lsh_forest, op5_packing, op6_token_files, op8_suffix_array)}
 
 
 def oracle_sql() -> dict[str, str]:
