@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import decontaminate, huffman, near_copies, packing, recompression, shared, suffixes
+from fathom.llm import decontaminate, huffman, near_copies, packing, quality, recompression, shared, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,14 +46,19 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_files(huffman.write_files(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
 
 
+def op7_line_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judged(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.dedup_bytes(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_recompression, op3_lsh_forest, op5_packing, op6_token_files, op8_suffix_array)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_recompression, op3_lsh_forest, op5_packing, op6_token_files, op7_line_first, op8_suffix_array)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_first": quality.ORACLE_SQL}
