@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import decontaminate, huffman, near_copies, packing, quality, recompression, shared, suffixes
+from fathom.llm import decontaminate, huffman, licenses, near_copies, packing, quality, recompression, shared, suffixes, templates
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = templates.deduped(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines_dropped", shared.hex_digest(F.coalesce("text", F.lit(""))).alias("kept_sha256"))
+
+
 def tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -56,9 +61,13 @@ def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_recompression, op3_lsh_forest, op5_packing, op6_token_files, op7_line_first, op8_suffix_array)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_recompression, op3_lsh_forest, op4_line_templates, op5_packing, op6_token_files, op7_line_first, op8_suffix_array, op10_license_digests)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_first": quality.ORACLE_SQL}
+    return {"op4_line_templates": templates.ORACLE_SQL, "op7_line_first": quality.ORACLE_SQL, "op10_license_digests": licenses.oracle_sql()}
