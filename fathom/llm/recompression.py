@@ -23,8 +23,6 @@ WORD = S.table_of(S.SPACES)
 ROUNDS = 3
 #: Words in a named run or pair at most.
 CAP = 16
-#: A symbol that depends on more words than this is no anchor.
-REACH = 24
 U = np.uint64
 
 
@@ -108,21 +106,13 @@ class Words(R.Method):
     def anchors(self, values, first):
         n = len(values)
         best = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-        names = np.zeros(n, np.uint64)
-        for depth, level in enumerate(levels(values, first)):
-            good = np.flatnonzero(~level.edge & (level.high - level.low <= REACH))
-            hashed = S.mixed(level.name[good], 40 + depth)
-            rank = U(ROUNDS - depth) << U(62) | (hashed >> U(26)) << U(24) | level.low[good].astype(np.uint64)
-            order = np.argsort(rank)[::-1]  # where several depend on the same first word, the best is written last
-            lows = level.low[good][order]
-            ours, title = np.full(n, np.iinfo(np.uint64).max, np.uint64), np.zeros(n, np.uint64)
-            ours[lows] = rank[order]
-            title[lows] = hashed[order]
-            better = ours < best
-            best[better], names[better] = ours[better], title[better]
-        least = R.lowest(best, R.WIDTH - REACH + 1)[: n - R.WIDTH + 1]
-        place = (least & U((1 << 24) - 1)).astype(np.int64)
-        return names[np.minimum(place, n - 1)], place
+        for depth, level in enumerate(levels(values, first)):  # a symbol stands where the words begin that it depends on
+            good = np.flatnonzero(~level.edge & (level.high - level.low <= R.REACH))
+            low = level.low[good]
+            rank = U(ROUNDS - depth) << U(62) | (S.mixed(level.name[good], 40 + depth) >> U(26)) << U(24) | low.astype(np.uint64)
+            np.minimum.at(best, low, rank)
+        least = R.lowest(best, R.WIDTH - R.REACH + 1)[: n - R.WIDTH + 1]
+        return (least & U((1 << 24) - 1)).astype(np.int64)
 
     def piece(self, block, start, count):
         at = np.repeat(start, count) + R.ramp(count)

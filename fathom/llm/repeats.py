@@ -3,17 +3,19 @@
 The texts are stored once, as blocks of whole documents in a table bucketed by block. Every window of WIDTH consecutive
 units picks an anchor inside itself by a rule that sees nothing but the window, so equal windows pick the same anchor at
 the same place. Neighbouring windows mostly pick the same one; a stretch of windows with one anchor is an occurrence, and
-the units under it are its region. Three exchanges follow. In each, a block sends packed arrays to buckets and gets bits
-back; the bits are joined to the bucketed blocks, so only they are shuffled.
-
-1. names of anchors (40 bits, each once a block): which are in two documents? The rest of the text is done with.
-2. regions of shared anchors (each once a block, with its smallest doc_id): all but the first copy of a region go. Only
-   where an anchor stands in several different regions the first copies are looked at further (the edges of repeats).
+the units under it are its region. A window that starts LEFT units or more before its anchor covers the anchor's left
+context, any other one its right context; so equal windows have a context of 37 or 38 units in common. Three exchanges
+follow. In each, a block sends packed arrays to buckets and gets bits back; the bits are joined to the bucketed blocks, so
+only they are shuffled.
+
+1. names of contexts (40 bits, each once a block): which are in two documents? Other occurrences are done with.
+2. regions (each once a block, with its smallest doc_id): all but the first copy of a region go. And contexts (each once a
+   block): which stand in several different regions? Only there first copies are looked at further (the edges of repeats).
 3. windows of those first copies: which one stands in a document with a smaller doc_id?
 
-Names only ever choose what is looked at more closely in 1; in 2 regions are told apart by 64 bits besides the name of
-the anchor. An anchor found in more than HOT blocks is dealt by its regions (2) and windows (3) instead of its name, so no
-bucket grows with one key. The number of buckets follows the size of the texts.
+Names of contexts only choose what is looked at more closely; regions are told apart by 96 bits. A context found in more
+than HOT blocks has its windows dealt one by one in 3, so no bucket grows with one key; in 1 and 2 a key is sent once by a
+block at most. The number of buckets follows the size of the texts.
 
 A null doc_id counts as larger than all others, and as equal to another null.
 """
@@ -31,10 +33,14 @@ from pyspark.sql import functions as F
 from fathom.llm import shared as S
 
 WIDTH = 50
-#: An anchor in more blocks than this is dealt by what is around it.
+#: Units from a window's anchor that the window covers at least; the choice of the anchor depends on no more.
+REACH = 24
+#: The left context starts so many units before the anchor.
+LEFT = 13
+#: A context in more blocks than this has its windows dealt one by one.
 HOT = 64
 #: Bytes of text for each bucket of an exchange.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 #: Units that are looked at in one go; the windows' places must fit in 24 bits.
 STEP = 1 << 20
 NULL_ID = np.iinfo(np.int64).max
@@ -49,8 +55,8 @@ class Method:
         """A 64-bit value for each unit, and each row's first unit (with the number of units at the end)."""
         raise NotImplementedError
 
-    def anchors(self, values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For every window start, a name of the anchor and its place (both are ignored where no window fits)."""
+    def anchors(self, values: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """For every window start, the place of its anchor: at most WIDTH - REACH units on (ignored where no window fits)."""
         raise NotImplementedError
 
     def piece(self, block: Block, start: np.ndarray, count: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -76,38 +82,47 @@ def lowest(values: np.ndarray, width: int) -> np.ndarray:
     return values
 
 
+def occurrences(method: Method, values: np.ndarray, first: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows in each occurrence, and how far its anchor is from its first window's start. In order, they tile all windows."""
+    places, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    n = int(first[-1])
+    row_end = np.repeat(first[1:], np.diff(first))
+    for low in range(0, n - WIDTH + 1, step):
+        high = min(n, low + step + WIDTH - 1)
+        place = method.anchors(values[low:high], np.unique(np.clip(first, low, high)) - low)
+        fits = np.flatnonzero(row_end[low : high - WIDTH + 1] - np.arange(low, high - WIDTH + 1) >= WIDTH)
+        places.append(place[fits] + low)
+        starts.append(fits + low)
+    place, start = np.concatenate(places), np.concatenate(starts)
+    new = np.ones(len(start), bool)
+    new[1:] = (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)
+    opens = np.flatnonzero(new)
+    return np.diff(np.append(opens, len(start))).astype(np.uint8), (place - start)[opens].astype(np.uint8)
+
+
 class Block:
-    """One block's anchors, occurrences and entries; the same each time it is made from the same row."""
+    """One block's occurrences, contexts and regions; the same each time it is made from the same row."""
 
-    def __init__(self, method: Method, row: dict, buckets: int, step: int = STEP):
-        self.method, self.buckets = method, buckets
+    def __init__(self, method: Method, row: dict, buckets: int):
+        self.buckets = buckets
         self.data, self.at = np.frombuffer(row["data"], np.uint8), np.frombuffer(row["at"], np.int64)
         self.ids = np.frombuffer(row["doc_ids"], np.int64)
-        self.values, self.first = method.units(self.data, self.at)
-        names, places, starts = [], [], []
-        n = self.first[-1]
-        row_end = np.repeat(self.first[1:], np.diff(self.first))
-        low = 0
-        while low + WIDTH <= n:
-            high = min(n, low + step + WIDTH - 1)
-            bounds = np.unique(np.clip(self.first, low, high)) - low
-            name, place = method.anchors(self.values[low:high], bounds)
-            fits = np.flatnonzero(row_end[low : high - WIDTH + 1] - np.arange(low, high - WIDTH + 1) >= WIDTH)
-            names.append(name[fits])
-            places.append(place[fits] + low)
-            starts.append(fits + low)
-            low += step
-        empty = np.zeros(0, np.int64)
-        name, place, start = (np.concatenate(x) if x else empty for x in (names, places, starts))
-        new = np.ones(len(start), bool)
-        new[1:] = (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)
-        opens = np.flatnonzero(new)
-        self.start, self.count = start[opens], np.diff(np.append(opens, len(start)))
-        doc = np.searchsorted(self.first, self.start, "right") - 1
-        # the same place in two rows of the block cannot be: windows of different rows never touch one anchor
-        self.doc = self.ids[doc] if len(doc) else empty
-        key = S.mixed(name[opens].astype(np.uint64), 3)
-        self.anchor, self.of = np.unique(self.bucketed(key), return_inverse=True)
+        values, self.first = method.units(self.data, self.at)
+        self.roll = S.Rolling(S.mixed(values.astype(np.uint64), 11), S.BASES[1])
+        self.count = np.frombuffer(row["counts"], np.uint8).astype(np.int64)
+        self.off = np.frombuffer(row["offs"], np.uint8).astype(np.int64)
+        before = np.append(0, np.cumsum(np.maximum(np.diff(self.first) - WIDTH + 1, 0)))  # windows of earlier rows
+        window = np.cumsum(self.count) - self.count
+        doc = np.searchsorted(before, window, "right") - 1
+        self.start = self.first[doc] + window - before[doc]
+        self.doc = self.ids[doc] if len(doc) else window
+        place = self.start + self.off
+        left, right = np.flatnonzero(self.off >= LEFT), np.flatnonzero(self.off - self.count + 1 < LEFT)
+        a = S.mixed(self.roll(place[left] - LEFT, place[left] + REACH), 3)
+        b = S.mixed(self.roll(place[right], place[right] + WIDTH - LEFT + 1), 4)
+        self.context, of = np.unique(self.bucketed(np.concatenate([a, b])), return_inverse=True)
+        self.left, self.right = np.full(len(self.start), -1), np.full(len(self.start), -1)
+        self.left[left], self.right[right] = of[: len(left)], of[len(left) :]
 
     def bucketed(self, key: np.ndarray) -> np.ndarray:
         return ((key >> U(44)) % U(self.buckets)) << U(40) | key & LOW40
@@ -122,54 +137,70 @@ class Block:
             yield int(bucket[low]), slice(low, high)
 
     def spread(self) -> np.ndarray:
-        """For each anchor: is it in two documents of this block?"""
-        low, high = np.full(len(self.anchor), NULL_ID), np.full(len(self.anchor), np.iinfo(np.int64).min)
-        np.minimum.at(low, self.of, self.doc)
-        np.maximum.at(high, self.of, self.doc)
-        return low < high
-
-    def entries(self, shared: np.ndarray, hot: np.ndarray) -> None:
-        """The regions of shared anchors, each once: key, region, smallest doc_id; the occurrences' entries."""
-        self.seen = np.flatnonzero(shared[self.of])
-        start, count = self.start[self.seen], self.count[self.seen]
-        self.roll = S.Rolling(S.mixed(self.values.astype(np.uint64), 11), S.BASES[1])
-        region = S.mixed(self.roll(start, start + count + WIDTH - 1), 5) + count.astype(np.uint64)
-        is_hot = hot[self.of[self.seen]]
-        key = np.where(is_hot, self.bucketed(S.mixed(region, 9)), self.anchor[self.of[self.seen]])
-        doc = self.doc[self.seen]
-        order = np.lexsort((start, doc, region, key))
+        """For each context: is it in two documents of this block?"""
+        return several(len(self.context), [self.left, self.right], [self.doc, self.doc])
+
+    def regions(self, shared: np.ndarray) -> None:
+        """The regions with a shared context, each once: key, name, smallest doc_id, contexts; the occurrences' regions."""
+        alive = np.append(shared, False)  # -1: no such context
+        self.seen = np.flatnonzero(alive[self.left] | alive[self.right])
+        start, count, doc = self.start[self.seen], self.count[self.seen], self.doc[self.seen]
+        left, right = self.left[self.seen], self.right[self.seen]
+        name = S.mixed(self.roll(start, start + count + WIDTH - 1), 5) + count.astype(np.uint64)
+        check = (self.context[np.where(left >= 0, left, right)] & U(0xFFFFFFFF)).astype(np.uint32) if len(name) else np.zeros(0, np.uint32)
+        key = self.bucketed(S.mixed(name, 9))
+        order = np.lexsort((start, doc, check, name, key))
         new = np.ones(len(order), bool)
-        new[1:] = (np.diff(key[order]) != 0) | (np.diff(region[order]) != 0)
+        new[1:] = (np.diff(name[order]) != 0) | (np.diff(check[order]) != 0)
         top = order[new]
-        self.entry_of = np.empty(len(order), np.int64)
-        self.entry_of[order] = np.cumsum(new) - 1
-        self.key, self.region, self.low_doc, self.is_hot = key[top], region[top], doc[top], is_hot[top]
-        self.entry_start, self.entry_count = start[top], count[top]
-
-    def pieces(self, edge: np.ndarray) -> None:
-        """The windows of the entries at edges, by bucket: one piece for an entry, or one for each window of a hot anchor."""
-        chosen = np.flatnonzero(edge)
-        times = np.where(self.is_hot[chosen], self.entry_count[chosen], 1)
-        entry = np.repeat(chosen, times)
-        step = np.arange(len(entry)) - np.repeat(np.cumsum(times) - times, times)
-        start = self.entry_start[entry] + step
-        single = self.is_hot[entry]
-        key = np.where(single, self.bucketed(S.mixed(self.roll(start, start + WIDTH), 13)), self.key[entry]) if len(entry) else np.zeros(0, np.uint64)
+        self.region_of = np.empty(len(order), np.int64)
+        self.region_of[order] = np.cumsum(new) - 1
+        self.key, self.name, self.check, self.low_doc = key[top], name[top], check[top], doc[top]
+        self.region_start, self.region_count, self.region_off = start[top], count[top], self.off[self.seen][top]
+        self.region_left, self.region_right = np.where(alive[left], left, -1)[top], np.where(alive[right], right, -1)[top]
+        self.live = np.unique(np.concatenate([self.region_left, self.region_right]))
+        self.live = self.live[self.live >= 0]
+
+    def live_names(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each live context: one of its regions, and whether it has several in this block."""
+        one = np.zeros(len(self.context), np.uint64)
+        for side in (self.region_left, self.region_right):
+            one[side[side >= 0]] = self.name[side >= 0]
+        both = several(len(self.context), [self.region_left, self.region_right], [self.name, self.name])
+        return one[self.live], both[self.live]
+
+    def pieces(self, smaller: np.ndarray, edge: np.ndarray, hot: np.ndarray) -> None:
+        """The windows of first copies at edges: those over the left context, and the others; or each by itself where it is hot."""
+        is_edge, is_hot = np.zeros(len(self.context) + 1, bool), np.zeros(len(self.context) + 1, bool)
+        is_edge[self.live], is_hot[self.live] = edge, hot
+        of_left = np.clip(self.region_off - LEFT + 1, 0, self.region_count)
+        found = []
+        for side, skip, count in ((self.region_left, np.zeros_like(of_left), of_left), (self.region_right, of_left, self.region_count - of_left)):
+            region = np.flatnonzero(is_edge[side] & ~smaller & (count > 0))
+            single = is_hot[side[region]]
+            times = np.where(single, count[region], 1)
+            step = ramp(times)
+            single, context = np.repeat(single, times), np.repeat(side[region], times)
+            many, region = np.repeat(count[region], times), np.repeat(region, times)
+            start = self.region_start[region] + skip[region] + step
+            key = np.where(single, self.bucketed(S.mixed(self.roll(start, start + WIDTH), 13)), self.context[context]) if len(region) else np.zeros(0, np.uint64)
+            found.append((key, region, start, np.where(single, 1, many)))
+        key, region, start, count = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(key, kind="stable")
-        self.piece_key, self.piece_entry, self.piece_start = key[order], entry[order], start[order]
-        self.piece_count = np.where(single, 1, self.entry_count[entry])[order]
+        self.piece_key, self.piece_region, self.piece_start, self.piece_count = key[order], region[order], start[order], count[order]
 
-    def removed(self, smaller: np.ndarray, edge: np.ndarray, window_bits: np.ndarray) -> np.ndarray:
+    def removed(self, smaller: np.ndarray, window_bits: np.ndarray) -> np.ndarray:
         """For each unit: is it covered by a window that starts in a smaller document, too?"""
-        size = np.where(edge, self.entry_count, 0)
+        some = np.zeros(len(self.key), bool)
+        some[self.piece_region] = True
+        size = np.where(some, self.region_count, 0)
         base = np.cumsum(size) - size
         own = np.zeros(size.sum(), bool)
-        place = np.repeat(base[self.piece_entry] + self.piece_start - self.entry_start[self.piece_entry], self.piece_count) + ramp(self.piece_count)
-        own[place] = window_bits
-        start, count, doc, entry = self.start[self.seen], self.count[self.seen], self.doc[self.seen], self.entry_of
-        whole = (doc > self.low_doc[entry]) | smaller[entry]
-        part = np.flatnonzero(~whole & edge[entry])
-        lit = np.flatnonzero(own[np.repeat(base[entry[part]], count[part]) + ramp(count[part])])
+        own[np.repeat(base[self.piece_region] + self.piece_start - self.region_start[self.piece_region], self.piece_count) + ramp(self.piece_count)] = window_bits
+        start, count, doc, region = self.start[self.seen], self.count[self.seen], self.doc[self.seen], self.region_of
+        whole = (doc > self.low_doc[region]) | smaller[region]
+        part = np.flatnonzero(~whole & some[region])
+        lit = np.flatnonzero(own[np.repeat(base[region[part]], count[part]) + ramp(count[part])])
         part_start = (np.repeat(start[part], count[part]) + ramp(count[part]))[lit]
         cover = np.zeros(self.first[-1] + 1, np.int32)
         np.add.at(cover, start[whole], 1)
@@ -179,6 +210,19 @@ class Block:
         return np.cumsum(cover[:-1]) > 0
 
 
+def several(size: int, index: list[np.ndarray], values: list[np.ndarray]) -> np.ndarray:
+    """For each number below size: do different values stand at its places? -1 is no place."""
+    if not size:
+        return np.zeros(0, bool)
+    kind = np.iinfo(values[0].dtype)
+    low, high = np.full(size, kind.max, values[0].dtype), np.full(size, kind.min, values[0].dtype)
+    for i, v in zip(index, values, strict=True):
+        some = i >= 0
+        np.minimum.at(low, i[some], v[some])
+        np.maximum.at(high, i[some], v[some])
+    return low < high
+
+
 def ramp(counts: np.ndarray) -> np.ndarray:
     """0 ... c-1 for each c."""
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -212,34 +256,37 @@ def joined(answers: list[dict] | None, name: str, sizes: list[tuple[int, int]])
     return np.concatenate([flags(by[b], n) for b, n in sizes]) if sizes else np.zeros(0, bool)
 
 
-def answer_anchors(rows: list[dict], limit: int) -> list[tuple[bytes, bytes]]:
+def answer_names(rows: list[dict]) -> list[tuple[bytes, bytes]]:
+    """1: is a name in two blocks, or in two documents of one?"""
     keys = [widened(r["a"]) for r in rows]
     spread = [flags(r["b"], len(k)) for r, k in zip(rows, keys, strict=True)]
     _, of, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
     twice = times > 1
     twice[of[np.concatenate(spread)]] = True
-    ends = np.cumsum([len(k) for k in keys])[:-1]
-    return [(bits(x), bits(y)) for x, y in zip(np.split(twice[of], ends), np.split((times > limit)[of], ends), strict=True)]
+    return [(bits(x), b"") for x in np.split(twice[of], np.cumsum([len(k) for k in keys])[:-1])]
 
 
 def answer_regions(rows: list[dict]) -> list[tuple[bytes, bytes]]:
-    get = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])
-    sizes = [len(r["b"]) // 8 for r in rows]
-    key, region, doc = get("a", np.uint32), get("b", np.uint64), get("c", np.int64)
-    hot = np.concatenate([flags(r["d"], n) for r, n in zip(rows, sizes, strict=True)])
-    order = np.lexsort((doc, region, key))
-    new_key = np.diff(key[order].astype(np.int64), prepend=-1) != 0
-    new = new_key.copy()
-    new[1:] |= np.diff(region[order]) != 0
-    least = doc[order][new][np.cumsum(new) - 1]
-    of_key = np.cumsum(new_key) - 1
-    several = np.bincount(of_key, weights=new)[of_key] > 1
-    smaller, edge = np.empty(len(order), bool), np.empty(len(order), bool)
-    smaller[order] = doc[order] > least
-    edge[order] = several
-    edge = (edge | hot) & ~smaller
-    ends = np.cumsum(sizes)[:-1]
-    return [(bits(x), bits(y)) for x, y in zip(np.split(smaller, ends), np.split(edge, ends), strict=True)]
+    """2: is a region in a smaller document?"""
+    check, name, doc = (np.concatenate([np.frombuffer(r[c], kind) for r in rows]) for c, kind in (("a", np.uint32), ("b", np.uint64), ("c", np.int64)))
+    order = np.lexsort((doc, check, name))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(name[order]) != 0) | (np.diff(check[order]) != 0)
+    smaller = np.empty(len(order), bool)
+    smaller[order] = doc[order] > doc[order][new][np.cumsum(new) - 1]
+    return [(bits(x), b"") for x in np.split(smaller, np.cumsum([len(r["c"]) // 8 for r in rows])[:-1])]
+
+
+def answer_contexts(rows: list[dict], hot: int) -> list[tuple[bytes, bytes]]:
+    """2: does a context stand in several regions; is it in more than `hot` blocks?"""
+    keys = [widened(r["a"]) for r in rows]
+    name = np.concatenate([np.frombuffer(r["b"], np.uint64) for r in rows])
+    twice = np.concatenate([flags(r["d"], len(k)) for r, k in zip(rows, keys, strict=True)])
+    uniq, of, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    edge = several(len(uniq), [of], [name])
+    edge[of[twice]] = True
+    ends = np.cumsum([len(k) for k in keys])[:-1]
+    return [(bits(x), bits(y)) for x, y in zip(np.split(edge[of], ends), np.split((times > hot)[of], ends), strict=True)]
 
 
 SENT = "bucket int, block long, a binary, b binary, c binary, d binary"
@@ -252,8 +299,8 @@ def sent(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "block", "a", "b", "c", "d"])
 
 
-def blocked(docs: DataFrame, buckets: int, block_bytes: int) -> DataFrame:
-    """docs as blocks in a table of the shared warehouse, bucketed by block."""
+def blocked(docs: DataFrame, method: Method, buckets: int, block_bytes: int, step: int) -> DataFrame:
+    """docs as blocks, with their occurrences, in a table of the shared warehouse, bucketed by block."""
 
     def cut(batches):
         from pyspark import TaskContext
@@ -262,11 +309,12 @@ def blocked(docs: DataFrame, buckets: int, block_bytes: int) -> DataFrame:
         for rows in S.blocks(batches, block_bytes):
             data, at = S.utf8(rows.column("text"))
             ids = rows.column("doc_id").fill_null(NULL_ID).to_numpy().astype(np.int64)
-            yield pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int64()), "doc_ids": [ids.tobytes()], "at": [at.tobytes()], "data": [data.tobytes()]})
+            counts, offs = occurrences(method, *method.units(data, at), step)
+            yield pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int64()), "doc_ids": [ids.tobytes()], "at": [at.tobytes()], "data": [data.tobytes()], "counts": [counts.tobytes()], "offs": [offs.tobytes()]})
             number += 1
 
     spark, name = docs.sparkSession, f"fathom_blocks_{uuid.uuid4().hex}"
-    cut_rows = S.texts(docs).mapInArrow(cut, "block long, doc_ids binary, at binary, data binary")
+    cut_rows = S.texts(docs).mapInArrow(cut, "block long, doc_ids binary, at binary, data binary, counts binary, offs binary")
     cut_rows.write.format("parquet").option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(name)
     return spark.table(name)
 
@@ -275,53 +323,54 @@ def without_repeats(docs: DataFrame, method: Method, hot: int = HOT, block_bytes
     """For each row of docs: doc_id, n_units, n_removed, spans (removed units, maximal runs), kept (bytes that are left)."""
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    blocks = blocked(docs, parts, block_bytes)
+    blocks = blocked(docs, method, parts, block_bytes, step)
     size = blocks.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     buckets = min(1 << 20, max(16, size // BUCKET_BYTES))
 
-    def made(row: dict, upto: int) -> tuple:
-        """The block as far as the answers go, and what the last ones say."""
-        block = Block(method, row, buckets, step)
-        if upto < 1:
-            return (block,)
-        sizes = [(b, s.stop - s.start) for b, s in block.split(block.anchor)]
-        block.entries(joined(row["x1"], "x", sizes), joined(row["x1"], "y", sizes))
-        if upto < 2:
-            return (block,)
-        sizes = [(b, s.stop - s.start) for b, s in block.split(block.key)]
-        smaller, edge = joined(row["x2"], "x", sizes), joined(row["x2"], "y", sizes)
-        block.pieces(edge)
-        return block, smaller, edge
+    def made(row: dict, upto: int) -> Block:
+        """The block as far as the answers go."""
+        block = Block(method, row, buckets)
+        if upto >= 1:
+            block.regions(joined(row["x1"], "x", [(b, s.stop - s.start) for b, s in block.split(block.context)]))
+        if upto >= 2:
+            block.smaller = joined(row["x2"], "x", [(b, s.stop - s.start) for b, s in block.split(block.key)])
+            sizes = [(buckets + b, s.stop - s.start) for b, s in block.split(block.context[block.live])]
+            block.pieces(block.smaller, joined(row["x2"], "x", sizes), joined(row["x2"], "y", sizes))
+        return block
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for k in range(batch.num_rows):
                 yield batch.slice(k, 1).to_pylist()[0]
 
-    def send_anchors(batches):
+    def send_names(batches):
         for row in each(batches):
-            (block,) = made(row, 0)
+            block = made(row, 0)
             spread = block.spread()
-            yield sent([(b, row["block"], narrow(block.anchor[s] & LOW40), bits(spread[s]), b"", b"") for b, s in block.split(block.anchor)])
+            yield sent([(b, row["block"], narrow(block.context[s] & LOW40), bits(spread[s]), b"", b"") for b, s in block.split(block.context)])
 
     def send_regions(batches):
         for row in each(batches):
-            (block,) = made(row, 1)
-            yield sent([(b, row["block"], block.key[s].astype(np.uint32).tobytes(), block.region[s].tobytes(), block.low_doc[s].tobytes(), bits(block.is_hot[s])) for b, s in block.split(block.key)])
+            block = made(row, 1)
+            rows = [(b, row["block"], block.check[s].tobytes(), block.name[s].tobytes(), block.low_doc[s].tobytes(), b"") for b, s in block.split(block.key)]
+            context, (name, twice) = block.context[block.live], block.live_names()
+            yield sent(rows + [(buckets + b, row["block"], narrow(context[s] & LOW40), name[s].tobytes(), b"", bits(twice[s])) for b, s in block.split(context)])
 
     def send_windows(batches):
         for row in each(batches):
-            block, _, _ = made(row, 2)
+            block = made(row, 2)
             content, lengths = method.piece(block, block.piece_start, block.piece_count)
             ends = np.append(0, np.cumsum(lengths))
-            doc = block.low_doc[block.piece_entry]
-            yield sent([(b, row["block"], content[ends[s.start] : ends[s.stop]], block.piece_count[s].astype(np.uint32).tobytes(), doc[s].tobytes(), b"") for b, s in block.split(block.piece_key)])
+            doc = block.low_doc[block.piece_region]
+            yield sent([(b, row["block"], content[ends[s.start] : ends[s.stop]], block.piece_count[s].astype(np.uint8).tobytes(), doc[s].tobytes(), b"") for b, s in block.split(block.piece_key)])
+
+    def answer_second(rows: list[dict]) -> list[tuple[bytes, bytes]]:
+        return answer_regions(rows) if rows[0]["bucket"] < buckets else answer_contexts(rows, hot)
 
     def answer_windows(rows: list[dict]) -> list[tuple[bytes, bytes]]:
-        counts = [np.frombuffer(r["b"], np.uint32).astype(np.int64) for r in rows]
+        counts = [np.frombuffer(r["b"], np.uint8).astype(np.int64) for r in rows]
         found = method.settle(b"".join(r["a"] for r in rows), np.concatenate(counts), np.concatenate([np.frombuffer(r["c"], np.int64) for r in rows]))
-        ends = np.cumsum([c.sum() for c in counts])[:-1]
-        return [(bits(x), b"") for x in np.split(found, ends)]
+        return [(bits(x), b"") for x in np.split(found, np.cumsum([c.sum() for c in counts])[:-1])]
 
     def answered(source: DataFrame, send, answer, name: str) -> DataFrame:
         """The answers to what the blocks of source send, one row for each block."""
@@ -340,24 +389,22 @@ def without_repeats(docs: DataFrame, method: Method, hot: int = HOT, block_bytes
             out = out.join(a.hint("shuffle_hash"), "block", "left")
         return out
 
-    first = answered(blocks, send_anchors, lambda rows: answer_anchors(rows, hot), "x1")
-    second = answered(with_answers(first), send_regions, answer_regions, "x2")
+    first = answered(blocks, send_names, answer_names, "x1")
+    second = answered(with_answers(first), send_regions, answer_second, "x2")
     third = answered(with_answers(first, second), send_windows, answer_windows, "x3")
 
     def finish(batches):
         for row in each(batches):
-            block, smaller, edge = made(row, 2)
-            sizes = [(b, int(block.piece_count[s].sum())) for b, s in block.split(block.piece_key)]
-            gone = block.removed(smaller, edge, joined(row["x3"], "x", sizes))
+            block = made(row, 2)
+            gone = block.removed(block.smaller, joined(row["x3"], "x", [(b, int(block.piece_count[s].sum())) for b, s in block.split(block.piece_key)]))
             n_docs, first_unit = len(block.ids), block.first
             total = np.append(0, np.cumsum(gone))
-            opens = gone.copy()
+            some = first_unit[:-1] < first_unit[1:]
+            begin, last = first_unit[:-1][some], first_unit[1:][some] - 1
+            opens, closes = gone.copy(), gone.copy()
             opens[1:] &= ~gone[:-1]
-            begin = first_unit[:-1][first_unit[:-1] < first_unit[1:]]
             opens[begin] = gone[begin]
-            closes = gone.copy()
             closes[:-1] &= ~gone[1:]
-            last = first_unit[1:][first_unit[:-1] < first_unit[1:]] - 1
             closes[last] = gone[last]
             low, high = np.flatnonzero(opens), np.flatnonzero(closes) + 1
             doc = np.searchsorted(first_unit, low, "right") - 1

@@ -1,6 +1,6 @@
 """Substring dedup on bytes with blockwise suffix arrays.
 
-A window of 50 bytes is anchored at the gram of GRAM bytes inside it with the smallest hash; windows whose anchors stand in
+A window of 50 bytes is anchored at the gram of GRAM bytes inside it with the smallest hash; windows whose contexts stand in
 one document only are done with (see repeats.py). The rest is dealt into buckets, and each bucket's suffixes are sorted by
 themselves: by their first eight bytes and, where these tie, by the ranks of a sample. The sample holds the positions whose
 remainders modulo the period are in a difference cover, so any two suffixes have a common shift below the period that takes
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from fathom.llm import repeats as R
 from fathom.llm import shared as S
 
-GRAM = 24
+GRAM = R.REACH
 U = np.uint64
 #: Difference covers by period: every remainder is a difference of two of the numbers. Shifts stay within the eight bytes
 #: that tied suffixes share, so a period is 9 at most.
@@ -107,8 +107,7 @@ class Bytes(R.Method):
         roll = S.Rolling(S.mixed(np.arange(256, dtype=np.uint64), 31)[values], S.BASES[0])
         grams = S.mixed((roll.sums[GRAM:] - roll.sums[: n + 1 - GRAM]) * roll.inverse[: n + 1 - GRAM], 33)
         rank = (grams >> U(24)) << U(24) | np.arange(len(grams), dtype=np.uint64)
-        place = (R.lowest(rank, R.WIDTH - GRAM + 1) & U((1 << 24) - 1)).astype(np.int64)
-        return grams[place], place
+        return (R.lowest(rank, R.WIDTH - GRAM + 1) & U((1 << 24) - 1)).astype(np.int64)
 
     def piece(self, block, start, count):
         lengths = count + R.WIDTH - 1
