@@ -1,9 +1,11 @@
 """Token ids of whole texts by a public tokenizer, one dictionary of pieces per block.
 
-A text is cut where its tokenizer cuts anyway; each different piece of a block is encoded once and the ids are gathered.
-Byte-level BPE with the usual pattern (a space goes with what follows) is cut before a single space, and around a single
-line feed, between two characters that are no white space. A tokenizer that drops white space is cut at white space. Texts
-with special tokens, or white space outside ASCII, are encoded in one piece.
+A text is cut where its tokenizer cuts anyway, each different piece of a block is encoded once, and the ids are gathered.
+First come chunks: byte-level BPE with the usual pattern (a space goes with what follows) is cut before a single space, and
+around a single line feed, between two characters that are no white space; a tokenizer that drops white space is cut at
+white space. A chunk of Latin letters, digits and punctuation without apostrophe is then cut where the kind of character
+changes, which makes it pieces that only the tokenizer's merges have to see. All other chunks go through the whole tokenizer.
+So do, in one piece, texts with special tokens or with white space outside ASCII.
 """
 
 from __future__ import annotations
@@ -19,8 +21,35 @@ from fathom.llm import shared as S
 
 #: White space outside ASCII, as UTF-8.
 WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+#: What has one kind of character only, with a space before it or not.
+PLAIN = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
 #: Pieces that are remembered from block to block, at most.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
+SPACE, LETTER, DIGIT, MARK, ODD = range(5)
+
+
+def kinds() -> np.ndarray:
+    """The kind of each byte, if it stands alone."""
+    out = np.full(256, ODD, np.uint8)
+    out[0x21:0x7F] = MARK
+    out[0x30:0x3A] = DIGIT
+    out[0x41:0x5B] = out[0x61:0x7B] = LETTER
+    out[[0x20, 0x09, 0x0A, 0x0D]] = SPACE
+    out[0x27] = ODD  # an apostrophe may start a piece of its own
+    return out
+
+
+KINDS = kinds()
+
+
+def byte_names() -> dict[int, str]:
+    """Byte-level BPE's letter for each byte: itself if it is printable, else the next free one from 256 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+NAMES = byte_names()
 
 
 class Encoder:
@@ -28,17 +57,22 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        kept = self.tokenizer.pre_tokenizer.pre_tokenize_str("a b")
-        self.keeps_space = "".join(x for x, _ in kept) != "ab" and not any(x == "b" for x, _ in kept)
-        self.byte_level = isinstance(self.tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel)
+        split = lambda x: [t for t, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(x)]
+        self.keeps_space = split("ab c.d") == ["ab", NAMES[0x20] + "c", ".", "d"]
+        self.drops_space = split("ab c.d") == ["ab", "c", ".", "d"]
+        self.splits_digits = split("12") == ["1", "2"]
+        self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("AbÉ") == "abé"
+        self.plain = (self.keeps_space or self.drops_space) and split("é") == ["Ã©"] and (self.lowers or self.tokenizer.normalizer is None)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memory: dict[bytes, np.ndarray] = {}
+        self.memory: dict[bytes, list[int]] = {}
 
     def whole(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Rows that must not be cut."""
+        if not (self.keeps_space or self.drops_space):
+            return np.arange(len(at) - 1)
         text = data.tobytes()
         places = [m.start() for m in WIDE_SPACE.finditer(text)]
         for token in self.special:
@@ -50,47 +84,81 @@ class Encoder:
 
     def pieces(self, data: np.ndarray, at: np.ndarray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
         """The pieces of all rows, and each row's first piece."""
+        n = len(data)
         whole = self.whole(data, at)
-        if not self.keeps_space:
-            table = S.table_of(b" \n\t\r")
-            inside = table[data]
-            for k in whole:
-                inside[at[k] : at[k + 1]] = True
-            start, end, first = S.spans(inside.view(np.uint8), at, np.array([False, True] + [False] * 254))
-            return S.packed(data, start, end), first
-        dark = (data > 0x20) & (data != 0x7F)
-        between = np.zeros(len(data), bool)
-        between[1:-1] = dark[:-2] & dark[2:]
-        between[at[:-1][at[:-1] < at[1:]]] = False
-        between[at[1:][at[:-1] < at[1:]] - 1] = False
-        cut = np.zeros(len(data) + 1, bool)
-        feed = np.flatnonzero((data == 0x0A) & between)
-        cut[np.flatnonzero((data == 0x20) & between)] = True
-        cut[feed] = cut[feed + 1] = True
-        for k in whole if self.byte_level else range(len(at) - 1):
+        some = at[:-1] < at[1:]
+        head, last = at[:-1][some], at[1:][some] - 1
+        kind = KINDS[data]
+        pair = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0xBF) & (data[1:] != 0x97) & (data[1:] != 0xB7))
+        kind[pair] = kind[pair + 1] = LETTER
+        cut = np.zeros(n + 1, bool)
+        if self.keeps_space:
+            dark = (data > 0x20) & (data != 0x7F)
+            between = np.zeros(n, bool)
+            between[1:-1] = dark[:-2] & dark[2:]
+            between[head] = between[last] = False
+            space, feed = np.flatnonzero((data == 0x20) & between), np.flatnonzero((data == 0x0A) & between)
+            cut[space] = cut[feed] = cut[feed + 1] = True
+            kind[kind == SPACE] = ODD  # white space that goes with what follows it is of that kind, any other is odd
+            kind[space] = kind[space + 1]
+            inside = np.ones(n, bool)
+        else:
+            inside = kind != SPACE
+            cut[:-1] = inside
+            cut[1:-1] &= ~inside[:-1]
+        for k in whole:
             cut[at[k] : at[k + 1]] = False
-        cut[at] = True
-        edges = np.flatnonzero(cut)
-        out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), max(len(edges) - 1, 0), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
-        return out, np.searchsorted(edges, at)
+            kind[at[k] : at[k + 1]] = ODD
+            inside[at[k] : at[k + 1]] = True
+        cut[head] = inside[head]
+        if self.plain:
+            chunk = np.cumsum(cut[:-1])
+            odd = np.zeros((chunk[-1] if n else 0) + 1, bool)
+            odd[chunk[(kind == ODD) & inside]] = True
+            plain = ~odd[chunk] & inside
+            change = kind[1:] != kind[:-1]
+            if self.splits_digits:
+                change |= (kind[1:] == DIGIT) & (kind[:-1] == DIGIT)
+            cut[1:-1] |= change & plain[1:] & plain[:-1] & (chunk[1:] == chunk[:-1])
+            if self.lowers:
+                data = data.copy()
+                data[plain & (data >= 0x41) & (data <= 0x5A)] += 0x20
+                second = pair + 1
+                data[second[plain[second] & (data[second] <= 0x9E)]] += 0x20
+        start = np.flatnonzero(cut[:-1])
+        if inside.all():
+            edges = np.append(start, n)
+            out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+        else:
+            compact = np.append(0, np.cumsum(inside))
+            edges = np.append(compact[start], compact[-1])
+            out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[inside]))])
+        return out, np.searchsorted(start, at)
+
+    def ids_of(self, names: list[bytes]) -> list[list[int]]:
+        """The ids of these pieces."""
+        merge = self.tokenizer.model.tokenize
+        found = [[t.id for t in merge(x.decode("latin-1").translate(NAMES))] if self.plain and PLAIN.fullmatch(x) else None for x in names]
+        rest = [k for k, x in enumerate(found) if x is None]
+        fast = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        for low in range(0, len(rest), 50_000):
+            part = rest[low : low + 50_000]
+            for k, e in zip(part, fast([names[k].decode() for k in part], add_special_tokens=False), strict=True):
+                found[k] = e.ids
+        return found
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (32 bits), and each row's first one (with the number of ids at the end)."""
-        data, at = S.utf8(column)
-        pieces, first = self.pieces(data, at)
+        pieces, first = self.pieces(*S.utf8(column))
         named = pieces.dictionary_encode()
         names = named.dictionary.to_pylist()
         new = [x for x in names if x not in self.memory]
         if len(self.memory) + len(new) > REMEMBERED:
-            self.memory.clear()
-            new = names
-        fast = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for low in range(0, len(new), 50_000):
-            part = new[low : low + 50_000]
-            self.memory.update(zip(part, (np.array(e.ids, np.uint32) for e in fast([x.decode() for x in part], add_special_tokens=False)), strict=True))
+            self.memory = {x: self.memory[x] for x in names if x in self.memory}  # what this block has in common with earlier ones
+        self.memory.update(zip(new, self.ids_of(new), strict=True))
         found = [self.memory[x] for x in names]
         size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
+        flat = np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))
         base = np.cumsum(size) - size
         of = named.indices.to_numpy()
         count = size[of]

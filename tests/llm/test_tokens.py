@@ -18,7 +18,7 @@ ODD = [
 
 def random_texts(seed, n=80):
     r = random.Random(seed)
-    bits = [" ", " ", " ", "\n", "the", "Ünï", "don't", ".", ",", "12", "word", "\t", " ", "s", "'s", "日", "😀", "<|endoftext|>"]
+    bits = ["É", "×", "A", "B1", "--", " ", " ", " ", "\n", "the", "Ünï", "don't", ".", ",", "12", "word", "\t", " ", "s", "'s", "日", "😀", "<|endoftext|>"]
     return ["".join(r.choice(bits) for _ in range(r.choice([1, 5, 40, 300]))) for _ in range(n)]
 
 
