@@ -3,7 +3,7 @@
 A line's tokens that hold a digit are variable at once and become <*>. The tree has a fixed depth: the first level is the
 number of tokens, the next LEADING levels the leading tokens; a path of these is a leaf. Inside a leaf, a token stays if
 most of the leaf's different lines have it at that place, and becomes <*> if not; where a line keeps too few of its tokens,
-it is a template of its own. Leaves in which few lines recur are never looked into.
+it is a template of its own. A template that fixes fewer than half of its tokens says too little and never recurs. Leaves in which few lines recur are never looked into.
 
 How often a template recurs is counted in different surroundings, the pair of lines around it, for the lines of copied
 documents always stand in the same ones: a line is dropped if its template is found in MIN_PLACES different surroundings
@@ -63,6 +63,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     kept = F.size(F.filter("general", lambda t: t != "<*>"))
     template = F.when(F.col("fixed").isNotNull() & (kept * 100 >= F.size("tokens") * FIXED_PERCENT), F.array_join("general", " ")).otherwise(F.col("masked"))
     named = marked.select("leaf", "line", template.alias("template"), F.xxhash64("leaf", template).alias("t"))
+    named = named.filter(F.size(F.filter(F.split("template", " "), lambda t: t != "<*>")) * 2 >= F.size(F.split("template", " ")))
     found = here.select("key", "place", "leaf", "line", "around").join(named, ["leaf", "line"])
     found = S.stored(found.select("key", "place", "around", "t", "template"), "templates")
     places = found.select("t", "around").distinct().groupBy("t").agg(F.count("*").alias("places"))
@@ -104,7 +105,8 @@ c AS (SELECT leaf, pos, tok, count(*) c, max(o.m) m FROM t JOIN (SELECT leaf, co
 g AS (SELECT t.leaf, t.m, string_agg(CASE WHEN c.c * 100 >= c.m * {SHARE_PERCENT} AND c.m > 1 THEN tok ELSE '<*>' END, ' ' ORDER BY pos) g,
   count(*) FILTER (tok <> '<*>' AND c.c * 100 >= c.m * {SHARE_PERCENT} AND c.m > 1) fixed, count(*) n FROM t JOIN c USING (leaf, pos, tok) GROUP BY t.leaf, t.m),
 p AS (SELECT leaf, m, CASE WHEN fixed * 100 >= n * {FIXED_PERCENT} THEN g ELSE m END g FROM g),
-o AS (SELECT h.r, h.i, h.around, {{'l': leaf, 'g': p.g}} q FROM h JOIN p USING (leaf, m)),
+o AS (SELECT h.r, h.i, h.around, {{'l': leaf, 'g': p.g}} q FROM h JOIN p USING (leaf, m)
+  WHERE len(regexp_extract_all(' ' || replace(p.g, ' ', '  ') || ' ', ' <\*> ')) * 2 <= len(string_split(p.g, ' '))),
 rec AS (SELECT q FROM o GROUP BY q HAVING count(DISTINCT around) >= {MIN_PLACES} AND count(DISTINCT around) * 2 >= count(DISTINCT r)),
 z AS (SELECT r, i FROM o JOIN rec USING (q)),
 y AS (SELECT k.r, k.doc_id, k.text, string_agg(ls[u.i], chr(10) ORDER BY u.i) FILTER (z.i IS NULL) kept, count(z.i) n

@@ -18,6 +18,7 @@ def corpus():
         docs.append((k, "\n".join(lines)))
     docs += [(100 + k, docs[1][1]) for k in range(30)]  # copies: their lines stay
     docs += [(200, None), (201, ""), (202, "\n \n"), (203, "Posted by user1 on 1 at site"), (204, " Posted by user5 on 5 at site "), (203, "Posted by user1 on 1 at site"), (None, docs[0][1]), (205, "word " * 4000)]
+    docs += [(300 + k, f"{k} {k}\n{k}. item {k}\n{prose(5)}") for k in range(20)]  # mostly variable: stays
     return docs
 
 
