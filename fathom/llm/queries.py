@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import decontaminate, huffman, licenses, near_copies, packing, quality, recompression, shared, suffixes, templates
+from fathom.llm import decontaminate, huffman, licenses, near_copies, packing, quality, recompression, shared, suffixes, templates, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,12 +61,17 @@ def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_recompression, op3_lsh_forest, op4_line_templates, op5_packing, op6_token_files, op7_line_first, op8_suffix_array, op10_license_digests)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_recompression, op3_lsh_forest, op4_line_templates, op5_packing, op6_token_files, op7_line_first, op8_suffix_array, op9_counterfactual, op10_license_digests)}
 
 
 def oracle_sql() -> dict[str, str]:
