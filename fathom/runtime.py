@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -36,3 +37,16 @@ def shipping(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
         return query(spark, sf_dir)
 
     return run
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the folder all executors share (spark.checkpoint.dir; one of our own where it is unset) and read back, so
+    that its lineage ends there."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="fathom-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
