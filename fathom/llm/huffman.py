@@ -30,6 +30,8 @@ END = 2
 BLOCK = 256
 #: Bits of a code word at most.
 LIMIT = 18
+#: Ids that are encoded in one go; a multiple of BLOCK.
+STRETCH = 1 << 16
 #: Ids in a file, unless one document has more.
 FILE_IDS = 2_000_000
 
@@ -75,18 +77,34 @@ def canonical(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The bits of all ids, and each block's bit offset."""
-    size = lengths[ids].astype(np.int64)
-    at = np.cumsum(size) - size
-    total = int(size.sum())
-    out = np.zeros((total + 7) // 8 + 4, np.int64)
-    if len(ids):
-        shifted = codes[ids] << (32 - size - (at & 7)).astype(np.uint64)
-        byte = at >> 3
-        head = np.flatnonzero(np.diff(byte, prepend=-1))
-        for k in range(4):
-            out[byte[head] + k] += np.add.reduceat(((shifted >> np.uint64(24 - 8 * k)) & np.uint64(255)).astype(np.int64), head)
-    return out[: (total + 7) // 8].astype(np.uint8).tobytes(), at[::BLOCK]
+    """The bits of all ids, and each block's bit offset. A code word lies in one or two 32-bit words."""
+    widths = lengths.astype(np.int64)
+    offsets = np.zeros(-(-len(ids) // BLOCK), np.int64)
+    parts, at = [], 0
+    for low in range(0, len(ids), STRETCH):
+        part = ids[low : low + STRETCH]
+        size = widths[part]
+        end = np.cumsum(size) + at
+        start = end - size
+        offsets[low // BLOCK : low // BLOCK + -(-len(part) // BLOCK)] = start[::BLOCK]
+        parts.append(words_of(start, codes[part] << (64 - size - (start & 31)).astype(np.uint64)))
+        at = int(end[-1])
+    out = np.zeros(at // 32 + 2, np.uint64)
+    for first, word in parts:
+        out[first : first + len(word)] += word
+    return out.astype(">u4").tobytes()[: (at + 7) // 8], offsets
+
+
+def words_of(start: np.ndarray, shifted: np.ndarray) -> tuple[int, np.ndarray]:
+    """The first 32-bit word these codes lie in, and all their words."""
+    word = start >> 5
+    head = np.flatnonzero(np.diff(word, prepend=word[0] - 1))
+    both = np.add.reduceat(shifted, head)
+    at = word[head] - word[0]
+    out = np.zeros(int(at[-1]) + 2, np.uint64)
+    out[at] = both >> np.uint64(32)
+    out[at + 1] += both & np.uint64(0xFFFFFFFF)
+    return int(word[0]), out
 
 
 def decode(packed: bytes, offsets: np.ndarray, n: int, lengths: np.ndarray) -> np.ndarray:
@@ -145,7 +163,7 @@ def write_files(docs: DataFrame, path: str, end: int = END, limit: int = LIMIT)
     spark = docs.sparkSession
 
     def tokenise(batches):
-        for rows in S.blocks(batches, 2 * S.BLOCK_BYTES):
+        for rows in S.blocks(batches, 3 * S.BLOCK_BYTES):
             ids, first = tokens.with_end(*tokens.encoder(path).encode(rows.column("text")), end)
             raw = ids.astype("<u2") if ids.max(initial=0) < 1 << 16 else ids.astype("<u4")
             parts = [raw[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
@@ -179,27 +197,23 @@ def write_files(docs: DataFrame, path: str, end: int = END, limit: int = LIMIT)
 
         lengths, codes = sent.value
         part, number, before = TaskContext.get().partitionId(), 0, 0
-        held: list[tuple] = []
-        size = 0
-
-        def flush():
-            nonlocal number, before, held, size
-            doc_ids, known, ids = zip(*held, strict=True)
-            n = np.array([len(x) for x in ids], np.int64)
-            content = file_bytes(np.array(doc_ids, np.int64), np.array(known), n, np.concatenate(ids), lengths, codes)
-            out = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "number": pa.array([number], pa.int64()), "n_before": pa.array([before], pa.int64()), "n_ids": pa.array([size], pa.int64()), "content": pa.array([content], pa.binary())})
-            number, before, held, size = number + 1, before + size, [], 0
-            return out
-
         for batch in batches:
-            for doc_id, width, ids in zip(batch.column("doc_id").to_pylist(), batch.column("width").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                value = np.frombuffer(ids, "<u2" if width == 2 else "<u4").astype(np.int64)
-                if held and size + len(value) > FILE_IDS:
-                    yield flush()
-                held.append((doc_id or 0, doc_id is not None, value))
-                size += len(value)
-        if held:
-            yield flush()
+            width = batch.column("width").to_numpy()
+            sizes = np.diff(S.utf8(batch.column("ids"))[1]) // width
+            low = 0
+            while low < batch.num_rows:  # files of whole documents
+                total = np.cumsum(sizes[low:])
+                high = low + max(1, int(np.searchsorted(total, FILE_IDS, "right")))
+                rows = batch.slice(low, high - low)
+                data, cuts = S.utf8(rows.column("ids"))
+                if (width[low:high] == 2).all():
+                    ids = np.frombuffer(data.tobytes(), "<u2")
+                else:
+                    ids = np.concatenate([np.frombuffer(data[a:b].tobytes(), f"<u{w}").astype(np.uint32) for a, b, w in zip(cuts[:-1], cuts[1:], width[low:high], strict=True)])
+                doc_ids = rows.column("doc_id")
+                content = file_bytes(doc_ids.fill_null(0).to_numpy(), doc_ids.is_valid().to_numpy(zero_copy_only=False), sizes[low:high], ids, lengths, codes)
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "number": pa.array([number], pa.int64()), "n_before": pa.array([before], pa.int64()), "n_ids": pa.array([len(ids)], pa.int64()), "content": pa.array([content], pa.binary())})
+                number, before, low = number + 1, before + len(ids), high
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = [F.col("doc_id").asc_nulls_last(), F.col("check").asc()]
@@ -210,7 +224,7 @@ def write_files(docs: DataFrame, path: str, end: int = END, limit: int = LIMIT)
 def read_files(files: DataFrame, keep_ids: bool = False) -> DataFrame:
     """For each document of the files: doc_id, start (ids of all documents before), n_tokens, ids_crc32 (of 32-bit ids), (ids)."""
     totals = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    base = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row for each part
+    base = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row for each partition that wrote files
 
     def read(batches):
         for batch in batches:
@@ -224,4 +238,4 @@ def read_files(files: DataFrame, keep_ids: bool = False) -> DataFrame:
                     out["ids"] = pa.array([x.tobytes() for x in parts], pa.binary())
                 yield pa.RecordBatch.from_pydict(out)
 
-    return files.join(base, "part").select("base", "n_before", "content").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * keep_ids)
+    return files.join(F.broadcast(base), "part").select("base", "n_before", "content").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * keep_ids)

@@ -10,6 +10,7 @@ So do, in one piece, texts with special tokens or with white space outside ASCII
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 
@@ -24,7 +25,7 @@ WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa
 #: What has one kind of character only, with a space before it or not.
 PLAIN = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
 #: Pieces that are remembered from block to block, at most.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 SPACE, LETTER, DIGIT, MARK, ODD = range(5)
 
 
@@ -67,7 +68,12 @@ class Encoder:
         self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("AbÉ") == "abé"
         self.plain = (self.keeps_space or self.drops_space) and split("é") == ["Ã©"] and (self.lowers or self.tokenizer.normalizer is None)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memory: dict[bytes, list[int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Start with no piece remembered: where each one is, and all their ids."""
+        self.memory: dict[bytes, int] = {}
+        self.base, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def whole(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Rows that must not be cut."""
@@ -112,7 +118,7 @@ class Encoder:
             inside[at[k] : at[k + 1]] = True
         cut[head] = inside[head]
         if self.plain:
-            chunk = np.cumsum(cut[:-1])
+            chunk = np.cumsum(cut[:-1], dtype=np.int32)
             odd = np.zeros((chunk[-1] if n else 0) + 1, bool)
             odd[chunk[(kind == ODD) & inside]] = True
             plain = ~odd[chunk] & inside
@@ -152,17 +158,20 @@ class Encoder:
         pieces, first = self.pieces(*S.utf8(column))
         named = pieces.dictionary_encode()
         names = named.dictionary.to_pylist()
-        new = [x for x in names if x not in self.memory]
-        if len(self.memory) + len(new) > REMEMBERED:
-            self.memory = {x: self.memory[x] for x in names if x in self.memory}  # what this block has in common with earlier ones
-        self.memory.update(zip(new, self.ids_of(new), strict=True))
-        found = [self.memory[x] for x in names]
+        known = self.memory
+        new = [x for x in names if x not in known]
+        if len(known) + len(new) > REMEMBERED and known:
+            self.forget()
+            known, new = self.memory, names
+        known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+        found = self.ids_of(new)
         size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))
-        base = np.cumsum(size) - size
-        of = named.indices.to_numpy()
-        count = size[of]
-        ids = flat[np.repeat(base[of], count) + R.ramp(count)]
+        self.base = np.append(self.base, len(self.flat) + np.cumsum(size) - size)
+        self.size = np.append(self.size, size)
+        self.flat = np.append(self.flat, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(size.sum())))
+        of = np.fromiter((known[x] for x in names), np.int64, len(names))[named.indices.to_numpy()]
+        count = self.size[of]
+        ids = self.flat[np.repeat(self.base[of], count) + R.ramp(count)]
         return ids, np.append(0, np.cumsum(count))[first]
 
 
