@@ -70,3 +70,24 @@ def test_filter(spark):
     docs = spark.createDataFrame([(1, "x one two"), (2, "two one"), (3, None)], "doc_id long, text string")
     items = spark.createDataFrame([(9, "One, two")], "item_id long, text string")
     assert sorted(r[0] for r in decontaminate.without_contaminated(docs, items).collect()) == [2, 3]
+
+
+def test_given_documents(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    grams, want = {}, []
+    for item, text in items:
+        v = words(text)
+        for s in range(max(1, len(v) - 9) if v else 0):
+            grams.setdefault(tuple(v[s : s + 10]), set()).add(item)
+    sizes = {len(g) for g in grams}
+    for doc_id, text in docs:
+        w, hit, names = words(text), set(), set()
+        for n in sizes:
+            for s in range(len(w) - n + 1):
+                if (found := grams.get(tuple(w[s : s + n]))) is not None:
+                    hit |= set(range(s, s + n))
+                    names |= found
+        want.append((doc_id, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(map(str, names))).encode()).hexdigest(), bool(hit)))
+    assert sorted(map(tuple, op1_decontaminate(spark, sf).collect()), key=str) == sorted(want, key=str)

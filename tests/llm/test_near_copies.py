@@ -78,3 +78,9 @@ def test_components(spark, one_task):
     nodes, roots = components.roots_of(*map(list, zip(*links)))
     assert got == dict(zip(nodes, roots))
     assert got[120] == 100
+
+
+def test_given_documents(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    assert sorted(map(tuple, op3_lsh_forest(spark, sf).collect()), key=str) == brute(docs)

@@ -89,3 +89,10 @@ def test_suffix_order(period):
     text = data.tobytes()
     got = [text[i : i + 50] for i in suffixes.sorted_suffixes(data, wanted, period=period)]
     assert got == sorted(text[i : i + 50] for i in wanted)
+
+
+def test_given_documents(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    assert sorted(map(tuple, op2_recompression(spark, sf).collect()), key=str) == brute_words(docs)
+    assert sorted(map(tuple, op8_suffix_array(spark, sf).collect()), key=str) == brute_bytes(docs)
