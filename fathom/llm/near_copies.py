@@ -4,9 +4,14 @@ Texts with the same set of shingles are one node. Each node has TREES signatures
 agree in the first FLOOR minima are a region; a link of similarity 0.85 falls outside all regions with probability
 (1 - 0.85**FLOOR)**TREES, about 4e-7. The nodes of a tree are sorted by their signatures, so those that agree further stand
 next to each other: in crowded regions the order goes deeper. Neighbours of different components are candidates; they are
-confirmed on full shingle sets and joined, tree by tree, and what is connected already is not compared again. At last, every
-region that still holds several components has the nodes outside its largest one compared with all others there (unless
-sizes or a 120-bit sketch, five standard deviations off, rule a link out). There is no cap on candidates.
+confirmed on full shingle sets and joined, tree by tree, and what is connected already is not compared again.
+
+What is left is settled without comparing everything with everything. Components that still share regions make clusters.
+A cluster's consensus is the set of shingles that most of some SAMPLE members have; every member becomes what it adds to the
+consensus and how much of it it lacks. The member nearest to it is the hub, and all are compared with the hub. A member that
+is still outside the hub's component can only be similar to one that shares enough of what both add (prefix filter: one of
+the rarest 15 % is common to them), or whose numbers of shingles and losses allow it by themselves (see `possible`); just
+those pairs are confirmed. This holds for any consensus, so the sample decides about speed only. There is no cap on candidates.
 
 Defined results: null and empty texts have no shingles, are linked with nothing and stand alone; copies share a node and
 its component; the component of rows without any doc_id is null, and they are kept; other columns are ignored.
@@ -16,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.llm import shared as S
@@ -27,6 +32,8 @@ SHINGLE = 5
 TREES, DEPTH, FLOOR = 20, 6, 4
 #: Trees whose neighbours are compared in one go.
 ROUNDS = ((0, 2), (2, 7), (7, TREES))
+#: Members that a cluster's consensus is made of, about.
+SAMPLE = 64
 #: Percent of the union that the intersection must reach.
 PERCENT = 85
 U = np.uint64
@@ -185,20 +192,88 @@ def neighbours(rows: DataFrame) -> DataFrame:
     return out.filter("part is null").select("u", "v").unionByName(spark.createDataFrame([(bytearray(u), bytearray(v)) for u, v in seams], "u binary, v binary")).distinct()
 
 
-def rest(rows: DataFrame) -> DataFrame:
-    """In regions with several components: the nodes outside the largest one, paired with all others of another component."""
-    by = rows.groupBy("key", "comp").agg(F.count("*").alias("m"))
-    mixed = by.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("m", "comp"))["comp"].alias("main")).filter("comps > 1").select("key", "main")
-    here = S.stored(rows.join(mixed, "key"), "mixed-regions")
-    a = here.filter("comp <> main").select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "comp", "n", "sketch_a", "sketch_b")])
-    b = here.select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "comp", "n", "sketch_a", "sketch_b")])
-    far = F.bit_count(F.col("sketch_a_a").bitwiseXOR(F.col("sketch_a_b"))) + F.bit_count(F.col("sketch_b_a").bitwiseXOR(F.col("sketch_b_b")))
+def consensus(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """cluster, center: the shingles of more than half of the sampled members."""
+
+    def spread(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                own = [np.frombuffer(x, np.int64) for x in part.column("hashes").to_pylist()]
+                row = np.repeat(np.arange(len(own)), [len(x) for x in own])
+                yield pa.RecordBatch.from_pydict({"cluster": part.column("cluster").take(pa.array(row)), "shingle": np.concatenate(own)})
+
+    size = S.stored(members.groupBy("cluster").agg(F.count("*").alias("m")), "cluster-sizes")
+    chosen = members.select("cluster", "node").join(size, "cluster").filter(F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / SAMPLE)) == 0)
+    chosen = S.stored(chosen.select("cluster", "node"), "sampled")
+    number = chosen.groupBy("cluster").agg(F.count("*").alias("s"))
+    counts = chosen.join(sets, "node").select("cluster", "hashes").mapInArrow(spread, "cluster binary, shingle long").groupBy("cluster", "shingle").agg(F.count("*").alias("c"))
+    common = counts.join(number, "cluster").filter("2 * c > s").groupBy("cluster").agg(F.collect_list("shingle").alias("center"))
+    return S.stored(number.select("cluster").join(common, "cluster", "left"), "consensus")
+
+
+def compared(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """The members with what sets them apart from the consensus: added, lost, size (of the consensus), likeness."""
+
+    def apart(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
+                added, lost, size, likeness = [], [], [], []
+                for a, b in zip(part.column("hashes").to_pylist(), part.column("center").to_pylist(), strict=True):
+                    own, middle = np.frombuffer(a, np.int64), np.array(b or [], np.int64)
+                    more = np.setdiff1d(own, middle, assume_unique=True)
+                    common = len(own) - len(more)
+                    added.append(more)
+                    lost.append(len(middle) - common)
+                    size.append(len(middle))
+                    likeness.append(common / (len(own) + len(middle) - common))
+                ends = np.append(0, np.cumsum([len(x) for x in added]))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(added), pa.int64()))
+                columns = {c: part.column(c) for c in ("node", "n", "cluster", "sketch_a", "sketch_b")}
+                yield pa.RecordBatch.from_pydict(columns | {"added": lists, "lost": pa.array(lost, pa.int64()), "size": pa.array(size, pa.int64()), "likeness": pa.array(likeness, pa.float64())})
+
+    joined = members.join(sets, "node").join(consensus(members, sets), "cluster").select("node", "n", "cluster", "sketch_a", "sketch_b", "hashes", "center")
+    return S.stored(joined.mapInArrow(apart, "node binary, n long, cluster binary, sketch_a long, sketch_b long, added array<long>, lost long, size long, likeness double"), "members")
+
+
+def possible(members: DataFrame, main: DataFrame) -> DataFrame:
+    """All pairs of a member outside the hub's component and one of another component that can be similar enough.
+
+    What two sets have in common is in the consensus or added by both. A similar pair has 85 % of either set in common, so of
+    what a set adds, all but 15 % of the set's size is common as well; in one order of all added shingles, rarest first, the
+    first common one is among the first 15 % of the set's size and one more, on both sides. Or nothing added needs to be
+    common: then at most the consensus less the larger loss is, which numbers alone decide (and the sketch, as a rule of
+    five standard deviations).
+    """
+    each = members.select("cluster", "node", "n", F.explode("added").alias("shingle"))
+    times = each.groupBy("cluster", "shingle").agg(F.count("*").alias("times")).filter("times > 1")  # one that is alone is common to nobody
+    order = Window.partitionBy("cluster", "node").orderBy("times", "shingle")
+    alone = members.select("cluster", "node", F.size("added").alias("adds"))
+    ranked = each.join(times, ["cluster", "shingle"]).withColumn("place", F.row_number().over(order)).join(alone, ["cluster", "node"])
+    counted = ranked.groupBy("cluster", "node").agg(F.count("*").alias("repeated"))
+    ranked = ranked.join(counted, ["cluster", "node"])
+    single = F.col("adds") - F.col("repeated")  # these come first in the order
+    prefix = S.stored(ranked.filter(F.col("place") + single <= F.floor(F.col("n") * (100 - PERCENT) / 100) + 1).select("cluster", "node", "shingle"), "prefixes")
+
+    side = lambda df, end: df.select("cluster", *[F.col(c).alias(c + end) for c in ("node", "comp", "n", "lost", "size", "sketch_a", "sketch_b")])
+    outside = members.join(main, "cluster").filter("comp <> main").drop("main")
+    a, b = side(outside, "_a"), side(members, "_b")
+    sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
     bits = TREES * DEPTH
-    apart = bits * (1 - PERCENT / 100) / 2
-    limit = int(apart + 5 * (apart * (1 - apart / bits)) ** 0.5)
-    alike = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT) & (far <= limit)
-    pairs = a.join(b, (a["key"] == b["key"]) & (F.col("comp_a") != F.col("comp_b")) & alike)
-    return pairs.select(F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v")).distinct()
+    mean = bits * (1 - PERCENT / 100) / 2
+    limit = int(mean + 5 * (mean * (1 - mean / bits)) ** 0.5)
+    far = F.bit_count(F.col("sketch_a_a").bitwiseXOR(F.col("sketch_a_b"))) + F.bit_count(F.col("sketch_b_a").bitwiseXOR(F.col("sketch_b_b")))
+    differ = (F.col("comp_a") != F.col("comp_b")) & sizes & (far <= limit)
+    left = prefix.withColumnRenamed("node", "node_a").join(a.drop("cluster", "lost_a", "size_a"), "node_a")
+    right = prefix.withColumnRenamed("node", "node_b").join(b.drop("cluster", "lost_b", "size_b"), "node_b")
+    right = right.withColumnRenamed("cluster", "cluster_b").withColumnRenamed("shingle", "shingle_b")
+    shared = left.join(right, (F.col("cluster") == F.col("cluster_b")) & (F.col("shingle") == F.col("shingle_b")) & differ).select("node_a", "node_b")
+    kinds_a, kinds_b = a.select("cluster", "n_a", "lost_a", "size_a").distinct(), b.select("cluster", "n_b", "lost_b").distinct()
+    most = F.col("size_a") - F.greatest("lost_a", "lost_b")
+    kinds = kinds_a.join(kinds_b, "cluster").filter(sizes & (most * 100 >= (F.col("n_a") + F.col("n_b") - most) * PERCENT)).select("cluster", "n_a", "lost_a", "n_b", "lost_b")
+    allowed = a.join(kinds, ["cluster", "n_a", "lost_a"]).join(b.withColumnsRenamed({"cluster": "cluster_b", "n_b": "n_c", "lost_b": "lost_c"}), (F.col("cluster") == F.col("cluster_b")) & (F.col("n_b") == F.col("n_c")) & (F.col("lost_b") == F.col("lost_c")) & (F.col("comp_a") != F.col("comp_b")) & (far <= limit)).select("node_a", "node_b")
+    return shared.unionByName(allowed).select(F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v")).distinct()
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -208,6 +283,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     each = nodes.select("node", "n", "sketch_a", "sketch_b", F.explode(F.arrays_zip(F.transform("keys", lambda _, i: i).alias("tree"), "keys", "deeper")).alias("x"))
     each = each.select("node", "n", "sketch_a", "sketch_b", F.col("x.tree").alias("tree"), F.col("x.keys").alias("key"), F.col("x.deeper").alias("deeper"))
     crowded = each.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("key")
+    crowded = S.stored(crowded, "crowded")  # joins with a table that is read can split a hot key, joins with a fresh aggregate cannot
     regions = S.stored(each.join(crowded, "key"), "regions")
     near = regions.select("node").distinct()
     owner = signed.filter("node is not null").join(near, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
@@ -217,19 +293,36 @@ def near_copies(docs: DataFrame) -> DataFrame:
     def with_comp(rows: DataFrame) -> DataFrame:
         if comp is None:
             return rows.withColumn("comp", F.col("node"))
-        return rows.join(comp, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+        return rows.drop("comp").join(comp, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+
+    def add(found: DataFrame) -> None:
+        nonlocal links, comp
+        found = S.stored(found, "links")
+        links = found if comp is None else comp.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found)
+        comp = components(links)
 
-    for step in (*ROUNDS, None):
-        pairs = rest(with_comp(regions)) if step is None else neighbours(with_comp(regions.filter((F.col("tree") >= step[0]) & (F.col("tree") < step[1]))))
+    for low, high in ROUNDS:
+        pairs = neighbours(with_comp(regions.filter((F.col("tree") >= low) & (F.col("tree") < high))))
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = S.stored(pairs, "candidates")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = S.stored(confirmed(pairs, sets), "links")
-        links = found if links is None else comp.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found)
-        comp = components(links)
+        add(confirmed(pairs, sets))
+
+    rows = with_comp(regions)
+    several = rows.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("b")).filter("least <> b").drop("b")
+    several = S.stored(several, "several")
+    rows = S.stored(rows.join(several, "key"), "mixed-regions")
+    clusters = components(rows.select(F.col("comp").alias("u"), F.col("least").alias("v")).distinct()).withColumnsRenamed({"root": "cluster", "node": "comp"})
+    members = S.stored(rows.select("node", "comp", "n", "sketch_a", "sketch_b").distinct().join(clusters, "comp").drop("comp"), "clustered")
+    members = compared(members, sets)
+    hubs = S.stored(members.groupBy("cluster").agg(F.max(F.struct("likeness", "node"))["node"].alias("hub")), "hubs")
+    star = members.join(hubs, "cluster").filter("node <> hub and likeness > 0").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v"))
+    add(confirmed(star, sets))
+    main = S.stored(with_comp(hubs.withColumnRenamed("hub", "node")).select("cluster", F.col("comp").alias("main")), "main-components")
+    add(confirmed(S.stored(possible(S.stored(with_comp(members), "members"), main), "candidates"), sets))
     labelled = signed.select("doc_id", "n_shingles", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("root", "node"))
-    least = labelled.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    least = S.stored(labelled.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id")), "component-ids")
     out = labelled.join(least, "comp", "left").withColumn("component_id", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
