@@ -177,7 +177,7 @@ def test_catalog_and_tools(spark):
     assert c.retrieve(key, 5, 100, "vol", False)["rows"][0]["vol"] == 5
     assert c.query(key, '{"column": "vol", "op": "<", "value": 10}')["matched"] == 10
     assert "error" in c.query(key, '{"column": "vol", "op": "?", "value": 1}')
-    assert c.group_by(key, ["sector"], [{"column": "vol", "func": "sum", "alias": "s"}], "s")["rows"][0] == {"sector": "e", "s": 656.0}
+    assert c.group_by(key, ["sector"], [{"column": "vol", "func": "sum", "alias": "s"}], "s")["rows"][0] == {"sector": "e", "s": 664.0}
     assert asyncio.run(c.aaggregate(key, "vol", "mean"))["value"] == 39.5
     assert c.schema(key)["columns"]["vol"]["type"] == "numeric"
     all_tools = tools.all_tools(c)
