@@ -1,11 +1,13 @@
 """Every query against its SQL, as row multisets; queries without SQL give rows of a stable schema."""
 
+import os
+
 import duckdb
 import pytest
 
 from fathom import queries
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("FATHOM_TEST_SF", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
