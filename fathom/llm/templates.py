@@ -51,13 +51,14 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     """The stored places (key, place, template) of all lines whose template recurs."""
     lines = S.stored(lines_of(docs).withColumn("line", F.xxhash64("masked")), "lines")
     busy = lines.select("leaf", "around").distinct().groupBy("leaf").agg(F.count("*").alias("places")).filter(F.col("places") >= MIN_PLACES).select("leaf")
+    busy = S.stored(busy, "busy-leaves")  # joins with a table that is read can split a hot leaf, joins with a fresh aggregate cannot
     here = S.stored(lines.join(busy, "leaf"), "busy-lines")
     each = S.stored(here.groupBy("leaf", "line").agg(F.first("masked").alias("masked")), "different-lines")
     token = each.select("leaf", "line", F.posexplode(F.split("masked", " ")).alias("at", "token"))
     share = token.groupBy("leaf", "at", F.xxhash64("token").alias("h")).agg(F.count("*").alias("n"))
-    total = each.groupBy("leaf").agg(F.count("*").alias("m"))
+    total = S.stored(each.groupBy("leaf").agg(F.count("*").alias("m")), "leaf-sizes")
     common = share.join(total, "leaf").filter((F.col("n") * 100 >= F.col("m") * SHARE_PERCENT) & (F.col("m") > 1)).select("leaf", F.struct(F.col("at"), F.col("h")).alias("fixed"))
-    fixed = common.groupBy("leaf").agg(F.collect_set("fixed").alias("fixed"))  # two at most for each place of a line
+    fixed = S.stored(common.groupBy("leaf").agg(F.collect_set("fixed").alias("fixed")), "fixed-tokens")  # two at most for each place of a line
     parts = each.join(fixed, "leaf", "left").withColumn("tokens", F.split("masked", " "))
     marked = parts.withColumn("general", F.transform("tokens", lambda t, i: F.when(F.array_contains("fixed", F.struct(i.alias("at"), F.xxhash64(t).alias("h"))), t).otherwise(F.lit("<*>"))))
     kept = F.size(F.filter("general", lambda t: t != "<*>"))
@@ -69,6 +70,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     places = found.select("t", "around").distinct().groupBy("t").agg(F.count("*").alias("places"))
     documents = found.select("t", "key").distinct().groupBy("t").agg(F.count("*").alias("documents"))
     recurring = places.join(documents, "t").filter((F.col("places") >= MIN_PLACES) & (F.col("places") * 2 >= F.col("documents")))
+    recurring = S.stored(recurring, "recurring")
     return S.stored(found.join(recurring, "t").select("key", "place", "template", "places", "documents"), "dropped-lines")
 
 
