@@ -49,10 +49,10 @@ def _local(batches):
 def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """node, root for every node of links (u, v: binary or long). Links may repeat, and may link a node with itself."""
     kind = links.schema["u"].dataType.simpleString()
-    stars = S.stored(links.select("u", "v").mapInArrow(_local, f"u {kind}, v {kind}").distinct(), "stars")
+    stars = S.stored(links.select("u", "v").mapInArrow(S.tidy(_local), f"u {kind}, v {kind}").distinct(), "stars")
     while True:
         if stars.count() <= one_task:
-            done = stars.coalesce(1).mapInArrow(_local, f"u {kind}, v {kind}")
+            done = stars.coalesce(1).mapInArrow(S.tidy(_local), f"u {kind}, v {kind}")
             return S.stored(done.select(F.col("u").alias("node"), F.col("v").alias("root")), "components")
         # large star: what is larger than a node is linked with the node's smallest neighbour; small star: the rest is
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))

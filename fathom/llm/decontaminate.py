@@ -67,7 +67,7 @@ def build_index(docs: DataFrame) -> DataFrame:
             )
             number += 1
 
-    return S.stored(S.texts(docs).mapInArrow(index, INDEX_SCHEMA), "postings")
+    return S.stored(S.texts(docs).mapInArrow(S.tidy(index), INDEX_SCHEMA), "postings")
 
 
 class Windows:
@@ -165,7 +165,7 @@ def search_index(index: DataFrame, items: list[tuple[int, str | None]], window:
                     }
                 )
 
-    return index.mapInArrow(search, FOUND_SCHEMA)
+    return index.mapInArrow(S.tidy(search), FOUND_SCHEMA)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:

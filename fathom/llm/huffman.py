@@ -163,13 +163,13 @@ def write_files(docs: DataFrame, path: str, end: int = END, limit: int = LIMIT)
     spark = docs.sparkSession
 
     def tokenise(batches):
-        for rows in S.blocks(batches, 3 * S.BLOCK_BYTES):
+        for rows in S.blocks(batches, 2 * S.BLOCK_BYTES):
             ids, first = tokens.with_end(*tokens.encoder(path).encode(rows.column("text")), end)
             raw = ids.astype("<u2") if ids.max(initial=0) < 1 << 16 else ids.astype("<u4")
             parts = [raw[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "check": pa.array(map(zlib.crc32, parts), pa.int64()), "width": np.full(len(parts), raw.itemsize, np.int32), "ids": pa.array(parts, pa.binary())})
 
-    rows = S.stored(S.texts(docs).mapInArrow(tokenise, "doc_id long, check long, width int, ids binary"), "token-ids")
+    rows = S.stored(S.texts(docs).mapInArrow(S.tidy(tokenise), "doc_id long, check long, width int, ids binary"), "token-ids")
 
     def count(batches):
         total = np.zeros(1 << 16, np.int64)
@@ -185,7 +185,7 @@ def write_files(docs: DataFrame, path: str, end: int = END, limit: int = LIMIT)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": used, "n": total[used]})
 
-    counted = rows.select("width", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row for each id of the vocabulary at most
+    counted = rows.select("width", "ids").mapInArrow(S.tidy(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row for each id of the vocabulary at most
     counts = np.zeros(max((r["id"] for r in counted), default=end) + 1, np.int64)
     for r in counted:
         counts[r["id"]] = r["n"]
@@ -218,7 +218,7 @@ def write_files(docs: DataFrame, path: str, end: int = END, limit: int = LIMIT)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = [F.col("doc_id").asc_nulls_last(), F.col("check").asc()]
     ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return S.stored(ordered.mapInArrow(write, "part int, number long, n_before long, n_ids long, content binary"), "token-files")
+    return S.stored(ordered.mapInArrow(S.tidy(write), "part int, number long, n_before long, n_ids long, content binary"), "token-files")
 
 
 def read_files(files: DataFrame, keep_ids: bool = False) -> DataFrame:
@@ -238,4 +238,4 @@ def read_files(files: DataFrame, keep_ids: bool = False) -> DataFrame:
                     out["ids"] = pa.array([x.tobytes() for x in parts], pa.binary())
                 yield pa.RecordBatch.from_pydict(out)
 
-    return files.join(F.broadcast(base), "part").select("base", "n_before", "content").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * keep_ids)
+    return files.join(F.broadcast(base), "part").select("base", "n_before", "content").mapInArrow(S.tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * keep_ids)

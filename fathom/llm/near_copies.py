@@ -119,7 +119,7 @@ def sign(docs: DataFrame) -> DataFrame:
                 }
             )
 
-    return S.stored(S.texts(docs).mapInArrow(signed, SIGNED), "signatures")
+    return S.stored(S.texts(docs).mapInArrow(S.tidy(signed), SIGNED), "signatures")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"node": pa.array([x.tobytes() for x in own], pa.binary()), "hashes": pa.array(flat, pa.binary()), "want": rows.column("node")})
 
     chosen = S.texts(docs).join(nodes.select("doc_id", "node"), "doc_id")
-    found = chosen.select("text", "node").mapInArrow(cut, "node binary, hashes binary, want binary")
+    found = chosen.select("text", "node").mapInArrow(S.tidy(cut), "node binary, hashes binary, want binary")
     return S.stored(found.filter("node = want").drop("want").dropDuplicates(["node"]), "shingles")
 
 
@@ -153,7 +153,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
 
     left = sets.select(F.col("node").alias("u"), F.col("hashes").alias("a"))
     right = sets.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(similar, "u binary, v binary")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(S.tidy(similar), "u binary, v binary")
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def neighbours(rows: DataFrame) -> DataFrame:
             part = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_pydict({"u": [first[1], last[1]], "v": pa.nulls(2, pa.binary()), "part": pa.array([part, part], pa.int32()), "side": pa.array([0, 1], pa.int32()), "key": pa.array([first[0], last[0]], pa.int64()), "comp": pa.array([first[2], last[2]], pa.binary())})
 
-    out = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(adjacent, "u binary, v binary, part int, side int, key long, comp binary")
+    out = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(S.tidy(adjacent), "u binary, v binary, part int, side int, key long, comp binary")
     out = S.stored(out, "neighbours")
     ends = out.filter("part is not null").orderBy("part", "side").collect()  # two rows for each partition
     seams = [(min(a["u"], b["u"]), max(a["u"], b["u"])) for a, b in zip(ends, ends[1:]) if a["side"] == 1 and a["key"] == b["key"] and a["comp"] != b["comp"]]
@@ -207,7 +207,7 @@ def consensus(members: DataFrame, sets: DataFrame) -> DataFrame:
     chosen = members.select("cluster", "node").join(size, "cluster").filter(F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / SAMPLE)) == 0)
     chosen = S.stored(chosen.select("cluster", "node"), "sampled")
     number = chosen.groupBy("cluster").agg(F.count("*").alias("s"))
-    counts = chosen.join(sets, "node").select("cluster", "hashes").mapInArrow(spread, "cluster binary, shingle long").groupBy("cluster", "shingle").agg(F.count("*").alias("c"))
+    counts = chosen.join(sets, "node").select("cluster", "hashes").mapInArrow(S.tidy(spread), "cluster binary, shingle long").groupBy("cluster", "shingle").agg(F.count("*").alias("c"))
     common = counts.join(number, "cluster").filter("2 * c > s").groupBy("cluster").agg(F.collect_list("shingle").alias("center"))
     return S.stored(number.select("cluster").join(common, "cluster", "left"), "consensus")
 
@@ -234,7 +234,7 @@ def compared(members: DataFrame, sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(columns | {"added": lists, "lost": pa.array(lost, pa.int64()), "size": pa.array(size, pa.int64()), "likeness": pa.array(likeness, pa.float64())})
 
     joined = members.join(sets, "node").join(consensus(members, sets), "cluster").select("node", "n", "cluster", "sketch_a", "sketch_b", "hashes", "center")
-    return S.stored(joined.mapInArrow(apart, "node binary, n long, cluster binary, sketch_a long, sketch_b long, added array<long>, lost long, size long, likeness double"), "members")
+    return S.stored(joined.mapInArrow(S.tidy(apart), "node binary, n long, cluster binary, sketch_a long, sketch_b long, added array<long>, lost long, size long, likeness double"), "members")
 
 
 def possible(members: DataFrame, main: DataFrame) -> DataFrame:

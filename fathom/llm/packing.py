@@ -35,7 +35,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, end: int, keep_ids: bo
         from pyspark import TaskContext
 
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for rows in S.blocks(batches, 3 * S.BLOCK_BYTES):
+        for rows in S.blocks(batches, 2 * S.BLOCK_BYTES):
             ids, first = tokens.with_end(*tokens.encoder(path).encode(rows.column("text")), end)
             size = np.diff(first)
             count = -(-size // capacity)
@@ -57,7 +57,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int, end: int, keep_ids: bo
                 out["ids"] = pa.array([raw[a : a + n].tobytes() for a, n in zip(low.tolist(), length.tolist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_pydict(out)
 
-    return S.stored(S.texts(docs).mapInArrow(cut, CUT + ", ids binary" * keep_ids), "pieces")
+    return S.stored(S.texts(docs).mapInArrow(S.tidy(cut), CUT + ", ids binary" * keep_ids), "pieces")
 
 
 def plan(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
@@ -144,7 +144,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_pydict(columns | {"sequence_id": row[:, 3] + step // row[:, 5], "offset": row[:, 4] + step % row[:, 5] * length})
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema if f.name not in ("task", "number"))
-    return pieces.join(base.hint("shuffle_merge"), ["task", "length"]).select(*pieces.columns, "base").mapInArrow(place, kinds + ", sequence_id long, offset long")
+    return pieces.join(base.hint("shuffle_merge"), ["task", "length"]).select(*pieces.columns, "base").mapInArrow(S.tidy(place), kinds + ", sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:

@@ -314,7 +314,7 @@ def blocked(docs: DataFrame, method: Method, buckets: int, block_bytes: int, ste
             number += 1
 
     spark, name = docs.sparkSession, f"fathom_blocks_{uuid.uuid4().hex}"
-    cut_rows = S.texts(docs).mapInArrow(cut, "block long, doc_ids binary, at binary, data binary, counts binary, offs binary")
+    cut_rows = S.texts(docs).mapInArrow(S.tidy(cut), "block long, doc_ids binary, at binary, data binary, counts binary, offs binary")
     cut_rows.write.format("parquet").option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(name)
     return spark.table(name)
 
@@ -380,7 +380,7 @@ def without_repeats(docs: DataFrame, method: Method, hot: int = HOT, block_bytes
             out = answer(rows)
             return pa.table({"bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "block": pa.array([r["block"] for r in rows], pa.int64()), "x": pa.array([x for x, _ in out], pa.binary()), "y": pa.array([y for _, y in out], pa.binary())})
 
-        back = source.mapInArrow(send, SENT).groupBy("bucket").applyInArrow(reduce, ANSWER)
+        back = source.mapInArrow(S.tidy(send), SENT).groupBy("bucket").applyInArrow(reduce, ANSWER)
         return S.stored(back.repartition(parts, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "x", "y")).alias(name)), f"answers-{name}")
 
     def with_answers(*answers: DataFrame) -> DataFrame:
@@ -419,4 +419,4 @@ def without_repeats(docs: DataFrame, method: Method, hot: int = HOT, block_bytes
                 }
             )
 
-    return with_answers(first, second, third).mapInArrow(finish, "doc_id long, n_units long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+    return with_answers(first, second, third).mapInArrow(S.tidy(finish), "doc_id long, n_units long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")

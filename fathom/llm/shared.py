@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +66,38 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Itera
             low = high
 
 
+_at_end: list[Callable[[], None]] = []
+
+
+def at_end(clean: Callable[[], None]) -> None:
+    """Have something called whenever a task of a tidy function ends."""
+    if clean not in _at_end:
+        _at_end.append(clean)
+
+
+def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same task; at its end the worker, which lives on for other tasks, gives back the memory it has kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from fathom.llm import shared
+
+        try:
+            yield from task(batches)
+        finally:
+            shared.clean_up()
+
+    return run
+
+
+def clean_up() -> None:
+    _powers.clear()
+    for clean in _at_end:
+        clean()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table_of(chars: bytes) -> np.ndarray:
     """True for all bytes but these."""
     out = np.ones(256, bool)

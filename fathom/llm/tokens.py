@@ -182,6 +182,7 @@ def encoder(path: str) -> Encoder:
     """This worker's encoder for a tokenizer file."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+        S.at_end(_encoders[path].forget)
     return _encoders[path]
 
 

@@ -17,7 +17,6 @@ every score is the share of toxic rows, or 0.5 if there are none; other columns
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -145,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, n_fit: int = N_FIT) -> Model:
     if not n_toxic or not n_clean:
         share = n_toxic / max(n_toxic + n_clean, 1) if n_toxic + n_clean else 0.5
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    counts = sample.select("text", "toxic").mapInArrow(count, "h long, a long, b long").groupBy("h").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter(F.col("a") + F.col("b") >= MIN_ROWS)
+    counts = sample.select("text", "toxic").mapInArrow(S.tidy(count), "h long, a long, b long").groupBy("h").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter(F.col("a") + F.col("b") >= MIN_ROWS)
     lift = F.log((F.col("a") + 0.5) / (n_toxic - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (n_clean - F.col("b") + 0.5))
     share = (F.col("a") + F.col("b")) / (n_toxic + n_clean)
     error = F.sqrt(share * (1 - share + 1e-9) * (1 / n_toxic + 1 / n_clean))
@@ -164,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, n_fit: int = N_FIT) -> Model:
             ends = np.searchsorted(row, np.arange(rows.num_rows + 1))
             yield pa.RecordBatch.from_pydict({"toxic": rows.column("toxic"), "features": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(feature, pa.int32()))})
 
-    seen = sample.select("text", "toxic").mapInArrow(look, "toxic int, features array<int>").collect()  # N_FIT rows at most
+    seen = sample.select("text", "toxic").mapInArrow(S.tidy(look), "toxic int, features array<int>").collect()  # N_FIT rows at most
     rows = [np.array(r["features"], np.int64) for r in sorted(seen)]
     label = np.array([r["toxic"] == 1 for r in sorted(seen)])
     mentions = np.bincount(np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), minlength=len(known))[whole]
@@ -179,7 +178,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         for rows in S.blocks(batches):
             yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "score": sent.value.scores(rows.column("text"))})
 
-    out = S.texts(docs).mapInArrow(score, "doc_id long, score double")
+    out = S.texts(docs).mapInArrow(S.tidy(score), "doc_id long, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(True))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
@@ -188,8 +187,8 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that are predicted toxic."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
-    @F.pandas_udf("double")
-    def score(text):
-        return pd.Series(model.value.scores(pa.array(text, pa.large_string())))
+    def keep(batches):
+        for rows in S.blocks(batches):
+            yield rows.filter(pa.array(model.value.scores(rows.column("text")) < THRESHOLD))
 
-    return docs.filter(score(F.coalesce(docs["text"].cast("string"), F.lit(""))) < THRESHOLD)
+    return docs.mapInArrow(S.tidy(keep), docs.schema)
