@@ -18,8 +18,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return near_copies.without_near_copies(docs)
+    """One document of each group of near copies: five words to a shingle, a similarity of 0.8 or more."""
+    return near_copies.without_near_copies(docs, near_copies.STAGE_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

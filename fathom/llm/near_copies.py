@@ -1,8 +1,9 @@
 """MinHash near-dedup with an LSH forest.
 
-Texts with the same set of shingles are one node. Each node has TREES signatures of DEPTH minima. In a tree, nodes that
-agree in the first FLOOR minima are a region; a link of similarity 0.85 falls outside all regions with probability
-(1 - 0.85**FLOOR)**TREES, about 4e-7. The nodes of a tree are sorted by their signatures, so those that agree further stand
+Two texts are linked if `percent` of the union of their shingle sets is common to both: PERCENT in op3, STAGE_PERCENT in the
+pipeline. Texts with the same set of shingles are one node. Each node has a signature of DEPTH minima in each tree. In a tree,
+nodes that agree in the first FLOOR minima are a region; a link of similarity p = percent / 100 falls outside all regions with
+probability (1 - p**FLOOR)**trees, and there are as many trees as bring this below MISS (20 for 85 %, 28 for 80 %). The nodes of a tree are sorted by their signatures, so those that agree further stand
 next to each other: in crowded regions the order goes deeper. Neighbours of different components are candidates; they are
 confirmed on full shingle sets and joined, tree by tree, and what is connected already is not compared again.
 
@@ -10,7 +11,7 @@ What is left is settled without comparing everything with everything. Components
 A cluster's consensus is the set of shingles that most of some SAMPLE members have; every member becomes what it adds to the
 consensus and how much of it it lacks. The member nearest to it is the hub, and all are compared with the hub. A member that
 is still outside the hub's component can only be similar to one that shares enough of what both add (prefix filter: one of
-the rarest 15 % is common to them), or whose numbers of shingles and losses allow it by themselves (see `possible`); just
+the rarest 15 or 20 % is common to them), or whose numbers of shingles and losses allow it by themselves (see `possible`); just
 those pairs are confirmed. This holds for any consensus, so the sample decides about speed only. There is no cap on candidates.
 
 Defined results: null and empty texts have no shingles, are linked with nothing and stand alone; copies share a node and
@@ -19,6 +20,8 @@ its component; the component of rows without any doc_id is null, and they are ke
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -29,17 +32,26 @@ from fathom.llm.components import components
 
 WORD = S.table_of(S.SPACES)
 SHINGLE = 5
-TREES, DEPTH, FLOOR = 20, 6, 4
-#: Trees whose neighbours are compared in one go.
-ROUNDS = ((0, 2), (2, 7), (7, TREES))
+DEPTH, FLOOR = 6, 4
+#: Chance of a link at the threshold to be in no region.
+MISS = 4e-7
+#: The first trees whose neighbours are compared in one go; then come the next, and all others.
+ROUNDS = (0, 2, 7)
+#: Minima that give a bit each to the sketch.
+SKETCH = 120
 #: Members that a cluster's consensus is made of, about.
 SAMPLE = 64
-#: Percent of the union that the intersection must reach.
-PERCENT = 85
+#: Percent of the union that the intersection must reach, in op3 and in the pipeline.
+PERCENT, STAGE_PERCENT = 85, 80
 U = np.uint64
 SIGNED = "doc_id long, n_shingles long, node binary, keys array<long>, deeper array<long>, sketch_a long, sketch_b long"
 
 
+def trees_for(percent: int) -> int:
+    """The trees that a threshold needs."""
+    return math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** FLOOR))
+
+
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Each row's distinct shingles in order, and where each row's begin."""
     data, at = S.utf8(column)
@@ -60,19 +72,19 @@ def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return value, np.searchsorted(row, np.arange(len(n) + 1))
 
 
-def minima(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """TREES * DEPTH minima (32 bits each) of every row that has shingles."""
+def minima(values: np.ndarray, first: np.ndarray, trees: int) -> np.ndarray:
+    """trees * DEPTH minima (32 bits each) of every row that has shingles."""
     rng = np.random.default_rng(7)
-    factor = rng.integers(0, 2**63, TREES * DEPTH, dtype=np.uint64) * U(2) + U(1)
-    plus = rng.integers(0, 2**63, TREES * DEPTH, dtype=np.uint64)
+    factor = rng.integers(0, 2**63, trees * DEPTH, dtype=np.uint64) * U(2) + U(1)
+    plus = rng.integers(0, 2**63, trees * DEPTH, dtype=np.uint64)
     rows = np.flatnonzero(np.diff(first))
-    out = np.zeros((len(rows), TREES * DEPTH), np.uint32)
+    out = np.zeros((len(rows), trees * DEPTH), np.uint32)
     low = 0
     while low < len(rows):  # stretches that stay in a processor's cache
         high = max(low + 1, int(np.searchsorted(first[rows], first[rows[low]] + (1 << 15))))
         part = values[first[rows[low]] : first[rows[high - 1] + 1]]
         begin = first[rows[low:high]] - first[rows[low]]
-        for k in range(TREES * DEPTH):
+        for k in range(trees * DEPTH):
             out[low:high, k] = np.minimum.reduceat((part ^ plus[k]) * factor[k], begin) >> U(32)
         low = high
     return out
@@ -85,20 +97,20 @@ def digests(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack([S.mixed(s[first[1:]] - s[first[:-1]] + size, 52) for s in sums], axis=1)
 
 
-def sign(docs: DataFrame) -> DataFrame:
+def sign(docs: DataFrame, trees: int) -> DataFrame:
     """The stored nodes and signatures of all rows; rows without shingles have no node."""
 
     def signed(batches):
         for rows in S.blocks(batches):
             values, first = shingle_sets(rows.column("text"))
             some = np.flatnonzero(np.diff(first))
-            sig = minima(values, first).reshape(len(some), TREES, DEPTH).astype(np.uint64)
-            key = np.full((len(some), TREES), U(1))
+            sig = minima(values, first, trees).reshape(len(some), trees, DEPTH).astype(np.uint64)
+            key = np.full((len(some), trees), U(1))
             for k in range(FLOOR):
                 key = S.mixed(key * U(S.BASES[0]) + sig[:, :, k], 60)
-            key = S.mixed(key + np.arange(TREES, dtype=np.uint64), 61)
+            key = S.mixed(key + np.arange(trees, dtype=np.uint64), 61)
             deep = sig[:, :, FLOOR] << U(32) | sig[:, :, FLOOR + 1]
-            packed = np.packbits((sig.reshape(len(some), TREES * DEPTH) & U(1)).astype(np.uint8), axis=1)
+            packed = np.packbits((sig.reshape(len(some), trees * DEPTH)[:, :SKETCH] & U(1)).astype(np.uint8), axis=1)
             sketch = np.zeros((len(some), 16), np.uint8)
             sketch[:, : packed.shape[1]] = packed
             sketch = sketch.view(np.int64)
@@ -106,7 +118,7 @@ def sign(docs: DataFrame) -> DataFrame:
             missing = np.diff(first) == 0
             place = np.cumsum(~missing) - 1
             take = pa.array(place, mask=missing)
-            lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * TREES, pa.int32()), pa.array(x.reshape(-1).view(np.int64))).take(take)  # noqa: B023, E731
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * trees, pa.int32()), pa.array(x.reshape(-1).view(np.int64))).take(take)  # noqa: B023, E731
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": rows.column("doc_id"),
@@ -137,7 +149,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return S.stored(found.filter("node = want").drop("want").dropDuplicates(["node"]), "shingles")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (u, v) whose sets are similar enough."""
 
     def similar(batches):
@@ -156,7 +168,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(S.tidy(similar), "u binary, v binary")
 
 
-def neighbours(rows: DataFrame) -> DataFrame:
+def neighbours(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes that follow each other in the order of (key, deeper, node), share the key and differ in their component."""
     spark = rows.sparkSession
     order = ["key", "deeper", "node"]
@@ -175,7 +187,7 @@ def neighbours(rows: DataFrame) -> DataFrame:
             first = first or here[0]
             u, v = [], []
             for a, b in zip([last, *here[:-1]] if last else here[:-1], here if last else here[1:], strict=True):
-                if a[0] == b[0] and a[2] != b[2] and 100 * min(a[3], b[3]) >= PERCENT * max(a[3], b[3]):
+                if a[0] == b[0] and a[2] != b[2] and 100 * min(a[3], b[3]) >= percent * max(a[3], b[3]):
                     u.append(min(a[1], b[1]))
                     v.append(max(a[1], b[1]))
             last = here[-1]
@@ -237,12 +249,12 @@ def compared(members: DataFrame, sets: DataFrame) -> DataFrame:
     return S.stored(joined.mapInArrow(S.tidy(apart), "node binary, n long, cluster binary, sketch_a long, sketch_b long, added array<long>, lost long, size long, likeness double"), "members")
 
 
-def possible(members: DataFrame, main: DataFrame) -> DataFrame:
+def possible(members: DataFrame, main: DataFrame, percent: int) -> DataFrame:
     """All pairs of a member outside the hub's component and one of another component that can be similar enough.
 
-    What two sets have in common is in the consensus or added by both. A similar pair has 85 % of either set in common, so of
-    what a set adds, all but 15 % of the set's size is common as well; in one order of all added shingles, rarest first, the
-    first common one is among the first 15 % of the set's size and one more, on both sides. Or nothing added needs to be
+    What two sets have in common is in the consensus or added by both. A similar pair has `percent` of either set in common, so of
+    what a set adds, all but the rest of the set's size is common as well; in one order of all added shingles, rarest first, the
+    first common one is among the first 100 - percent % of the set's size and one more, on both sides. Or nothing added needs to be
     common: then at most the consensus less the larger loss is, which numbers alone decide (and the sketch, as a rule of
     five standard deviations).
     """
@@ -254,14 +266,14 @@ def possible(members: DataFrame, main: DataFrame) -> DataFrame:
     counted = ranked.groupBy("cluster", "node").agg(F.count("*").alias("repeated"))
     ranked = ranked.join(counted, ["cluster", "node"])
     single = F.col("adds") - F.col("repeated")  # these come first in the order
-    prefix = S.stored(ranked.filter(F.col("place") + single <= F.floor(F.col("n") * (100 - PERCENT) / 100) + 1).select("cluster", "node", "shingle"), "prefixes")
+    prefix = S.stored(ranked.filter(F.col("place") + single <= F.floor(F.col("n") * (100 - percent) / 100) + 1).select("cluster", "node", "shingle"), "prefixes")
 
     side = lambda df, end: df.select("cluster", *[F.col(c).alias(c + end) for c in ("node", "comp", "n", "lost", "size", "sketch_a", "sketch_b")])
     outside = members.join(main, "cluster").filter("comp <> main").drop("main")
     a, b = side(outside, "_a"), side(members, "_b")
-    sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
-    bits = TREES * DEPTH
-    mean = bits * (1 - PERCENT / 100) / 2
+    sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    bits = SKETCH
+    mean = bits * (1 - percent / 100) / 2
     limit = int(mean + 5 * (mean * (1 - mean / bits)) ** 0.5)
     far = F.bit_count(F.col("sketch_a_a").bitwiseXOR(F.col("sketch_a_b"))) + F.bit_count(F.col("sketch_b_a").bitwiseXOR(F.col("sketch_b_b")))
     differ = (F.col("comp_a") != F.col("comp_b")) & sizes & (far <= limit)
@@ -271,14 +283,15 @@ def possible(members: DataFrame, main: DataFrame) -> DataFrame:
     shared = left.join(right, (F.col("cluster") == F.col("cluster_b")) & (F.col("shingle") == F.col("shingle_b")) & differ).select("node_a", "node_b")
     kinds_a, kinds_b = a.select("cluster", "n_a", "lost_a", "size_a").distinct(), b.select("cluster", "n_b", "lost_b").distinct()
     most = F.col("size_a") - F.greatest("lost_a", "lost_b")
-    kinds = kinds_a.join(kinds_b, "cluster").filter(sizes & (most * 100 >= (F.col("n_a") + F.col("n_b") - most) * PERCENT)).select("cluster", "n_a", "lost_a", "n_b", "lost_b")
+    kinds = kinds_a.join(kinds_b, "cluster").filter(sizes & (most * 100 >= (F.col("n_a") + F.col("n_b") - most) * percent)).select("cluster", "n_a", "lost_a", "n_b", "lost_b")
     allowed = a.join(kinds, ["cluster", "n_a", "lost_a"]).join(b.withColumnsRenamed({"cluster": "cluster_b", "n_b": "n_c", "lost_b": "lost_c"}), (F.col("cluster") == F.col("cluster_b")) & (F.col("n_b") == F.col("n_c")) & (F.col("lost_b") == F.col("lost_c")) & (F.col("comp_a") != F.col("comp_b")) & (far <= limit)).select("node_a", "node_b")
     return shared.unionByName(allowed).select(F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v")).distinct()
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
+def near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """For each row of docs: doc_id, n_shingles, component_id (smallest doc_id that links reach), kept."""
-    signed = sign(docs)
+    trees = trees_for(percent)
+    signed = sign(docs, trees)
     nodes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("deeper").alias("deeper"), F.first("sketch_a").alias("sketch_a"), F.first("sketch_b").alias("sketch_b"))
     each = nodes.select("node", "n", "sketch_a", "sketch_b", F.explode(F.arrays_zip(F.transform("keys", lambda _, i: i).alias("tree"), "keys", "deeper")).alias("x"))
     each = each.select("node", "n", "sketch_a", "sketch_b", F.col("x.tree").alias("tree"), F.col("x.keys").alias("key"), F.col("x.deeper").alias("deeper"))
@@ -301,13 +314,13 @@ def near_copies(docs: DataFrame) -> DataFrame:
         links = found if comp is None else comp.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(found)
         comp = components(links)
 
-    for low, high in ROUNDS:
-        pairs = neighbours(with_comp(regions.filter((F.col("tree") >= low) & (F.col("tree") < high))))
+    for low, high in zip(ROUNDS, (*ROUNDS[1:], trees), strict=True):
+        pairs = neighbours(with_comp(regions.filter((F.col("tree") >= low) & (F.col("tree") < high))), percent)
         if tried is not None:
             pairs = pairs.join(tried, ["u", "v"], "left_anti")
         pairs = S.stored(pairs, "candidates")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        add(confirmed(pairs, sets))
+        add(confirmed(pairs, sets, percent))
 
     rows = with_comp(regions)
     several = rows.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("b")).filter("least <> b").drop("b")
@@ -318,16 +331,16 @@ def near_copies(docs: DataFrame) -> DataFrame:
     members = compared(members, sets)
     hubs = S.stored(members.groupBy("cluster").agg(F.max(F.struct("likeness", "node"))["node"].alias("hub")), "hubs")
     star = members.join(hubs, "cluster").filter("node <> hub and likeness > 0").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v"))
-    add(confirmed(star, sets))
+    add(confirmed(star, sets, percent))
     main = S.stored(with_comp(hubs.withColumnRenamed("hub", "node")).select("cluster", F.col("comp").alias("main")), "main-components")
-    add(confirmed(S.stored(possible(S.stored(with_comp(members), "members"), main), "candidates"), sets))
+    add(confirmed(S.stored(possible(S.stored(with_comp(members), "members"), main, percent), "candidates"), sets, percent))
     labelled = signed.select("doc_id", "n_shingles", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("root", "node"))
     least = S.stored(labelled.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id")), "component-ids")
     out = labelled.join(least, "comp", "left").withColumn("component_id", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
-def without_near_copies(docs: DataFrame) -> DataFrame:
+def without_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """docs without the rows whose component has a smaller doc_id."""
-    gone = near_copies(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = near_copies(docs, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")

@@ -84,3 +84,26 @@ def test_given_documents(spark):
     sf = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, op3_lsh_forest(spark, sf).collect()), key=str) == brute(docs)
+
+
+def test_stage_at_80(spark):
+    import corpus_pipeline
+
+    base = [f"b{k}" for k in range(104)]  # 100 shingles; each word changed far from others changes five
+    changed = lambda tag, *at: " ".join(f"{tag}{k}" if k in at else w for k, w in enumerate(base))
+    docs = [(1, " ".join(base)), (2, changed("x", 20, 60)), (3, changed("y", 10, 40, 80)), (4, None)]  # 0.818 and 0.739 of the first
+    docs += [(100 + d, t) for d, t in corpus(3) if d is not None]
+    sets = {k: shingles(t) for k, (_, t) in enumerate(docs)}
+    group = {k: k for k in sets}
+    for i in sets:
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                old, new = group[i], group[j]
+                group = {k: new if g == old else g for k, g in group.items()}
+    least = {g: min(docs[k][0] for k in sets if group[k] == g) for g in group.values()}
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near-dedup"](spark, df, "").collect()}
+    assert {1, 3, 4} <= kept and 2 not in kept
+    assert kept == {docs[k][0] for k in sets if docs[k][0] == least[group[k]]}
+    assert {r.doc_id for r in near_copies.without_near_copies(df).collect()} >= {1, 2, 3}  # op3 stays at 85
+    assert (near_copies.trees_for(85), near_copies.trees_for(80)) == (20, 28)
