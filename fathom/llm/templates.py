@@ -5,9 +5,13 @@ number of tokens, the next LEADING levels the leading tokens; a path of these is
 most of the leaf's different lines have it at that place, and becomes <*> if not; where a line keeps too few of its tokens,
 it is a template of its own. A template that fixes fewer than half of its tokens says too little and never recurs. Leaves in which few lines recur are never looked into.
 
-How often a template recurs is counted in different surroundings, the pair of lines around it, for the lines of copied
-documents always stand in the same ones: a line is dropped if its template is found in MIN_PLACES different surroundings
-at least and these are half as many as its documents or more. So boilerplate goes, and copies are left to near-dedup.
+How often a template recurs is counted in one of two ways. `deduped`, which the query and its SQL define, counts different
+surroundings, the pair of lines around it: a line is dropped if its template is found in MIN_PLACES different surroundings at
+least and these are half as many as its documents or more. This keeps the inner lines of blocks, which always have the same
+neighbours, and a line that a large group of copies holds as well. `without_boilerplate`, the pipeline's stage, counts groups
+of near copies instead (the components of near-dedup, at its threshold, over the texts as they come in): a line is dropped if
+its template is found in MIN_GROUPS of them. So boilerplate goes, and copies are left to near-dedup in both; documents that are
+boilerplate for the most part and near copies by it are one group, and near-dedup's as well.
 
 All keys are hashes that are counted in part before they are shuffled; texts move once, to drop the lines. Defined
 results: blank lines stay; a null text stays null; a document of which nothing but boilerplate was left stays with an empty
@@ -20,10 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathom.llm import near_copies
 from fathom.llm import shared as S
 
 LEADING = 2
 MIN_PLACES = 10
+#: Groups of near copies that a template is found in at least, in the pipeline.
+MIN_GROUPS = 10
 #: A token stays if so many percent of the different lines of its leaf have it at its place.
 SHARE_PERCENT = 50
 #: A template keeps so many percent of its tokens at least.
@@ -47,10 +54,20 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return out.withColumn("leaf", F.xxhash64(tokens, F.substring_index("masked", " ", LEADING)))
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
-    """The stored places (key, place, template) of all lines whose template recurs."""
-    lines = S.stored(lines_of(docs).withColumn("line", F.xxhash64("masked")), "lines")
-    busy = lines.select("leaf", "around").distinct().groupBy("leaf").agg(F.count("*").alias("places")).filter(F.col("places") >= MIN_PLACES).select("leaf")
+def groups_of(docs: DataFrame) -> DataFrame:
+    """key, group: the component of near copies that each row is in."""
+    rows = docs.select(F.xxhash64(row_key(docs)).alias("doc_id"), "text")  # never null, unlike ids
+    return near_copies.near_copies(rows, near_copies.STAGE_PERCENT).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")).distinct()
+
+
+def dropped_lines(docs: DataFrame, by_groups: bool = False) -> DataFrame:
+    """The stored places (key, place, template) of all lines whose template recurs, counted by surroundings or by groups of near copies."""
+    lines = lines_of(docs)
+    if by_groups:
+        lines = lines.withColumn("row", F.xxhash64("key")).join(S.stored(groups_of(docs), "groups"), "row").drop("row", "around").withColumnRenamed("group", "around")
+    least = MIN_GROUPS if by_groups else MIN_PLACES
+    lines = S.stored(lines.withColumn("line", F.xxhash64("masked")), "lines")
+    busy = lines.select("leaf", "around").distinct().groupBy("leaf").agg(F.count("*").alias("places")).filter(F.col("places") >= least).select("leaf")
     here = S.stored(lines.join(busy, "leaf"), "busy-lines")
     each = S.stored(here.groupBy("leaf", "line").agg(F.first("masked").alias("masked")), "different-lines")
     token = each.select("leaf", "line", F.posexplode(F.split("masked", " ")).alias("at", "token"))
@@ -68,13 +85,13 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     found = S.stored(found.select("key", "place", "around", "t", "template"), "templates")
     places = found.select("t", "around").distinct().groupBy("t").agg(F.count("*").alias("places"))
     documents = found.select("t", "key").distinct().groupBy("t").agg(F.count("*").alias("documents"))
-    recurring = places.join(documents, "t").filter((F.col("places") >= MIN_PLACES) & (F.col("places") * 2 >= F.col("documents")))
+    recurring = places.join(documents, "t").filter((F.col("places") >= least) & (F.lit(by_groups) | (F.col("places") * 2 >= F.col("documents"))))
     return S.stored(found.join(recurring, "t").select("key", "place", "template", "places", "documents"), "dropped-lines")
 
 
-def deduped(docs: DataFrame) -> DataFrame:
+def deduped(docs: DataFrame, by_groups: bool = False) -> DataFrame:
     """docs with `text` without the lines whose template recurs; n_lines_dropped is added (and n_chars, if it is there, follows)."""
-    gone = dropped_lines(docs).groupBy("key").agg(F.collect_set("place").alias("gone"))
+    gone = dropped_lines(docs, by_groups).groupBy("key").agg(F.collect_set("place").alias("gone"))
     key = "fathom_row_key"
     joined = docs.withColumn(key, row_key(docs)).join(gone.withColumnRenamed("key", key).withColumnRenamed("gone", "fathom_gone"), key, "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("fathom_gone", i)), "\n")
@@ -86,8 +103,8 @@ def deduped(docs: DataFrame) -> DataFrame:
 
 
 def without_boilerplate(docs: DataFrame) -> DataFrame:
-    """The same with the columns of docs, and without documents that had text and have none now."""
-    out = deduped(docs)
+    """The same by groups of near copies, with the columns of docs, and without documents that had text and have none now."""
+    out = deduped(docs, by_groups=True)
     return out.filter(~((F.col("n_lines_dropped") > 0) & (F.trim("text") == ""))).select(*docs.columns)
 
 

@@ -41,3 +41,20 @@ def test_what_goes(spark):
 def test_empty_and_given(spark, tmp_path):
     assert templates.deduped(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     same(spark, "/root/testdata/sf0.001", "op4_line_templates")
+
+
+def test_blocks_and_hot_copies(spark):
+    r = random.Random(8)
+    words = [f"{a}{b}{c}" for a in "bcdfgklm" for b in "aeiou" for c in "nrstxz"]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    footer = ["All rights are reserved by us", "Contact the office for further help", "Made with care in the city"]
+    docs = [(k, "\n".join([prose(60), *footer])) for k in range(40)]  # three fixed lines: the inner ones have one pair of neighbours
+    docs += [(100 + k, f"{prose(40)}\nSubscribe to the weekly letter now\n{prose(40)}") for k in range(30)]
+    hot = f"{prose(40)}\nSubscribe to the weekly letter now\n{prose(40)}"
+    docs += [(200 + k, hot) for k in range(100)]  # copies of one that has the line too
+    near = prose(80).split(" ")
+    docs += [(400 + k, " ".join(f"edit{'abcdefghijklmnopqrst'[k]}" if i == 3 * k else w for i, w in enumerate(near)) + "\nA closing line of this one page") for k in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.text for x in templates.without_boilerplate(df).collect()}
+    gone = {*footer, "Subscribe to the weekly letter now"}
+    assert got == {d: "\n".join(x for x in t.split("\n") if x not in gone) for d, t in docs}  # the near copies keep their line
