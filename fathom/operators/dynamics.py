@@ -92,60 +92,93 @@ def ergodic(df: DataFrame, field: str, order_by: Sequence[str], windows: Sequenc
     return {"ratios": ratios, "ergodic": all(0.5 < x < 2 for x in ratios)}
 
 
-def ordered_values(df: DataFrame, fields: Sequence[str], order_by: Sequence[str], most: int) -> np.ndarray:
-    """At most `most` rows, evenly spread over the order."""
-    rows = series(df, fields[0], order_by, (), fields[1:])
-    n = rows.count()
-    step = max(1, -(-n // most))
-    return np.array([list(r)[1:] for r in rows.filter((F.col("rn") - 1) % step == 0).orderBy("rn").collect()], float).reshape(-1, len(fields))
-
-
-def phase_space(df: DataFrame, field: str, order_by: Sequence[str], max_dimension: int = 10, tau: int | None = None, most: int = 1000) -> dict[str, Any]:
-    """Delay (first zero of the autocorrelation), embedding dimension (false neighbours below 5 %), largest Lyapunov slope; on
-    a bounded, evenly spaced series."""
-    v = ordered_values(df, [field], order_by, most)[:, 0]
-    n = len(v)
-    if n < 20:
-        return {"error": "too few rows"}
-    d = v - v.mean()
-    acf = np.correlate(d, d, "full")[n - 1 :] / max((d**2).sum(), 1e-300)
-    if tau is None:
-        below = np.flatnonzero(acf <= 0)
-        tau = int(below[0]) if len(below) else max(1, n // 10)
-    dimension = max_dimension
-    for m in range(1, max_dimension + 1):
-        count = min(n - m * tau, 200)
-        if count < 10:
-            dimension = m
-            break
-        e = np.array([v[i : i + m * tau : tau] for i in range(count)])
-        gap = np.sqrt(((e[:, None] - e[None]) ** 2).sum(axis=2))
-        np.fill_diagonal(gap, np.inf)
-        near = gap.argmin(axis=1)
-        base = np.maximum(gap[np.arange(count), near], 1e-12)
-        false = abs(v[np.arange(count) + m * tau] - v[near + m * tau]) / base > 15
-        if false.mean() < 0.05:
-            dimension = m
-            break
-    count = min(n - (dimension - 1) * tau, 200)
-    e = np.array([v[i : i + (dimension - 1) * tau + 1 : tau] for i in range(count)])
-    gap = np.sqrt(((e[:, None] - e[None]) ** 2).sum(axis=2))
-    gap[abs(np.subtract.outer(np.arange(count), np.arange(count))) <= tau] = np.inf
-    near = gap.argmin(axis=1)
-    steps = []
-    for k in range(1, min(20, count // 2)):
-        ok = (np.arange(count) + k < count) & (near + k < count)
-        apart = np.sqrt(((e[np.arange(count)[ok] + k] - e[near[ok] + k]) ** 2).sum(axis=1))
-        steps.append(np.log(np.maximum(apart, 1e-12)).mean())
-    slope = float(np.polyfit(np.arange(len(steps)), steps, 1)[0]) if len(steps) > 1 else 0.0
+def first_zero(rows: DataFrame, n: int, step: int = 64) -> int:
+    """The first lag below n / 3 whose autocorrelation over all rows is not positive, or 1; lags are looked at step by step."""
+    mu = rows.agg(F.avg("v")).first()[0]
+    centred = rows.select("rn", (F.col("v") - float(mu)).alias("d")).cache()
+    try:
+        low, last = 1, n // 3 - 1
+        while low <= last:
+            lags = F.sequence(F.lit(low), F.lit(min(low + step - 1, last)))
+            later = centred.select("d", F.explode(lags).alias("lag"), "rn").select("d", "lag", (F.col("rn") - F.col("lag")).alias("at"))
+            pairs = later.join(centred.select(F.col("rn").alias("at"), F.col("d").alias("e")), "at")
+            found = pairs.groupBy("lag").agg(F.sum(F.col("d") * F.col("e")).alias("c")).filter("c <= 0").agg(F.min("lag")).first()[0]
+            if found is not None:
+                return int(found)
+            low += step
+        return 1
+    finally:
+        centred.unpersist()
+
+
+def delayed(rows: DataFrame, dimension: int, tau: int) -> DataFrame:
+    """at (from 0) and e, the delay vector that begins there, of all rows that have one; rows meet by number."""
+    spread = rows.select("v", F.explode(F.sequence(F.lit(0), F.lit(dimension - 1))).alias("j"), "rn")
+    spread = spread.select((F.col("rn") - 1 - F.col("j") * tau).alias("at"), F.struct("j", "v").alias("x"))
+    grouped = spread.filter("at >= 0").groupBy("at").agg(F.array_sort(F.collect_list("x")).alias("x")).filter(F.size("x") == dimension)
+    return grouped.select("at", F.col("x.v").alias("e"))
+
+
+def nearest(vectors: DataFrame, probes: int, apart: int) -> list[tuple[int, int, float]]:
+    """For each of the first vectors: its place, that of the nearest of all vectors more than `apart` places away, and the distance."""
+    first = vectors.filter(F.col("at") < probes).select(F.col("at").alias("p"), F.col("e").alias("q"))
+    gap = F.sqrt(F.aggregate(F.zip_with("e", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
+    pairs = vectors.crossJoin(F.broadcast(first)).filter(F.abs(F.col("at") - F.col("p")) > apart)  # `probes` rows at most
+    near = pairs.groupBy("p").agg(F.min(F.struct(gap.alias("d"), F.col("at"))).alias("m"))
+    return [(r["p"], r["at"], r["d"]) for r in near.select("p", "m.at", "m.d").orderBy("p").collect()]
+
+
+def phase_space(df: DataFrame, field: str, order_by: Sequence[str], max_dimension: int = 10, tau: int | None = None, probes: int = 200) -> dict[str, Any]:
+    """Delay (first zero of the autocorrelation), embedding dimension (false neighbours below 5 %), largest Lyapunov slope.
+
+    All rows count: the autocorrelation is theirs, and neighbours are searched among all delay vectors. As in the reference, they
+    are searched for the first `probes` vectors (half as many for the slope) only."""
+    rows = series(df, field, order_by).cache()
+    try:
+        n = rows.count()
+        if n < 20:
+            return {"error": "too few rows"}
+        if tau is None:
+            tau = first_zero(rows, n)
+        values = lambda at: {r["rn"] - 1: r["v"] for r in rows.join(F.broadcast(df.sparkSession.createDataFrame([(int(k) + 1,) for k in at], "rn long")), "rn").collect()}
+        dimension = max_dimension
+        for m in range(1, max_dimension):
+            count = min(probes, n - (m - 1) * tau)
+            if count < 20:
+                dimension = m
+                break
+            near = [(p, q, d) for p, q, d in nearest(delayed(rows, m, tau), count, 0) if d >= 1e-12 and max(p, q) + m * tau < n]
+            v = values({k + m * tau for p, q, _ in near for k in (p, q)}) if near else {}
+            false = sum(abs(v[p + m * tau] - v[q + m * tau]) / d > 15 for p, q, d in near)
+            if false / count < 0.05:
+                dimension = m
+                break
+        length = n - (dimension - 1) * tau
+        logs: list[tuple[int, float]] = []
+        if length >= 30:
+            near = [(p, q, d) for p, q, d in nearest(delayed(rows, dimension, tau), min(probes // 2, length - 10), tau) if d >= 1e-12]
+            steps = [(k, p + k, q + k, d) for p, q, d in near for k in range(1, 11) if max(p, q) + k < length]
+            v = values({a + j * tau for _, p, q, _ in steps for a in (p, q) for j in range(dimension)}) if steps else {}
+            for k, p, q, d in steps:
+                far = math.sqrt(sum((v[p + j * tau] - v[q + j * tau]) ** 2 for j in range(dimension)))
+                if far > 1e-12:
+                    logs.append((k, math.log(far / d)))
+        slope = float(np.polyfit(*np.array(logs).T, 1)[0]) if len({k for k, _ in logs}) > 1 else 0.0
+    finally:
+        rows.unpersist()
     return {"tau": tau, "dimension": dimension, "lyapunov": slope, "label": "chaotic" if slope > 0.05 else "stable" if slope < -0.05 else "periodic"}
 
 
 def recurrence(df: DataFrame, fields: Sequence[str], order_by: Sequence[str], threshold: float | None = None, embedding: int = 3, most: int = 500) -> dict[str, Any]:
-    """Recurrence rate, determinism, laminarity, trapping time and diagonal entropy of an evenly spaced, bounded series."""
-    x = ordered_values(df, fields, order_by, most)
-    if x.shape[1] == 1:
-        x = np.array([x[i : i + embedding, 0] for i in range(len(x) - embedding + 1)])
+    """Recurrence rate, determinism, laminarity, trapping time and diagonal entropy of at most `most` states. One field is embedded
+    over all rows; then states are taken evenly spaced, as in the reference."""
+    rows = series(df, fields[0], order_by, (), fields[1:])
+    states = delayed(rows, embedding, 1) if len(fields) == 1 else rows.select((F.col("rn") - 1).alias("at"), F.array("v", *[F.col(f"`{f}`") for f in fields[1:]]).alias("e"))
+    n = states.count()
+    if n > most:
+        chosen = df.sparkSession.createDataFrame([(int(k),) for k in np.linspace(0, n - 1, most, dtype=int)], "at long")
+        states = states.join(F.broadcast(chosen), "at")
+    x = np.array([r["e"] for r in states.orderBy("at").collect()], float)
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
     cut = float(np.percentile(d, 10)) if threshold is None else threshold
     r = (d <= cut) & ~np.eye(len(x), dtype=bool)

@@ -153,6 +153,17 @@ def test_series(spark):
     assert "tau" in dynamics.phase_space(df, "v", ["t"])
 
 
+def test_series_over_all_rows(spark):
+    v = np.sin(np.arange(3000) * 2 * np.pi / 22) + 1e-3 * np.arange(3000) % 7e-3
+    df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(v)], "t int, v double")
+    d = v - v.mean()
+    tau = next(k for k in range(1, 1000) if (d[k:] * d[:-k]).sum() <= 0)
+    assert dynamics.phase_space(df, "v", ["t"], 3)["tau"] == tau == 6  # every third row gives 2
+    e = np.stack([v[:-2], v[1:-1], v[2:]], axis=1)[np.linspace(0, 2997, 500, dtype=int)]
+    gap = np.sqrt(((e[:, None] - e[None]) ** 2).sum(axis=2))
+    assert np.isclose(dynamics.recurrence(df, ["v"], ["t"])["threshold"], np.percentile(gap, 10))
+
+
 def test_structure(spark):
     r = random.Random(2)
     rows = [(c * 10 + r.gauss(0, 1), c * 10 + r.gauss(0, 1)) for c in range(3) for _ in range(40)]
