@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.operators.moments import moments, numbers, numeric_fields
@@ -64,36 +64,46 @@ def spectral(df: DataFrame, fields: Sequence[str] | None = None, n_neighbors: in
     return {"n": len(x), "eigenvalues": values[:n_components].tolist(), "gap_at": int(np.argmax(gaps)) + 1, "fiedler_sizes": [int((vectors[:, 1] >= 0).sum()), int((vectors[:, 1] < 0).sum())]}
 
 
-def sources(df: DataFrame, fields: Sequence[str] | None = None, n_sources: int | None = None, sample: int = 2000, seed: int = 42, rounds: int = 200) -> dict[str, Any]:
-    """Independent components (fixed-point iteration with tanh, one after the other) of a whitened sample."""
+def sources(df: DataFrame, fields: Sequence[str] | None = None, n_sources: int | None = None, seed: int = 42, rounds: int = 200) -> dict[str, Any]:
+    """Independent components (fixed-point iteration with tanh, one after the other) of all rows, whitened; each step is one
+    aggregation, and the driver gets a few numbers from it."""
     names = numeric_fields(df, fields, 15)
-    x = hashed_sample(z_scores(df, names), names, sample, seed)
-    x = x - x.mean(axis=0)
-    values, vectors = np.linalg.eigh(np.cov(x.T, bias=True).reshape(len(names), -1))
+    m = moments(df, names)
+    scale = np.where(m.std > 0, m.std, 1)
+    values, vectors = np.linalg.eigh(m.cov / np.outer(scale, scale))
     keep = values > 1e-10
     white = vectors[:, keep] / np.sqrt(values[keep])
-    z = x @ white
+    x = z_scores(df, names).cache()
+    k = white.shape[1]
+
+    def along(w: np.ndarray) -> Column:
+        """The projection of a row on w, given in whitened coordinates."""
+        return sum((F.col(f"`{f}`") * float(c) for f, c in zip(names, white @ w, strict=True)), F.lit(0.0))
+
     rng = np.random.default_rng(seed)
     found: list[np.ndarray] = []
-    for _ in range(min(n_sources or z.shape[1], z.shape[1])):
-        w = rng.normal(size=z.shape[1])
-        for _ in range(rounds):
-            g = np.tanh(z @ w)
-            new = (z * g[:, None]).mean(axis=0) - (1 - g**2).mean() * w
-            for f in found:
-                new -= (new @ f) * f
-            new /= max(np.linalg.norm(new), 1e-12)
-            done = abs(abs(new @ w) - 1) < 1e-8
-            w = new
-            if done:
-                break
-        found.append(w)
     out = []
-    for w in found:
-        s = z @ w
-        weights = white @ w
-        out.append({"kurtosis": float((s**4).mean() / (s**2).mean() ** 2 - 3), "weights": sorted(zip(names, weights.tolist(), strict=True), key=lambda t: -abs(t[1]))[:5]})
-    return {"n": len(x), "sources": out}
+    try:
+        for _ in range(min(n_sources or k, k)):
+            w = rng.normal(size=k)
+            w /= np.linalg.norm(w)
+            for _ in range(rounds):
+                g = F.tanh(F.col("s"))
+                got = x.withColumn("s", along(w)).agg(F.avg(1 - g * g), *[F.avg(F.col(f"`{f}`") * g) for f in names]).first()
+                new = np.array(got[1:], float) @ white - float(got[0]) * w
+                for f in found:
+                    new -= (new @ f) * f
+                new /= max(np.linalg.norm(new), 1e-12)
+                done = abs(abs(new @ w) - 1) < 1e-8
+                w = new
+                if done:
+                    break
+            found.append(w)
+            kurtosis = x.select(F.kurtosis(along(w))).first()[0]
+            out.append({"kurtosis": float(kurtosis or 0.0), "weights": sorted(zip(names, (white @ w).tolist(), strict=True), key=lambda t: -abs(t[1]))[:5]})
+    finally:
+        x.unpersist()
+    return {"n": m.n, "sources": out}
 
 
 def graphical_model(df: DataFrame, fields: Sequence[str] | None = None, method: str = "threshold", alpha: float = 0.01) -> dict[str, Any]:

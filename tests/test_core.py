@@ -174,6 +174,16 @@ def test_structure(spark):
     assert structure.graphical_model(df, ["a", "b"])["edges"]
 
 
+def test_sources_of_all_rows(spark):
+    r = np.random.default_rng(5)
+    a, b = r.uniform(-1, 1, 6000), r.uniform(-1, 1, 6000)
+    a[::1500] = 40  # four rows in 6,000 make a heavy tail
+    got = structure.sources(spark.createDataFrame(np.stack([a + 0.3 * b, b - 0.2 * a], axis=1).tolist(), "a double, b double"), ["a", "b"])
+    assert got["n"] == 6000
+    want = ((a - a.mean()) ** 4).mean() / a.var() ** 2 - 3
+    assert abs(max(s["kurtosis"] for s in got["sources"]) / want - 1) < 0.05
+
+
 def sample(n=80, word="tick"):
     r = random.Random(7)
     return json.dumps([{"ticker": f"{word}{i}", "price": r.uniform(1, 9), "vol": i, "sector": "abcde"[i % 5], "half": "xy"[i % 2], "desc": "words " * 8} for i in range(n)])
