@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -29,14 +30,59 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: lineage ends here and survives lost executors."""
+#: What is stored and not removed yet: folders and, for bucketed blocks, tables of the warehouse.
+_folders: list[str] = []
+_tables: list[str] = []
+_passing: list[list[str]] = []
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: lineage ends here and survives lost executors. `keep` outlasts
+    the innermost `passing`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    folders = _passing[:-1] if keep else _passing
+    (folders[-1] if folders else _folders).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """What is stored inside goes at the end, but for what is to be kept; so do the shuffles that nothing refers to any more."""
+    paths: list[str] = []
+    _passing.append(paths)
+    try:
+        yield
+    finally:
+        _passing.remove(paths)
+        removed(spark, paths)
+        gc.collect()
+        spark._jvm.System.gc()
+
+
+def remove_stored(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this process. Frames that the operators have returned can't be read afterwards."""
+    removed(spark, _folders)
+    _folders.clear()
+    for table in _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    _tables.clear()
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """The name, or a longer one that docs has no column of."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id as long and text with null as empty; other columns are left behind."""
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"), *[docs[c] for c in more])

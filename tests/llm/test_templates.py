@@ -58,3 +58,25 @@ def test_blocks_and_hot_copies(spark):
     got = {x.doc_id: x.text for x in templates.without_boilerplate(df).collect()}
     gone = {*footer, "Subscribe to the weekly letter now"}
     assert got == {d: "\n".join(x for x in t.split("\n") if x not in gone) for d, t in docs}  # the near copies keep their line
+
+
+def test_what_recurs_across_documents(spark, tmp_path):
+    r = random.Random(12)
+    words = [f"{a}{b}{c}" for a in "bcdfgklm" for b in "aeiou" for c in "nrstxz"]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    banner = ["Welcome to the harbour news", "Read by all the town", "Printed at the old mill", "Sold on every corner"]
+    docs = [(k, "\n".join([*banner, prose(60)])) for k in range(40)]
+    docs.append((100, "\n".join(x for _ in range(12) for x in (prose(9), "and so we sing the song again"))))  # a refrain of one document
+    docs += [(200 + k, f"{prose(50)}\nSubscribe to the weekly letter now") for k in range(30)]
+    docs += [(300 + k, f"A page of its own\n{docs[41][1]}") for k in range(100)]  # a hot group of copies of one text
+    lines = [prose(20) for _ in range(8)]
+    docs += [(500 + k, "\n".join(prose(20) if i == k % 8 else x for i, x in enumerate(lines))) for k in range(40)]  # copies that differ in a line
+    docs += [(None, docs[0][1]), (600, banner[1] + "\n" + " ".join(["word"] * 50_000)), (601, None), (602, "")]
+    df = spark.createDataFrame([(*d, 7, "x", "y") for d in docs], "doc_id long, text string, N_lines_dropped int, text_a string, fathom_gone string").repartition(3)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    same(spark, str(tmp_path), "op4_line_templates")
+    gone = {*banner, "Subscribe to the weekly letter now"}
+    want = sorted(((d, None if t is None else "\n".join(x for x in t.split("\n") if x not in gone)) for d, t in docs), key=str)
+    assert sorted(((x.doc_id, x.text) for x in templates.deduped(df).collect()), key=str) == want
+    out = templates.without_boilerplate(df)
+    assert out.columns == df.columns and {x.N_lines_dropped for x in out.collect()} == {7}
