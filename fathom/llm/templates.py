@@ -116,7 +116,8 @@ def recurring_lines(docs: DataFrame, by_groups: bool = False) -> tuple[DataFrame
     names = templates_of(here)
     found = S.stored(joined(here.drop("masked"), names.drop("template"), ["leaf", "line"]).drop("leaf", "line"), "found")
     often = frequent(found, "t", who, least)
-    found = S.stored(joined(found, often.select("t"), ["t"]).select(*TEXT, "place", "t", "size", "total").distinct(), "often")
+    found = S.stored(joined(found, often.select("t"), ["t"]).select(*TEXT, "place", "t", "size", "total"), "often")
+    found = S.stored(found.distinct(), "places")  # by itself: a join that is distinct at once could not split a hot key
     if not by_groups:
         own = found.groupBy(*TEXT).agg(F.sum("size").alias("size"), F.first("total").alias("total")).filter(F.col("size") * 100 <= F.col("total") * OWN_PERCENT)
         often = frequent(joined(found.select("t", *TEXT), S.stored(own.select(*TEXT), "own"), TEXT), "t", TEXT, least)
