@@ -14,6 +14,7 @@ a doc_id never remove each other's words; a null doc_id counts as the largest; o
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from fathom.llm import repeats as R
@@ -21,8 +22,10 @@ from fathom.llm import shared as S
 
 WORD = S.table_of(S.SPACES)
 ROUNDS = 3
-#: Words in a named run or pair at most.
-CAP = 16
+#: Words after an anchor's first that its window has at least.
+REACH = 24
+#: Words in a named run or pair at most: what an anchor may depend on.
+CAP = REACH
 U = np.uint64
 
 
@@ -99,6 +102,8 @@ def levels(values: np.ndarray, first: np.ndarray) -> list[Level]:
 
 
 class Words(R.Method):
+    reach = REACH
+
     def units(self, data, at):
         start, end, first = S.spans(data, at, WORD)
         return S.word_hashes(data, start, end), first
@@ -107,25 +112,43 @@ class Words(R.Method):
         n = len(values)
         best = np.full(n, np.iinfo(np.uint64).max, np.uint64)
         for depth, level in enumerate(levels(values, first)):  # a symbol stands where the words begin that it depends on
-            good = np.flatnonzero(~level.edge & (level.high - level.low <= R.REACH))
+            good = np.flatnonzero(~level.edge & (level.high - level.low <= REACH))
             low = level.low[good]
             rank = U(ROUNDS - depth) << U(62) | (S.mixed(level.name[good], 40 + depth) >> U(26)) << U(24) | low.astype(np.uint64)
             np.minimum.at(best, low, rank)
-        least = R.lowest(best, R.WIDTH - R.REACH + 1)[: n - R.WIDTH + 1]
+        least = R.lowest(best, R.WIDTH - REACH + 1)[: n - R.WIDTH + 1]
         return (least & U((1 << 24) - 1)).astype(np.int64)
 
-    def piece(self, block, start, count):
-        at = np.repeat(start, count) + R.ramp(count)
-        return S.mixed(block.roll(at, at + R.WIDTH), 17).tobytes(), count * 8
-
-    def settle(self, content, count, doc):
-        names, docs = np.frombuffer(content, np.uint64), np.repeat(doc, count)
-        order = np.lexsort((docs, names))
-        new = np.ones(len(order), bool)
-        new[1:] = np.diff(names[order]) != 0
-        out = np.empty(len(order), bool)
-        out[order] = docs[order] > docs[order][new][np.cumsum(new) - 1]
-        return out
+    def piece(self, block, start, end):
+        """The words, a space after each."""
+        low, high, _ = S.spans(block.data, block.at, WORD)
+        words = np.repeat(start, end - start) + R.ramp(end - start)
+        size = high[words] - low[words] + 1
+        content = block.data[np.minimum(np.repeat(low[words], size) + R.ramp(size), len(block.data) - 1)] if len(words) else np.zeros(0, np.uint8)
+        content[np.cumsum(size) - 1] = 0x20
+        return content, np.diff(np.append(0, np.cumsum(size))[np.append(0, np.cumsum(end - start))])
+
+    def codes(self, content, lengths):
+        """The words numbered by what they are, not by a hash."""
+        ends = np.flatnonzero(content == 0x20)
+        offsets = np.append(0, ends + 1).astype(np.int64)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(content))])
+        return words.dictionary_encode().indices.to_numpy().astype(np.uint32)
+
+    def settle(self, codes, count, doc):
+        """Rounds of exact names, each for twice as many words as the one before; two names of 32 words make a window's."""
+        name, have = codes.astype(np.int64), 1
+        while have < R.WIDTH:
+            step = min(have, R.WIDTH - have)
+            pair = name[: len(name) - step] * np.int64(len(codes)) + name[step:]  # names are below the number of words
+            _, name = np.unique(pair, return_inverse=True)
+            have += step
+        lengths = count + R.WIDTH - 1
+        name = name[np.repeat(np.cumsum(lengths) - lengths, count) + R.ramp(count)]
+        docs = np.repeat(doc, count)
+        least = np.full(len(codes), R.NULL_ID)
+        np.minimum.at(least, name, docs)
+        return docs > least[name]
 
     def kept(self, data, at, first, gone):
         start, end, _ = S.spans(data, at, WORD)

@@ -2,22 +2,21 @@
 
 The texts are stored once, as blocks of whole documents in a table bucketed by block. Every window of WIDTH consecutive
 units picks an anchor inside itself by a rule that sees nothing but the window, so equal windows pick the same anchor at
-the same place. Neighbouring windows mostly pick the same one; a stretch of windows with one anchor is an occurrence, and
-the units under it are its region. A window that starts LEFT units or more before its anchor covers the anchor's left
-context, any other one its right context; so equal windows have a context of 37 or 38 units in common. Three exchanges
-follow. In each, a block sends packed arrays to buckets and gets bits back; the bits are joined to the bucketed blocks, so
-only they are shuffled.
-
-1. names of contexts (40 bits, each once a block): which are in two documents? Other occurrences are done with.
-2. regions (each once a block, with its smallest doc_id): all but the first copy of a region go. And contexts (each once a
-   block): which stand in several different regions? Only there first copies are looked at further (the edges of repeats).
-3. windows of those first copies: which one stands in a document with a smaller doc_id?
-
-Names of contexts only choose what is looked at more closely; regions are told apart by 96 bits. A context found in more
-than HOT blocks has its windows dealt one by one in 3, so no bucket grows with one key; in 1 and 2 a key is sent once by a
-block at most. The number of buckets follows the size of the texts.
-
-A null doc_id counts as larger than all others, and as equal to another null.
+the same place. Neighbouring windows mostly pick the same one; a stretch of windows with one anchor is an occurrence. A
+window that starts `left` units or more before its anchor covers the anchor's left context, any other one its right context;
+so equal windows have a context in common. Two exchanges follow. In each, a block sends packed arrays to buckets and gets bits
+back; the bits are joined to the bucketed blocks, so only they are shuffled.
+
+1. names of contexts (40 bits in a bucket, each once a block): which are in two documents? No other window is looked at further.
+2. pieces: the units under the windows of an occurrence over one context, each different piece once a block with its smallest doc_id.
+   The operator's method settles a bucket: which windows stand in a document with a smaller doc_id? All verdicts come from there.
+
+Names only choose what is looked at more closely; what is removed has been compared unit by unit, inside a block and inside a
+bucket. A context found in more than HOT blocks has its windows dealt one by one in 2, so no bucket grows with one key; a key is
+sent once by a block at most. The number of buckets follows the size of the texts.
+
+A null doc_id counts as larger than all others, and as equal to another null. A text of any length is one row of a block; it is
+looked at in stretches of STEP units, and places in it are 64-bit numbers.
 """
 
 from __future__ import annotations
@@ -33,10 +32,6 @@ from pyspark.sql import functions as F
 from fathom.llm import shared as S
 
 WIDTH = 50
-#: Units from a window's anchor that the window covers at least; the choice of the anchor depends on no more.
-REACH = 24
-#: The left context starts so many units before the anchor.
-LEFT = 13
 #: A context in more blocks than this has its windows dealt one by one.
 HOT = 64
 #: Bytes of text for each bucket of an exchange.
@@ -51,20 +46,32 @@ U = np.uint64
 class Method:
     """How an operator cuts texts into units, picks anchors and settles windows. Pickled into the tasks."""
 
+    #: Units from a window's anchor that the window covers at least; the choice of the anchor depends on no more.
+    reach: int
+
+    @property
+    def left(self) -> int:
+        """The left context starts so many units before the anchor; so both contexts have about the same size."""
+        return (WIDTH - self.reach + 1) // 2
+
     def units(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A 64-bit value for each unit, and each row's first unit (with the number of units at the end)."""
         raise NotImplementedError
 
     def anchors(self, values: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """For every window start, the place of its anchor: at most WIDTH - REACH units on (ignored where no window fits)."""
+        """For every window start, the place of its anchor: at most WIDTH - reach units on (ignored where no window fits)."""
         raise NotImplementedError
 
-    def piece(self, block: Block, start: np.ndarray, count: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """What is sent of the windows start ... start+count-1, and how many bytes each piece takes."""
+    def piece(self, block: Block, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of the units start ... end-1 of each piece, and how many they are; equal units have equal bytes."""
         raise NotImplementedError
 
-    def settle(self, content: bytes, count: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """For all windows of these pieces: is an equal one in a smaller document?"""
+    def codes(self, content: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The units of all pieces as small numbers, equal if and only if the units are: uint8 or uint32."""
+        raise NotImplementedError
+
+    def settle(self, codes: np.ndarray, count: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """For all windows of these different pieces: is an equal one in a smaller document?"""
         raise NotImplementedError
 
     def kept(self, data: np.ndarray, at: np.ndarray, first: np.ndarray, gone: np.ndarray) -> list[bytes]:
@@ -101,10 +108,10 @@ def occurrences(method: Method, values: np.ndarray, first: np.ndarray, step: int
 
 
 class Block:
-    """One block's occurrences, contexts and regions; the same each time it is made from the same row."""
+    """One block's occurrences, contexts and pieces; the same each time it is made from the same row."""
 
     def __init__(self, method: Method, row: dict, buckets: int):
-        self.buckets = buckets
+        self.method, self.buckets = method, buckets
         self.data, self.at = np.frombuffer(row["data"], np.uint8), np.frombuffer(row["at"], np.int64)
         self.ids = np.frombuffer(row["doc_ids"], np.int64)
         values, self.first = method.units(self.data, self.at)
@@ -116,16 +123,16 @@ class Block:
         doc = np.searchsorted(before, window, "right") - 1
         self.start = self.first[doc] + window - before[doc]
         self.doc = self.ids[doc] if len(doc) else window
-        place = self.start + self.off
-        left, right = np.flatnonzero(self.off >= LEFT), np.flatnonzero(self.off - self.count + 1 < LEFT)
-        a = S.mixed(self.roll(place[left] - LEFT, place[left] + REACH), 3)
-        b = S.mixed(self.roll(place[right], place[right] + WIDTH - LEFT + 1), 4)
+        place, reach, back = self.start + self.off, method.reach, method.left
+        left, right = np.flatnonzero(self.off >= back), np.flatnonzero(self.off - self.count + 1 < back)
+        a = S.mixed(self.roll(place[left] - back, place[left] + reach), 3)
+        b = S.mixed(self.roll(place[right], place[right] + WIDTH - back + 1), 4)
         self.context, of = np.unique(self.bucketed(np.concatenate([a, b])), return_inverse=True)
         self.left, self.right = np.full(len(self.start), -1), np.full(len(self.start), -1)
         self.left[left], self.right[right] = of[: len(left)], of[len(left) :]
 
     def bucketed(self, key: np.ndarray) -> np.ndarray:
-        return ((key >> U(44)) % U(self.buckets)) << U(40) | key & LOW40
+        return ((key >> U(40)) % U(self.buckets)) << U(40) | key & LOW40
 
     def split(self, keys: np.ndarray) -> Iterator[tuple[int, slice]]:
         """The buckets of sorted keys."""
@@ -140,74 +147,46 @@ class Block:
         """For each context: is it in two documents of this block?"""
         return several(len(self.context), [self.left, self.right], [self.doc, self.doc])
 
-    def regions(self, shared: np.ndarray) -> None:
-        """The regions with a shared context, each once: key, name, smallest doc_id, contexts; the occurrences' regions."""
-        alive = np.append(shared, False)  # -1: no such context
-        self.seen = np.flatnonzero(alive[self.left] | alive[self.right])
-        start, count, doc = self.start[self.seen], self.count[self.seen], self.doc[self.seen]
-        left, right = self.left[self.seen], self.right[self.seen]
-        name = S.mixed(self.roll(start, start + count + WIDTH - 1), 5) + count.astype(np.uint64)
-        check = (self.context[np.where(left >= 0, left, right)] & U(0xFFFFFFFF)).astype(np.uint32) if len(name) else np.zeros(0, np.uint32)
-        key = self.bucketed(S.mixed(name, 9))
-        order = np.lexsort((start, doc, check, name, key))
-        new = np.ones(len(order), bool)
-        new[1:] = (np.diff(name[order]) != 0) | (np.diff(check[order]) != 0)
-        top = order[new]
-        self.region_of = np.empty(len(order), np.int64)
-        self.region_of[order] = np.cumsum(new) - 1
-        self.key, self.name, self.check, self.low_doc = key[top], name[top], check[top], doc[top]
-        self.region_start, self.region_count, self.region_off = start[top], count[top], self.off[self.seen][top]
-        self.region_left, self.region_right = np.where(alive[left], left, -1)[top], np.where(alive[right], right, -1)[top]
-        self.live = np.unique(np.concatenate([self.region_left, self.region_right]))
-        self.live = self.live[self.live >= 0]
-
-    def live_names(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each live context: one of its regions, and whether it has several in this block."""
-        one = np.zeros(len(self.context), np.uint64)
-        for side in (self.region_left, self.region_right):
-            one[side[side >= 0]] = self.name[side >= 0]
-        both = several(len(self.context), [self.region_left, self.region_right], [self.name, self.name])
-        return one[self.live], both[self.live]
-
-    def pieces(self, smaller: np.ndarray, edge: np.ndarray, hot: np.ndarray) -> None:
-        """The windows of first copies at edges: those over the left context, and the others; or each by itself where it is hot."""
-        is_edge, is_hot = np.zeros(len(self.context) + 1, bool), np.zeros(len(self.context) + 1, bool)
-        is_edge[self.live], is_hot[self.live] = edge, hot
-        of_left = np.clip(self.region_off - LEFT + 1, 0, self.region_count)
+    def pieces(self, shared: np.ndarray, hot: np.ndarray) -> None:
+        """The pieces over shared contexts (or each of their windows by itself where the context is hot), and the different ones:
+        key, bytes, windows, smallest doc_id."""
+        of_left = np.clip(self.off - self.method.left + 1, 0, self.count)
         found = []
-        for side, skip, count in ((self.region_left, np.zeros_like(of_left), of_left), (self.region_right, of_left, self.region_count - of_left)):
-            region = np.flatnonzero(is_edge[side] & ~smaller & (count > 0))
-            single = is_hot[side[region]]
-            times = np.where(single, count[region], 1)
-            step = ramp(times)
-            single, context = np.repeat(single, times), np.repeat(side[region], times)
-            many, region = np.repeat(count[region], times), np.repeat(region, times)
-            start = self.region_start[region] + skip[region] + step
-            key = np.where(single, self.bucketed(S.mixed(self.roll(start, start + WIDTH), 13)), self.context[context]) if len(region) else np.zeros(0, np.uint64)
-            found.append((key, region, start, np.where(single, 1, many)))
-        key, region, start, count = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(key, kind="stable")
-        self.piece_key, self.piece_region, self.piece_start, self.piece_count = key[order], region[order], start[order], count[order]
-
-    def removed(self, smaller: np.ndarray, window_bits: np.ndarray) -> np.ndarray:
-        """For each unit: is it covered by a window that starts in a smaller document, too?"""
-        some = np.zeros(len(self.key), bool)
-        some[self.piece_region] = True
-        size = np.where(some, self.region_count, 0)
-        base = np.cumsum(size) - size
-        own = np.zeros(size.sum(), bool)
-        own[np.repeat(base[self.piece_region] + self.piece_start - self.region_start[self.piece_region], self.piece_count) + ramp(self.piece_count)] = window_bits
-        start, count, doc, region = self.start[self.seen], self.count[self.seen], self.doc[self.seen], self.region_of
-        whole = (doc > self.low_doc[region]) | smaller[region]
-        part = np.flatnonzero(~whole & some[region])
-        lit = np.flatnonzero(own[np.repeat(base[region[part]], count[part]) + ramp(count[part])])
-        part_start = (np.repeat(start[part], count[part]) + ramp(count[part]))[lit]
-        cover = np.zeros(self.first[-1] + 1, np.int32)
-        np.add.at(cover, start[whole], 1)
-        np.add.at(cover, start[whole] + count[whole] + WIDTH - 1, -1)
-        np.add.at(cover, part_start, 1)
-        np.add.at(cover, part_start + WIDTH, -1)
-        return np.cumsum(cover[:-1]) > 0
+        for side, skip, count in ((self.left, np.zeros_like(of_left), of_left), (self.right, of_left, self.count - of_left)):
+            some = np.flatnonzero(np.append(shared, False)[side] & (count > 0))
+            single = hot[side[some]]
+            times = np.where(single, count[some], 1)
+            step, single, some = ramp(times), np.repeat(single, times), np.repeat(some, times)
+            start = self.start[some] + skip[some] + step
+            key = np.where(single, self.bucketed(S.mixed(self.roll(start, start + WIDTH), 13)), self.context[side[some]]) if len(some) else np.zeros(0, np.uint64)
+            found.append((key, start, np.where(single, 1, count[some]), self.doc[some]))
+        key, self.start_of, self.count_of, self.doc_of = (np.concatenate(x) for x in zip(*found, strict=True))
+        name = self.roll(self.start_of, self.start_of + self.count_of + WIDTH - 1) + self.count_of.astype(np.uint64)
+        order = np.lexsort((self.doc_of, name, key))
+        key, name = key[order], name[order]
+        self.start_of, self.count_of, self.doc_of = self.start_of[order], self.count_of[order], self.doc_of[order]
+        content, lengths = self.method.piece(self, self.start_of, self.start_of + self.count_of + WIDTH - 1)
+        at = np.append(0, np.cumsum(lengths))
+        alike = np.zeros(len(key), bool)
+        alike[1:] = (key[1:] == key[:-1]) & (name[1:] == name[:-1]) & (self.count_of[1:] == self.count_of[:-1]) & (lengths[1:] == lengths[:-1])
+        again = np.flatnonzero(alike)  # names are alike: are the bytes those of the piece before?
+        size = lengths[again]
+        place = np.repeat(at[again], size) + ramp(size)
+        wrong = content[place] != content[place - np.repeat(size, size)]
+        alike[again[np.add.reduceat(wrong, np.cumsum(size) - size) > 0] if len(again) else again] = False
+        top = np.flatnonzero(~alike)
+        self.piece_of = np.cumsum(~alike) - 1
+        self.piece_key, self.piece_count, self.piece_doc, self.piece_length = key[top], self.count_of[top], self.doc_of[top], lengths[top]
+        self.content = content[np.repeat(at[top], lengths[top]) + ramp(lengths[top])]
+
+    def removed(self, found: np.ndarray) -> np.ndarray:
+        """For each unit: is it covered by a window that starts in a smaller document, too? found: the different pieces' windows."""
+        base = np.cumsum(self.piece_count) - self.piece_count
+        some = found[np.repeat(base[self.piece_of], self.count_of) + ramp(self.count_of)] | np.repeat(self.doc_of > self.piece_doc[self.piece_of], self.count_of)
+        start = (np.repeat(self.start_of, self.count_of) + ramp(self.count_of))[some]
+        n = int(self.first[-1])
+        cover = np.bincount(start, minlength=n + 1) - np.bincount(start + WIDTH, minlength=n + 1)
+        return np.cumsum(cover[:n]) > 0
 
 
 def several(size: int, index: list[np.ndarray], values: list[np.ndarray]) -> np.ndarray:
@@ -256,47 +235,72 @@ def joined(answers: list[dict] | None, name: str, sizes: list[tuple[int, int]])
     return np.concatenate([flags(by[b], n) for b, n in sizes]) if sizes else np.zeros(0, bool)
 
 
-def answer_names(rows: list[dict]) -> list[tuple[bytes, bytes]]:
-    """1: is a name in two blocks, or in two documents of one?"""
+def answer_names(rows: list[dict], hot: int) -> list[tuple[bytes, bytes]]:
+    """1: is a name in two blocks, or in two documents of one; is it in more than `hot` blocks?"""
     keys = [widened(r["a"]) for r in rows]
     spread = [flags(r["b"], len(k)) for r, k in zip(rows, keys, strict=True)]
     _, of, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
     twice = times > 1
     twice[of[np.concatenate(spread)]] = True
-    return [(bits(x), b"") for x in np.split(twice[of], np.cumsum([len(k) for k in keys])[:-1])]
-
-
-def answer_regions(rows: list[dict]) -> list[tuple[bytes, bytes]]:
-    """2: is a region in a smaller document?"""
-    check, name, doc = (np.concatenate([np.frombuffer(r[c], kind) for r in rows]) for c, kind in (("a", np.uint32), ("b", np.uint64), ("c", np.int64)))
-    order = np.lexsort((doc, check, name))
-    new = np.ones(len(order), bool)
-    new[1:] = (np.diff(name[order]) != 0) | (np.diff(check[order]) != 0)
-    smaller = np.empty(len(order), bool)
-    smaller[order] = doc[order] > doc[order][new][np.cumsum(new) - 1]
-    return [(bits(x), b"") for x in np.split(smaller, np.cumsum([len(r["c"]) // 8 for r in rows])[:-1])]
-
-
-def answer_contexts(rows: list[dict], hot: int) -> list[tuple[bytes, bytes]]:
-    """2: does a context stand in several regions; is it in more than `hot` blocks?"""
-    keys = [widened(r["a"]) for r in rows]
-    name = np.concatenate([np.frombuffer(r["b"], np.uint64) for r in rows])
-    twice = np.concatenate([flags(r["d"], len(k)) for r, k in zip(rows, keys, strict=True)])
-    uniq, of, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-    edge = several(len(uniq), [of], [name])
-    edge[of[twice]] = True
     ends = np.cumsum([len(k) for k in keys])[:-1]
-    return [(bits(x), bits(y)) for x, y in zip(np.split(edge[of], ends), np.split((times > hot)[of], ends), strict=True)]
-
-
-SENT = "bucket int, block long, a binary, b binary, c binary, d binary"
+    return [(bits(x), bits(y)) for x, y in zip(np.split(twice[of], ends), np.split((times > hot)[of], ends), strict=True)]
+
+
+def packed_columns(codes: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Each piece's codes as 64-bit numbers that sort like them, column by column; zeros stand after its end."""
+    each = 8 // codes.itemsize
+    width = 8 * codes.itemsize
+    first = np.cumsum(size) - size
+    out = []
+    for low in range(0, int(size.max(initial=0)), each):
+        column = np.zeros(len(size), np.uint64)
+        for k in range(low, low + each):
+            some = np.flatnonzero(size > k)
+            column[some] |= codes[first[some] + k].astype(np.uint64) << U(64 - width * (k - low + 1))
+        out.append(column)
+    return out
+
+
+def answer_pieces(method: Method, rows: list[dict]) -> list[tuple[bytes, bytes]]:
+    """2: for each window of each piece: is an equal one in a smaller document?
+
+    The pieces are sorted by key and by all their units. Neighbours that agree to the end are copies, and the smallest doc_id settles
+    them. Where a key has different pieces, the method compares the windows of one copy of each.
+    """
+    key, count, doc, lengths = (np.concatenate(x) for x in zip(*[(widened(r["a"]), *np.frombuffer(r["c"], np.int64).reshape(3, -1)) for r in rows], strict=True))
+    codes = method.codes(np.frombuffer(b"".join(r["b"] for r in rows), np.uint8), lengths)
+    size = count + WIDTH - 1
+    columns = [*packed_columns(codes, size)[::-1], size, key]
+    order = np.lexsort((doc, *columns))
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in columns])
+    top, of = order[new], np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    several_here = np.zeros(len(top), bool)
+    same_key = key[top][1:] == key[top][:-1]
+    several_here[1:] |= same_key
+    several_here[:-1] |= same_key
+    rest = top[several_here]
+    first = np.cumsum(size) - size
+    smaller = np.zeros(count[top].sum(), bool)
+    base = np.cumsum(count[top]) - count[top]
+    if len(rest):
+        found = method.settle(codes[np.repeat(first[rest], size[rest]) + ramp(size[rest])], count[rest], doc[rest])
+        smaller[np.repeat(base[several_here], count[rest]) + ramp(count[rest])] = found
+    out = smaller[np.repeat(base[of], count) + ramp(count)] | np.repeat(doc > doc[top][of], count)
+    n = [len(r["c"]) // 24 for r in rows]
+    windows = np.append(0, np.cumsum(count))[np.append(0, np.cumsum(n))]
+    return [(bits(out[a:b]), b"") for a, b in zip(windows[:-1], windows[1:], strict=True)]
+
+
+SENT = "bucket int, block long, a binary, b binary, c binary"
 ANSWER = "bucket int, block long, x binary, y binary"
 
 
 def sent(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "block", "a", "b", "c", "d"])
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 3]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "block", "a", "b", "c"])
 
 
 def blocked(docs: DataFrame, method: Method, buckets: int, block_bytes: int, step: int) -> DataFrame:
@@ -316,6 +320,7 @@ def blocked(docs: DataFrame, method: Method, buckets: int, block_bytes: int, ste
     spark, name = docs.sparkSession, f"fathom_blocks_{uuid.uuid4().hex}"
     cut_rows = S.texts(docs).mapInArrow(S.tidy(cut), "block long, doc_ids binary, at binary, data binary, counts binary, offs binary")
     cut_rows.write.format("parquet").option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(name)
+    S.keep_table(name)
     return spark.table(name)
 
 
@@ -325,17 +330,14 @@ def without_repeats(docs: DataFrame, method: Method, hot: int = HOT, block_bytes
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = blocked(docs, method, parts, block_bytes, step)
     size = blocks.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    buckets = min(1 << 20, max(16, size // BUCKET_BYTES))
+    buckets = min(1 << 24, max(16, size // BUCKET_BYTES))
 
     def made(row: dict, upto: int) -> Block:
         """The block as far as the answers go."""
         block = Block(method, row, buckets)
         if upto >= 1:
-            block.regions(joined(row["x1"], "x", [(b, s.stop - s.start) for b, s in block.split(block.context)]))
-        if upto >= 2:
-            block.smaller = joined(row["x2"], "x", [(b, s.stop - s.start) for b, s in block.split(block.key)])
-            sizes = [(buckets + b, s.stop - s.start) for b, s in block.split(block.context[block.live])]
-            block.pieces(block.smaller, joined(row["x2"], "x", sizes), joined(row["x2"], "y", sizes))
+            sizes = [(b, s.stop - s.start) for b, s in block.split(block.context)]
+            block.pieces(joined(row["x1"], "x", sizes), joined(row["x1"], "y", sizes))
         return block
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -347,30 +349,14 @@ def without_repeats(docs: DataFrame, method: Method, hot: int = HOT, block_bytes
         for row in each(batches):
             block = made(row, 0)
             spread = block.spread()
-            yield sent([(b, row["block"], narrow(block.context[s] & LOW40), bits(spread[s]), b"", b"") for b, s in block.split(block.context)])
+            yield sent([(b, row["block"], narrow(block.context[s] & LOW40), bits(spread[s]), b"") for b, s in block.split(block.context)])
 
-    def send_regions(batches):
+    def send_pieces(batches):
         for row in each(batches):
             block = made(row, 1)
-            rows = [(b, row["block"], block.check[s].tobytes(), block.name[s].tobytes(), block.low_doc[s].tobytes(), b"") for b, s in block.split(block.key)]
-            context, (name, twice) = block.context[block.live], block.live_names()
-            yield sent(rows + [(buckets + b, row["block"], narrow(context[s] & LOW40), name[s].tobytes(), b"", bits(twice[s])) for b, s in block.split(context)])
-
-    def send_windows(batches):
-        for row in each(batches):
-            block = made(row, 2)
-            content, lengths = method.piece(block, block.piece_start, block.piece_count)
-            ends = np.append(0, np.cumsum(lengths))
-            doc = block.low_doc[block.piece_region]
-            yield sent([(b, row["block"], content[ends[s.start] : ends[s.stop]], block.piece_count[s].astype(np.uint8).tobytes(), doc[s].tobytes(), b"") for b, s in block.split(block.piece_key)])
-
-    def answer_second(rows: list[dict]) -> list[tuple[bytes, bytes]]:
-        return answer_regions(rows) if rows[0]["bucket"] < buckets else answer_contexts(rows, hot)
-
-    def answer_windows(rows: list[dict]) -> list[tuple[bytes, bytes]]:
-        counts = [np.frombuffer(r["b"], np.uint8).astype(np.int64) for r in rows]
-        found = method.settle(b"".join(r["a"] for r in rows), np.concatenate(counts), np.concatenate([np.frombuffer(r["c"], np.int64) for r in rows]))
-        return [(bits(x), b"") for x in np.split(found, np.cumsum([c.sum() for c in counts])[:-1])]
+            ends = np.append(0, np.cumsum(block.piece_length))
+            numbers = np.stack([block.piece_count, block.piece_doc, block.piece_length])
+            yield sent([(b, row["block"], narrow(block.piece_key[s] & LOW40), block.content[ends[s.start] : ends[s.stop]].tobytes(), numbers[:, s].tobytes()) for b, s in block.split(block.piece_key)])
 
     def answered(source: DataFrame, send, answer, name: str) -> DataFrame:
         """The answers to what the blocks of source send, one row for each block."""
@@ -389,14 +375,13 @@ def without_repeats(docs: DataFrame, method: Method, hot: int = HOT, block_bytes
             out = out.join(a.hint("shuffle_hash"), "block", "left")
         return out
 
-    first = answered(blocks, send_names, answer_names, "x1")
-    second = answered(with_answers(first), send_regions, answer_second, "x2")
-    third = answered(with_answers(first, second), send_windows, answer_windows, "x3")
+    first = answered(blocks, send_names, lambda rows: answer_names(rows, hot), "x1")
+    second = answered(with_answers(first), send_pieces, lambda rows: answer_pieces(method, rows), "x2")
 
     def finish(batches):
         for row in each(batches):
-            block = made(row, 2)
-            gone = block.removed(block.smaller, joined(row["x3"], "x", [(b, int(block.piece_count[s].sum())) for b, s in block.split(block.piece_key)]))
+            block = made(row, 1)
+            gone = block.removed(joined(row["x2"], "x", [(b, int(block.piece_count[s].sum())) for b, s in block.split(block.piece_key)]))
             n_docs, first_unit = len(block.ids), block.first
             total = np.append(0, np.cumsum(gone))
             some = first_unit[:-1] < first_unit[1:]
@@ -419,4 +404,4 @@ def without_repeats(docs: DataFrame, method: Method, hot: int = HOT, block_bytes
                 }
             )
 
-    return with_answers(first, second, third).mapInArrow(S.tidy(finish), "doc_id long, n_units long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")
+    return with_answers(first, second).mapInArrow(S.tidy(finish), "doc_id long, n_units long, n_removed long, spans array<struct<start:long,end:long>>, kept binary")

@@ -67,6 +67,11 @@ def passing(spark: SparkSession) -> Iterator[None]:
         spark._jvm.System.gc()
 
 
+def keep_table(name: str) -> None:
+    """Have remove_stored drop this table of the warehouse, too."""
+    _tables.append(name)
+
+
 def remove_stored(spark: SparkSession) -> None:
     """Remove all intermediate tables of this process. Frames that the operators have returned can't be read afterwards."""
     removed(spark, _folders)
