@@ -128,7 +128,7 @@ class Words(R.Method):
         content[np.cumsum(size) - 1] = 0x20
         return content, np.diff(np.append(0, np.cumsum(size))[np.append(0, np.cumsum(end - start))])
 
-    def codes(self, content, lengths):
+    def codes(self, content):
         """The words numbered by what they are, not by a hash."""
         ends = np.flatnonzero(content == 0x20)
         offsets = np.append(0, ends + 1).astype(np.int64)

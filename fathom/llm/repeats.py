@@ -7,7 +7,7 @@ window that starts `left` units or more before its anchor covers the anchor's le
 so equal windows have a context in common. Two exchanges follow. In each, a block sends packed arrays to buckets and gets bits
 back; the bits are joined to the bucketed blocks, so only they are shuffled.
 
-1. names of contexts (40 bits in a bucket, each once a block): which are in two documents? No other window is looked at further.
+1. names of contexts (30 bits in a bucket, each once a block): which are in two documents? No other window is looked at further.
 2. pieces: the units under the windows of an occurrence over one context, each different piece once a block with its smallest doc_id.
    The operator's method settles a bucket: which windows stand in a document with a smaller doc_id? All verdicts come from there.
 
@@ -39,7 +39,9 @@ BUCKET_BYTES = 4 << 20
 #: Units that are looked at in one go; the windows' places must fit in 24 bits.
 STEP = 1 << 20
 NULL_ID = np.iinfo(np.int64).max
-LOW40 = np.uint64((1 << 40) - 1)
+#: Bits that tell contexts of a bucket apart; its number stands above them.
+LOW_BITS = 30
+LOW = np.uint64((1 << LOW_BITS) - 1)
 U = np.uint64
 
 
@@ -66,7 +68,7 @@ class Method:
         """The bytes of the units start ... end-1 of each piece, and how many they are; equal units have equal bytes."""
         raise NotImplementedError
 
-    def codes(self, content: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    def codes(self, content: np.ndarray) -> np.ndarray:
         """The units of all pieces as small numbers, equal if and only if the units are: uint8 or uint32."""
         raise NotImplementedError
 
@@ -132,13 +134,13 @@ class Block:
         self.left[left], self.right[right] = of[: len(left)], of[len(left) :]
 
     def bucketed(self, key: np.ndarray) -> np.ndarray:
-        return ((key >> U(40)) % U(self.buckets)) << U(40) | key & LOW40
+        return ((key >> U(40)) % U(self.buckets)) << U(LOW_BITS) | key & LOW
 
     def split(self, keys: np.ndarray) -> Iterator[tuple[int, slice]]:
         """The buckets of sorted keys."""
         if not len(keys):
             return
-        bucket = (keys >> U(40)).astype(np.int64)
+        bucket = (keys >> U(LOW_BITS)).astype(np.int64)
         edges = np.flatnonzero(np.diff(bucket, prepend=-1))
         for low, high in zip(edges, np.append(edges[1:], len(keys)), strict=True):
             yield int(bucket[low]), slice(low, high)
@@ -208,7 +210,7 @@ def ramp(counts: np.ndarray) -> np.ndarray:
 
 
 def narrow(keys: np.ndarray) -> bytes:
-    """Sorted 40-bit keys as differences in as few bytes as the largest takes."""
+    """Sorted keys as differences in as few bytes as the largest takes."""
     steps = np.diff(keys, prepend=U(0))
     width = max(1, (int(steps.max()).bit_length() + 7) // 8)
     return bytes([width]) + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
@@ -221,6 +223,27 @@ def widened(packed: bytes) -> np.ndarray:
     return np.cumsum(out.view("<u8")[:, 0], dtype=np.uint64)
 
 
+def squeezed(content: np.ndarray) -> bytes:
+    """The bytes compressed, after their number."""
+    return len(content).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(content.tobytes(), asbytes=True)
+
+
+def spread_out(packed: bytes) -> np.ndarray:
+    return np.frombuffer(pa.Codec("zstd").decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True), np.uint8)
+
+
+def numbers(count: np.ndarray, doc: np.ndarray) -> bytes:
+    """One byte for each count; doc_ids in four bytes where they fit, or eight."""
+    small = not len(doc) or bool(doc.min() >= 0 and doc.max() < 1 << 32)
+    return bytes([small]) + count.astype(np.uint8).tobytes() + doc.astype("<u4" if small else "<i8").tobytes()
+
+
+def numbers_of(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    kind = np.dtype("<u4" if packed[0] else "<i8")
+    n = (len(packed) - 1) // (1 + kind.itemsize)
+    return np.frombuffer(packed, np.uint8, n, 1).astype(np.int64), np.frombuffer(packed, kind, n, 1 + n).astype(np.int64)
+
+
 def bits(flags: np.ndarray) -> bytes:
     return np.packbits(flags).tobytes()
 
@@ -267,8 +290,8 @@ def answer_pieces(method: Method, rows: list[dict]) -> list[tuple[bytes, bytes]]
     The pieces are sorted by key and by all their units. Neighbours that agree to the end are copies, and the smallest doc_id settles
     them. Where a key has different pieces, the method compares the windows of one copy of each.
     """
-    key, count, doc, lengths = (np.concatenate(x) for x in zip(*[(widened(r["a"]), *np.frombuffer(r["c"], np.int64).reshape(3, -1)) for r in rows], strict=True))
-    codes = method.codes(np.frombuffer(b"".join(r["b"] for r in rows), np.uint8), lengths)
+    key, count, doc = (np.concatenate(x) for x in zip(*[(widened(r["a"]), *numbers_of(r["c"])) for r in rows], strict=True))
+    codes = method.codes(np.concatenate([spread_out(r["b"]) for r in rows]))
     size = count + WIDTH - 1
     columns = [*packed_columns(codes, size)[::-1], size, key]
     order = np.lexsort((doc, *columns))
@@ -288,7 +311,7 @@ def answer_pieces(method: Method, rows: list[dict]) -> list[tuple[bytes, bytes]]
         found = method.settle(codes[np.repeat(first[rest], size[rest]) + ramp(size[rest])], count[rest], doc[rest])
         smaller[np.repeat(base[several_here], count[rest]) + ramp(count[rest])] = found
     out = smaller[np.repeat(base[of], count) + ramp(count)] | np.repeat(doc > doc[top][of], count)
-    n = [len(r["c"]) // 24 for r in rows]
+    n = [len(numbers_of(r["c"])[0]) for r in rows]
     windows = np.append(0, np.cumsum(count))[np.append(0, np.cumsum(n))]
     return [(bits(out[a:b]), b"") for a, b in zip(windows[:-1], windows[1:], strict=True)]
 
@@ -349,14 +372,13 @@ def without_repeats(docs: DataFrame, method: Method, hot: int = HOT, block_bytes
         for row in each(batches):
             block = made(row, 0)
             spread = block.spread()
-            yield sent([(b, row["block"], narrow(block.context[s] & LOW40), bits(spread[s]), b"") for b, s in block.split(block.context)])
+            yield sent([(b, row["block"], narrow(block.context[s] & LOW), bits(spread[s]), b"") for b, s in block.split(block.context)])
 
     def send_pieces(batches):
         for row in each(batches):
             block = made(row, 1)
             ends = np.append(0, np.cumsum(block.piece_length))
-            numbers = np.stack([block.piece_count, block.piece_doc, block.piece_length])
-            yield sent([(b, row["block"], narrow(block.piece_key[s] & LOW40), block.content[ends[s.start] : ends[s.stop]].tobytes(), numbers[:, s].tobytes()) for b, s in block.split(block.piece_key)])
+            yield sent([(b, row["block"], narrow(block.piece_key[s] & LOW), squeezed(block.content[ends[s.start] : ends[s.stop]]), numbers(block.piece_count[s], block.piece_doc[s])) for b, s in block.split(block.piece_key)])
 
     def answered(source: DataFrame, send, answer, name: str) -> DataFrame:
         """The answers to what the blocks of source send, one row for each block."""

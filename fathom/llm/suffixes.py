@@ -133,7 +133,7 @@ class Bytes(R.Method):
         lengths = end - start
         return block.data[np.repeat(start, lengths) + R.ramp(lengths)], lengths
 
-    def codes(self, content, lengths):
+    def codes(self, content):
         return content
 
     def settle(self, codes, count, doc):
