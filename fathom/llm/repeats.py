@@ -33,9 +33,11 @@ from fathom.llm import shared as S
 
 WIDTH = 50
 #: A context in more blocks than this has its windows dealt one by one.
-HOT = 64
+HOT = 4096
+#: Bytes of text that one block holds at most, if it has more than one document.
+BLOCK_BYTES = 1 << 20
 #: Bytes of text for each bucket of an exchange.
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 8 << 20
 #: Units that are looked at in one go; the windows' places must fit in 24 bits.
 STEP = 1 << 20
 NULL_ID = np.iinfo(np.int64).max
@@ -347,7 +349,7 @@ def blocked(docs: DataFrame, method: Method, buckets: int, block_bytes: int, ste
     return spark.table(name)
 
 
-def without_repeats(docs: DataFrame, method: Method, hot: int = HOT, block_bytes: int = S.BLOCK_BYTES, step: int = STEP) -> DataFrame:
+def without_repeats(docs: DataFrame, method: Method, hot: int = HOT, block_bytes: int = BLOCK_BYTES, step: int = STEP) -> DataFrame:
     """For each row of docs: doc_id, n_units, n_removed, spans (removed units, maximal runs), kept (bytes that are left)."""
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
