@@ -12,10 +12,13 @@ A cluster's consensus is the set of shingles that most of some SAMPLE members ha
 consensus and how much of it it lacks. The member nearest to it is the hub, and all are compared with the hub. A member that
 is still outside the hub's component can only be similar to one that shares enough of what both add (prefix filter: one of
 the rarest 15 or 20 % is common to them), or whose numbers of shingles and losses allow it by themselves (see `possible`); just
-those pairs are confirmed. This holds for any consensus, so the sample decides about speed only. There is no cap on candidates.
+those pairs are confirmed, after a sketch of SKETCH bits has set aside those that differ in so many of them as a similar pair does with a
+probability under SKETCH_MISS. This holds for any consensus, so the sample decides about speed only. There is no cap on candidates.
 
 Defined results: null and empty texts have no shingles, are linked with nothing and stand alone; copies share a node and
-its component; the component of rows without any doc_id is null, and they are kept; other columns are ignored.
+its component; rows with a null doc_id link and are linked like all others, but give no component its number: they aren't kept where the
+component has a doc_id; the component of rows without any doc_id is null, and they are kept; rows that repeat doc_id and text are
+treated alike (ties in the smallest doc_id are all kept); a very long text is one set, compared whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,12 +42,14 @@ MISS = 4e-7
 ROUNDS = (0, 2, 7)
 #: Minima that give a bit each to the sketch.
 SKETCH = 120
+#: Chance of a link at the threshold to be set aside by the sketch.
+SKETCH_MISS = 1e-12
 #: Members that a cluster's consensus is made of, about.
 SAMPLE = 64
 #: Percent of the union that the intersection must reach, in op3 and in the pipeline.
 PERCENT, STAGE_PERCENT = 85, 80
 U = np.uint64
-SIGNED = "doc_id long, n_shingles long, node binary, keys array<long>, deeper array<long>, sketch_a long, sketch_b long"
+SIGNED = "doc_id long, row long, n_shingles long, node binary, keys array<long>, deeper array<long>, sketch_a long, sketch_b long"
 
 
 def trees_for(percent: int) -> int:
@@ -52,6 +57,20 @@ def trees_for(percent: int) -> int:
     return math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** FLOOR))
 
 
+def sketch_limit(percent: int) -> int:
+    """Bits that the sketches of two linked sets differ in at most, but for a chance of SKETCH_MISS."""
+    p = (1 - percent / 100) / 2
+    tail, most = 0.0, SKETCH
+    while tail + (step := math.comb(SKETCH, most) * p**most * (1 - p) ** (SKETCH - most)) < SKETCH_MISS:
+        tail, most = tail + step, most - 1
+    return most
+
+
+def rows_of(docs: DataFrame) -> DataFrame:
+    """doc_id, text and a name of both."""
+    return S.texts(docs).withColumn("row", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text"))
+
+
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Each row's distinct shingles in order, and where each row's begin."""
     data, at = S.utf8(column)
@@ -122,6 +141,7 @@ def sign(docs: DataFrame, trees: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": rows.column("doc_id"),
+                    "row": rows.column("row"),
                     "n_shingles": np.diff(first),
                     "node": pa.array([node[16 * k : 16 * k + 16] for k in range(len(some))], pa.binary()).take(take),
                     "keys": lists(key),
@@ -131,22 +151,21 @@ def sign(docs: DataFrame, trees: int) -> DataFrame:
                 }
             )
 
-    return S.stored(S.texts(docs).mapInArrow(S.tidy(signed), SIGNED), "signatures")
+    return S.stored(rows_of(docs).mapInArrow(S.tidy(signed), SIGNED), "signatures")
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The stored shingle sets (node, hashes) of these nodes, from one document each."""
+def sets_of(docs: DataFrame, owners: DataFrame) -> DataFrame:
+    """The stored shingle sets (node, hashes) of the nodes that these rows have."""
 
     def cut(batches):
         for rows in S.blocks(batches):
             values, first = shingle_sets(rows.column("text"))
             own = digests(values, first)
             flat = [values[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_pydict({"node": pa.array([x.tobytes() for x in own], pa.binary()), "hashes": pa.array(flat, pa.binary()), "want": rows.column("node")})
+            yield pa.RecordBatch.from_pydict({"node": pa.array([x.tobytes() for x in own], pa.binary()), "hashes": pa.array(flat, pa.binary())})
 
-    chosen = S.texts(docs).join(nodes.select("doc_id", "node"), "doc_id")
-    found = chosen.select("text", "node").mapInArrow(S.tidy(cut), "node binary, hashes binary, want binary")
-    return S.stored(found.filter("node = want").drop("want").dropDuplicates(["node"]), "shingles")
+    chosen = rows_of(docs).join(owners.select("row"), "row", "left_semi")
+    return S.stored(chosen.select("text").mapInArrow(S.tidy(cut), "node binary, hashes binary").dropDuplicates(["node"]), "shingles")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -255,8 +274,7 @@ def possible(members: DataFrame, main: DataFrame, percent: int) -> DataFrame:
     What two sets have in common is in the consensus or added by both. A similar pair has `percent` of either set in common, so of
     what a set adds, all but the rest of the set's size is common as well; in one order of all added shingles, rarest first, the
     first common one is among the first 100 - percent % of the set's size and one more, on both sides. Or nothing added needs to be
-    common: then at most the consensus less the larger loss is, which numbers alone decide (and the sketch, as a rule of
-    five standard deviations).
+    common: then at most the consensus less the larger loss is, which numbers alone decide.
     """
     each = members.select("cluster", "node", "n", F.explode("added").alias("shingle"))
     times = each.groupBy("cluster", "shingle").agg(F.count("*").alias("times")).filter("times > 1")  # one that is alone is common to nobody
@@ -272,9 +290,7 @@ def possible(members: DataFrame, main: DataFrame, percent: int) -> DataFrame:
     outside = members.join(main, "cluster").filter("comp <> main").drop("main")
     a, b = side(outside, "_a"), side(members, "_b")
     sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    bits = SKETCH
-    mean = bits * (1 - percent / 100) / 2
-    limit = int(mean + 5 * (mean * (1 - mean / bits)) ** 0.5)
+    limit = sketch_limit(percent)
     far = F.bit_count(F.col("sketch_a_a").bitwiseXOR(F.col("sketch_a_b"))) + F.bit_count(F.col("sketch_b_a").bitwiseXOR(F.col("sketch_b_b")))
     differ = (F.col("comp_a") != F.col("comp_b")) & sizes & (far <= limit)
     left = prefix.withColumnRenamed("node", "node_a").join(a.drop("cluster", "lost_a", "size_a"), "node_a")
@@ -290,17 +306,21 @@ def possible(members: DataFrame, main: DataFrame, percent: int) -> DataFrame:
 
 def near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """For each row of docs: doc_id, n_shingles, component_id (smallest doc_id that links reach), kept."""
+    return settled(docs, percent).drop("row")
+
+
+def settled(docs: DataFrame, percent: int) -> DataFrame:
+    """The same with the rows' names."""
     trees = trees_for(percent)
     signed = sign(docs, trees)
-    nodes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("deeper").alias("deeper"), F.first("sketch_a").alias("sketch_a"), F.first("sketch_b").alias("sketch_b"))
+    nodes = signed.filter("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("deeper").alias("deeper"), F.first("sketch_a").alias("sketch_a"), F.first("sketch_b").alias("sketch_b"))
     each = nodes.select("node", "n", "sketch_a", "sketch_b", F.explode(F.arrays_zip(F.transform("keys", lambda _, i: i).alias("tree"), "keys", "deeper")).alias("x"))
     each = each.select("node", "n", "sketch_a", "sketch_b", F.col("x.tree").alias("tree"), F.col("x.keys").alias("key"), F.col("x.deeper").alias("deeper"))
     crowded = each.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("key")
     crowded = S.stored(crowded, "crowded")  # joins with a table that is read can split a hot key, joins with a fresh aggregate cannot
     regions = S.stored(each.join(crowded, "key"), "regions")
-    near = regions.select("node").distinct()
-    owner = signed.filter("node is not null").join(near, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = sets_of(docs, owner)
+    owners = signed.filter("node is not null").groupBy("node").agg(F.min("row").alias("row"))  # first: a join could not split a hot node
+    sets = sets_of(docs, owners.join(regions.select("node").distinct(), "node", "left_semi"))
     links, tried, comp = None, None, None
 
     def with_comp(rows: DataFrame) -> DataFrame:
@@ -334,13 +354,16 @@ def near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     add(confirmed(star, sets, percent))
     main = S.stored(with_comp(hubs.withColumnRenamed("hub", "node")).select("cluster", F.col("comp").alias("main")), "main-components")
     add(confirmed(S.stored(possible(S.stored(with_comp(members), "members"), main, percent), "candidates"), sets, percent))
-    labelled = signed.select("doc_id", "n_shingles", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("root", "node"))
+    labelled = signed.select("doc_id", "row", "n_shingles", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("root", "node"))
     least = S.stored(labelled.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id")), "component-ids")
     out = labelled.join(least, "comp", "left").withColumn("component_id", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+    return out.select("doc_id", "row", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
 def without_near_copies(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id."""
-    gone = near_copies(docs, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+    """docs without the rows whose component has a smaller doc_id, or any if their own is null."""
+    name = S.free_name(docs, "fathom_row")
+    gone = settled(docs, percent).filter(~F.col("kept")).select(F.col("row").alias(name)).distinct()
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    rows = docs.withColumn(name, F.xxhash64(F.coalesce(docs["doc_id"].cast("long").cast("string"), F.lit("-")), text))
+    return rows.join(gone, name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

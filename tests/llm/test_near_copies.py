@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -107,3 +108,26 @@ def test_stage_at_80(spark):
     assert kept == {docs[k][0] for k in sets if docs[k][0] == least[group[k]]}
     assert {r.doc_id for r in near_copies.without_near_copies(df).collect()} >= {1, 2, 3}  # op3 stays at 85
     assert (near_copies.trees_for(85), near_copies.trees_for(80)) == (20, 28)
+
+
+def test_null_ids(spark, tmp_path):
+    r = random.Random(6)
+    docs = corpus(5) + [(d if k % 3 else None, t) for k, (d, t) in enumerate(corpus(7))]
+    base = [f"v{k}" for k in range(60)]
+    text = lambda at: " ".join("odd" if k == at else w for k, w in enumerate(base))
+    docs += [(20_005, text(0)), (None, text(59)), (20_007, " ".join(base)), (None, " ".join(base))]  # the null rows link the others
+    r.shuffle(docs)
+    df = spark.createDataFrame([(*d, "x", 4) for d in docs], "doc_id long, text string, row string, fathom_row int").repartition(3)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    want = brute(docs)
+    assert sorted(map(tuple, op3_lsh_forest(spark, str(tmp_path)).collect()), key=str) == want
+    out = near_copies.without_near_copies(df)
+    assert out.columns == df.columns
+    assert sorted((str(x.doc_id) for x in out.collect())) == sorted(str(d) for d, _, _, kept in want if kept)
+
+
+def test_sketch_limit():
+    for percent in (80, 85):
+        most, p = near_copies.sketch_limit(percent), (1 - percent / 100) / 2
+        tail = sum(math.comb(near_copies.SKETCH, k) * p**k * (1 - p) ** (near_copies.SKETCH - k) for k in range(most + 1, near_copies.SKETCH + 1))
+        assert tail < near_copies.SKETCH_MISS < tail + math.comb(near_copies.SKETCH, most) * p**most * (1 - p) ** (near_copies.SKETCH - most)
