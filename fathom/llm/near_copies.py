@@ -12,8 +12,8 @@ A cluster's consensus is the set of shingles that most of some SAMPLE members ha
 consensus and how much of it it lacks. The member nearest to it is the hub, and all are compared with the hub. A member that
 is still outside the hub's component can only be similar to one that shares enough of what both add (prefix filter: one of
 the rarest 15 or 20 % is common to them), or whose numbers of shingles and losses allow it by themselves (see `possible`); just
-those pairs are confirmed, after a sketch of SKETCH bits has set aside those that differ in so many of them as a similar pair does with a
-probability under SKETCH_MISS. This holds for any consensus, so the sample decides about speed only. There is no cap on candidates.
+those pairs are confirmed. Bitmaps of what a member lacks and adds bound what a pair has in common from above, so pairs that can't be similar are
+not even made. This holds for any consensus, so the sample decides about speed only. There is no cap on candidates.
 
 Defined results: null and empty texts have no shingles, are linked with nothing and stand alone; copies share a node and
 its component; rows with a null doc_id link and are linked like all others, but give no component its number: they aren't kept where the
@@ -40,16 +40,15 @@ DEPTH, FLOOR = 6, 4
 MISS = 4e-7
 #: The first trees whose neighbours are compared in one go; then come the next, and all others.
 ROUNDS = (0, 2, 7)
-#: Minima that give a bit each to the sketch.
-SKETCH = 120
-#: Chance of a link at the threshold to be set aside by the sketch.
-SKETCH_MISS = 1e-12
+#: Bits, 64 to a number, that what a member lacks is hashed to, and as many for what it adds.
+MAP = 256
+MAPS = [f"{kind}{k}" for kind in "mx" for k in range(MAP // 64)]
 #: Members that a cluster's consensus is made of, about.
 SAMPLE = 64
 #: Percent of the union that the intersection must reach, in op3 and in the pipeline.
 PERCENT, STAGE_PERCENT = 85, 80
 U = np.uint64
-SIGNED = "doc_id long, row long, n_shingles long, node binary, keys array<long>, deeper array<long>, sketch_a long, sketch_b long"
+SIGNED = "doc_id long, row long, n_shingles long, node binary, keys array<long>, deeper array<long>"
 
 
 def trees_for(percent: int) -> int:
@@ -57,13 +56,11 @@ def trees_for(percent: int) -> int:
     return math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** FLOOR))
 
 
-def sketch_limit(percent: int) -> int:
-    """Bits that the sketches of two linked sets differ in at most, but for a chance of SKETCH_MISS."""
-    p = (1 - percent / 100) / 2
-    tail, most = 0.0, SKETCH
-    while tail + (step := math.comb(SKETCH, most) * p**most * (1 - p) ** (SKETCH - most)) < SKETCH_MISS:
-        tail, most = tail + step, most - 1
-    return most
+def bitmap(values: np.ndarray) -> np.ndarray:
+    """The bits that these are hashed to, as MAP // 64 numbers."""
+    on = np.zeros(MAP, np.uint8)
+    on[S.mixed(values.view(np.uint64), 70) % U(MAP)] = 1
+    return np.packbits(on).view(np.int64)
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
@@ -129,10 +126,6 @@ def sign(docs: DataFrame, trees: int) -> DataFrame:
                 key = S.mixed(key * U(S.BASES[0]) + sig[:, :, k], 60)
             key = S.mixed(key + np.arange(trees, dtype=np.uint64), 61)
             deep = sig[:, :, FLOOR] << U(32) | sig[:, :, FLOOR + 1]
-            packed = np.packbits((sig.reshape(len(some), trees * DEPTH)[:, :SKETCH] & U(1)).astype(np.uint8), axis=1)
-            sketch = np.zeros((len(some), 16), np.uint8)
-            sketch[:, : packed.shape[1]] = packed
-            sketch = sketch.view(np.int64)
             node = digests(values, first)[some].tobytes()
             missing = np.diff(first) == 0
             place = np.cumsum(~missing) - 1
@@ -146,8 +139,6 @@ def sign(docs: DataFrame, trees: int) -> DataFrame:
                     "node": pa.array([node[16 * k : 16 * k + 16] for k in range(len(some))], pa.binary()).take(take),
                     "keys": lists(key),
                     "deeper": lists(deep),
-                    "sketch_a": pa.array(sketch[:, 0], pa.int64()).take(take),
-                    "sketch_b": pa.array(sketch[:, 1], pa.int64()).take(take),
                 }
             )
 
@@ -244,13 +235,13 @@ def consensus(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def compared(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """The members with what sets them apart from the consensus: added, lost, size (of the consensus), likeness."""
+    """The members with what sets them apart from the consensus: added, lost, size (of the consensus), likeness, bitmaps of what they lack (m0 ...) and add (x0 ...)."""
 
     def apart(batches):
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
-                added, lost, size, likeness = [], [], [], []
+                added, lost, size, likeness, maps = [], [], [], [], []
                 for a, b in zip(part.column("hashes").to_pylist(), part.column("center").to_pylist(), strict=True):
                     own, middle = np.frombuffer(a, np.int64), np.array(b or [], np.int64)
                     more = np.setdiff1d(own, middle, assume_unique=True)
@@ -259,13 +250,14 @@ def compared(members: DataFrame, sets: DataFrame) -> DataFrame:
                     lost.append(len(middle) - common)
                     size.append(len(middle))
                     likeness.append(common / (len(own) + len(middle) - common))
+                    maps.append(np.concatenate([bitmap(np.setdiff1d(middle, own, assume_unique=True)), bitmap(more)]))
                 ends = np.append(0, np.cumsum([len(x) for x in added]))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(added), pa.int64()))
-                columns = {c: part.column(c) for c in ("node", "n", "cluster", "sketch_a", "sketch_b")}
-                yield pa.RecordBatch.from_pydict(columns | {"added": lists, "lost": pa.array(lost, pa.int64()), "size": pa.array(size, pa.int64()), "likeness": pa.array(likeness, pa.float64())})
+                columns = {c: part.column(c) for c in ("node", "n", "cluster")}
+                yield pa.RecordBatch.from_pydict(columns | {"added": lists, "lost": pa.array(lost, pa.int64()), "size": pa.array(size, pa.int64()), "likeness": pa.array(likeness, pa.float64())} | dict(zip(MAPS, np.stack(maps).T.copy(), strict=True)))
 
-    joined = members.join(sets, "node").join(consensus(members, sets), "cluster").select("node", "n", "cluster", "sketch_a", "sketch_b", "hashes", "center")
-    return S.stored(joined.mapInArrow(S.tidy(apart), "node binary, n long, cluster binary, sketch_a long, sketch_b long, added array<long>, lost long, size long, likeness double"), "members")
+    joined = members.join(sets, "node").join(consensus(members, sets), "cluster").select("node", "n", "cluster", "hashes", "center")
+    return S.stored(joined.mapInArrow(S.tidy(apart), "node binary, n long, cluster binary, added array<long>, lost long, size long, likeness double, " + ", ".join(f"{c} long" for c in MAPS)), "members")
 
 
 def possible(members: DataFrame, main: DataFrame, percent: int) -> DataFrame:
@@ -274,7 +266,8 @@ def possible(members: DataFrame, main: DataFrame, percent: int) -> DataFrame:
     What two sets have in common is in the consensus or added by both. A similar pair has `percent` of either set in common, so of
     what a set adds, all but the rest of the set's size is common as well; in one order of all added shingles, rarest first, the
     first common one is among the first 100 - percent % of the set's size and one more, on both sides. Or nothing added needs to be
-    common: then at most the consensus less the larger loss is, which numbers alone decide.
+    common: then at most the consensus less the larger loss is, which numbers alone decide. In both cases a bit that only one
+    map has stands for a shingle at least that only one member lacks or adds; what is left in common must reach `percent`.
     """
     each = members.select("cluster", "node", "n", F.explode("added").alias("shingle"))
     times = each.groupBy("cluster", "shingle").agg(F.count("*").alias("times")).filter("times > 1")  # one that is alone is common to nobody
@@ -286,21 +279,28 @@ def possible(members: DataFrame, main: DataFrame, percent: int) -> DataFrame:
     single = F.col("adds") - F.col("repeated")  # these come first in the order
     prefix = S.stored(ranked.filter(F.col("place") + single <= F.floor(F.col("n") * (100 - percent) / 100) + 1).select("cluster", "node", "shingle"), "prefixes")
 
-    side = lambda df, end: df.select("cluster", *[F.col(c).alias(c + end) for c in ("node", "comp", "n", "lost", "size", "sketch_a", "sketch_b")])
+    side = lambda df, end: df.select("cluster", *[F.col(c).alias(c + end) for c in ("node", "comp", "n", "lost", "size", *MAPS)])
     outside = members.join(main, "cluster").filter("comp <> main").drop("main")
     a, b = side(outside, "_a"), side(members, "_b")
     sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    limit = sketch_limit(percent)
-    far = F.bit_count(F.col("sketch_a_a").bitwiseXOR(F.col("sketch_a_b"))) + F.bit_count(F.col("sketch_b_a").bitwiseXOR(F.col("sketch_b_b")))
-    differ = (F.col("comp_a") != F.col("comp_b")) & sizes & (far <= limit)
-    left = prefix.withColumnRenamed("node", "node_a").join(a.drop("cluster", "lost_a", "size_a"), "node_a")
-    right = prefix.withColumnRenamed("node", "node_b").join(b.drop("cluster", "lost_b", "size_b"), "node_b")
+    here, there = lambda c: F.col(c + "_a"), lambda c: F.col(c + "_b")
+    bits = lambda kind, f: sum((F.bit_count(f(here(c), there(c))) for c in MAPS if c[0] == kind), F.lit(0))
+    adds = lambda end: F.col("n" + end) - F.col("size_a") + F.col("lost" + end)
+    both_add = F.least(adds("_a") - bits("x", lambda p, q: p.bitwiseAND(F.bitwise_not(q))), adds("_b") - bits("x", lambda p, q: q.bitwiseAND(F.bitwise_not(p))))
+    lacking = F.greatest(F.col("lost_a") + bits("m", lambda p, q: q.bitwiseAND(F.bitwise_not(p))), F.col("lost_b") + bits("m", lambda p, q: p.bitwiseAND(F.bitwise_not(q))))
+    most = F.col("size_a") - lacking + both_add
+    differ = (F.col("comp_a") != F.col("comp_b")) & sizes & (most * 100 >= (F.col("n_a") + F.col("n_b") - most) * percent)
+    left = prefix.withColumnRenamed("node", "node_a").join(a.drop("cluster"), "node_a")
+    right = prefix.withColumnRenamed("node", "node_b").join(b.drop("cluster", "size_b"), "node_b")
     right = right.withColumnRenamed("cluster", "cluster_b").withColumnRenamed("shingle", "shingle_b")
     shared = left.join(right, (F.col("cluster") == F.col("cluster_b")) & (F.col("shingle") == F.col("shingle_b")) & differ).select("node_a", "node_b")
     kinds_a, kinds_b = a.select("cluster", "n_a", "lost_a", "size_a").distinct(), b.select("cluster", "n_b", "lost_b").distinct()
-    most = F.col("size_a") - F.greatest("lost_a", "lost_b")
-    kinds = kinds_a.join(kinds_b, "cluster").filter(sizes & (most * 100 >= (F.col("n_a") + F.col("n_b") - most) * percent)).select("cluster", "n_a", "lost_a", "n_b", "lost_b")
-    allowed = a.join(kinds, ["cluster", "n_a", "lost_a"]).join(b.withColumnsRenamed({"cluster": "cluster_b", "n_b": "n_c", "lost_b": "lost_c"}), (F.col("cluster") == F.col("cluster_b")) & (F.col("n_b") == F.col("n_c")) & (F.col("lost_b") == F.col("lost_c")) & (F.col("comp_a") != F.col("comp_b")) & (far <= limit)).select("node_a", "node_b")
+    largest = F.col("size_a") - F.greatest("lost_a", "lost_b")
+    kinds = kinds_a.join(kinds_b, "cluster").filter(sizes & (largest * 100 >= (F.col("n_a") + F.col("n_b") - largest) * percent))
+    kinds = kinds.select(F.col("cluster").alias("kind"), F.col("n_a").alias("n_kind"), F.col("lost_a").alias("lost_kind"), F.col("n_b").alias("n_other"), F.col("lost_b").alias("lost_other"))
+    a = a.join(kinds, (F.col("cluster") == F.col("kind")) & (F.col("n_a") == F.col("n_kind")) & (F.col("lost_a") == F.col("lost_kind")))
+    b = b.drop("size_b").withColumnRenamed("cluster", "cluster_b")
+    allowed = a.join(b, (F.col("cluster") == F.col("cluster_b")) & (F.col("n_other") == F.col("n_b")) & (F.col("lost_other") == F.col("lost_b")) & differ).select("node_a", "node_b")
     return shared.unionByName(allowed).select(F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v")).distinct()
 
 
@@ -313,9 +313,9 @@ def settled(docs: DataFrame, percent: int) -> DataFrame:
     """The same with the rows' names."""
     trees = trees_for(percent)
     signed = sign(docs, trees)
-    nodes = signed.filter("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("deeper").alias("deeper"), F.first("sketch_a").alias("sketch_a"), F.first("sketch_b").alias("sketch_b"))
-    each = nodes.select("node", "n", "sketch_a", "sketch_b", F.explode(F.arrays_zip(F.transform("keys", lambda _, i: i).alias("tree"), "keys", "deeper")).alias("x"))
-    each = each.select("node", "n", "sketch_a", "sketch_b", F.col("x.tree").alias("tree"), F.col("x.keys").alias("key"), F.col("x.deeper").alias("deeper"))
+    nodes = signed.filter("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("deeper").alias("deeper"))
+    each = nodes.select("node", "n", F.explode(F.arrays_zip(F.transform("keys", lambda _, i: i).alias("tree"), "keys", "deeper")).alias("x"))
+    each = each.select("node", "n", F.col("x.tree").alias("tree"), F.col("x.keys").alias("key"), F.col("x.deeper").alias("deeper"))
     crowded = each.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("key")
     crowded = S.stored(crowded, "crowded")  # joins with a table that is read can split a hot key, joins with a fresh aggregate cannot
     regions = S.stored(each.join(crowded, "key"), "regions")
@@ -347,7 +347,7 @@ def settled(docs: DataFrame, percent: int) -> DataFrame:
     several = S.stored(several, "several")
     rows = S.stored(rows.join(several, "key"), "mixed-regions")
     clusters = components(rows.select(F.col("comp").alias("u"), F.col("least").alias("v")).distinct()).withColumnsRenamed({"root": "cluster", "node": "comp"})
-    members = S.stored(rows.select("node", "comp", "n", "sketch_a", "sketch_b").distinct().join(clusters, "comp").drop("comp"), "clustered")
+    members = S.stored(rows.select("node", "comp", "n").distinct().join(clusters, "comp").drop("comp"), "clustered")
     members = compared(members, sets)
     hubs = S.stored(members.groupBy("cluster").agg(F.max(F.struct("likeness", "node"))["node"].alias("hub")), "hubs")
     star = members.join(hubs, "cluster").filter("node <> hub and likeness > 0").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v"))

@@ -1,7 +1,7 @@
-import math
 import random
 import re
 
+import numpy as np
 import pytest
 
 from fathom.llm import components, near_copies
@@ -126,8 +126,12 @@ def test_null_ids(spark, tmp_path):
     assert sorted((str(x.doc_id) for x in out.collect())) == sorted(str(d) for d, _, _, kept in want if kept)
 
 
-def test_sketch_limit():
-    for percent in (80, 85):
-        most, p = near_copies.sketch_limit(percent), (1 - percent / 100) / 2
-        tail = sum(math.comb(near_copies.SKETCH, k) * p**k * (1 - p) ** (near_copies.SKETCH - k) for k in range(most + 1, near_copies.SKETCH + 1))
-        assert tail < near_copies.SKETCH_MISS < tail + math.comb(near_copies.SKETCH, most) * p**most * (1 - p) ** (near_copies.SKETCH - most)
+def test_bitmap():
+    r = np.random.default_rng(3)
+    for n in (0, 1, 30, 2000):
+        a, b = r.integers(0, 2**62, n), r.integers(0, 2**62, n)
+        a[: n // 2] = b[: n // 2]
+        x, y = near_copies.bitmap(a).view(np.uint64), near_copies.bitmap(b).view(np.uint64)
+        only = sum(int(v).bit_count() for v in x & ~y)
+        assert only <= len(set(a.tolist()) - set(b.tolist()))
+        assert n != 30 or only > 5
