@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions import coerce
 from fathom.operators.moments import binned, edges_of, moments, normal_cdf, numbers, numeric_fields
+from fathom.operators.order import numbered, stretched
 from fathom.operators.screening import partial
 
 
@@ -54,20 +55,31 @@ def causal_graph(df: DataFrame, fields: Sequence[str] | None = None, alpha: floa
 
 def transfer_counts(df: DataFrame, source: str, target: str, order_by: Sequence[str], lag: int = 1, bins: int = 8) -> DataFrame:
     """future, past, driver (bins of the target, its past and the source's past), m."""
+    return moved_counts(bins_in_order(df, source, target, order_by, bins), source, target, lag)
+
+
+def bins_in_order(df: DataFrame, source: str, target: str, order_by: Sequence[str], bins: int) -> DataFrame:
+    """rn (from 1) and the two fields as quantile buckets."""
     rows = numbers(df, [source, target], *order_by)
-    s, t = coerce.bucket(F.col(f"`{source}`"), edges_of(rows, source, bins)), coerce.bucket(F.col(f"`{target}`"), edges_of(rows, target, bins))
-    w = Window.orderBy(*order_by)
-    moved = rows.select(t.alias("future"), F.lag(t, lag).over(w).alias("past"), F.lag(s, lag).over(w).alias("driver")).dropna()
-    return moved.groupBy("future", "past", "driver").agg(F.count("*").alias("m"))
+    bucket = lambda f: coerce.bucket(F.col(f"`{f}`"), edges_of(rows, f, bins)).alias(f)
+    order = [f"__o{k}" for k in range(len(order_by))]
+    kept = rows.select(bucket(source), bucket(target), *[F.col(f"`{o}`").alias(n) for o, n in zip(order_by, order, strict=True)])
+    return numbered(kept, order).select("rn", source, target)
+
+
+def moved_counts(rows: DataFrame, source: str, target: str, lag: int) -> DataFrame:
+    w = Window.partitionBy("__b").orderBy("rn")
+    moved = stretched(rows, "rn", lag, 0).select(F.col(target).alias("future"), F.lag(target, lag).over(w).alias("past"), F.lag(source, lag).over(w).alias("driver"), "__own")
+    return moved.filter("__own").drop("__own").dropna().groupBy("future", "past", "driver").agg(F.count("*").alias("m"))
 
 
 def transfer_entropy(df: DataFrame, source: str, target: str, order_by: Sequence[str], max_lag: int = 5, bins: int = 8) -> DataFrame:
     """lag, te_forward, te_backward in nats."""
-    out = None
+    out, rows = None, bins_in_order(df, source, target, order_by, bins)
     for lag in range(1, max_lag + 1):
         sides = []
         for a, b, name in ((source, target, "te_forward"), (target, source, "te_backward")):
-            c = transfer_counts(df, a, b, order_by, lag, bins)
+            c = moved_counts(rows, a, b, lag)
             w = lambda *k: F.sum("m").over(Window.partitionBy(*k))  # noqa: E731  over bins**3 cells
             q = c.select("m", w("past", "driver").alias("pd"), w("future", "past").alias("fp"), w("past").alias("p"), w(F.lit(1)).alias("t"))
             sides.append(q.agg(F.sum(F.col("m") / F.col("t") * F.log(F.col("m") * F.col("p") / (F.col("pd") * F.col("fp")))).alias(name)))

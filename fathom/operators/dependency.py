@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from fathom.functions import coerce
 from fathom.operators.moments import binned, chi2_tail, entropy, f_tail, moments, numbers, numeric_fields
+from fathom.operators.order import numbered, running
 from fathom.operators.quality import hashed_sample
 
 
 def average_rank(df: DataFrame, field: str, out: str) -> DataFrame:
-    """df with the rank of each row, ties sharing their mean. Ranks come from the counts of different values, so only those are in one order."""
+    """df with the rank of each row, ties sharing their mean. Ranks come from running sums over the counts of different values."""
     counts = df.groupBy(F.col(f"`{field}`").alias("__v")).agg(F.count("*").alias("__m"))
-    ranked = counts.withColumn(out, F.sum("__m").over(Window.orderBy("__v")) - (F.col("__m") - 1) / 2.0).drop("__m")
+    ranked = running(counts, "__v", "__m", "__upto").select("__v", (F.col("__upto") - (F.col("__m") - 1) / 2.0).alias(out))
     return df.join(ranked, df[field] == ranked["__v"]).drop("__v")
 
 
@@ -137,7 +138,8 @@ def banded_kendall(df: DataFrame, a: str, b: str, order_by: Sequence[str], band:
 
     Rows of one stretch of `band` meet those of their own and the next stretch only, so the work is rows * band, dealt by stretch.
     """
-    rows = df.select(F.row_number().over(Window.orderBy(*order_by)).alias("i"), coerce.number(df, a).alias("x"), coerce.number(df, b).alias("y")).dropna()
+    order = [F.col(f"`{o}`").alias(f"__o{k}") for k, o in enumerate(order_by)]
+    rows = numbered(df.select(coerce.number(df, a).alias("x"), coerce.number(df, b).alias("y"), *order), [f"__o{k}" for k in range(len(order))], "i").select("i", "x", "y").dropna()
     left = rows.withColumn("s", F.floor(F.col("i") / band))
     right = rows.select(F.col("i").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.explode(F.array(F.floor(F.col("i") / band), F.floor(F.col("i") / band) - 1)).alias("s"))
     sign = F.signum((F.col("x2") - F.col("x")) * (F.col("y2") - F.col("y")))

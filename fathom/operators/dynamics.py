@@ -11,19 +11,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions import coerce
+from fathom.operators.order import numbered, stretched
 
 
 def series(df: DataFrame, field: str, order_by: Sequence[str], partition_by: Sequence[str] = (), also: Sequence[str] = ()) -> DataFrame:
     """rn (from 1), v and the other fields, in order, where v is a number."""
     keys = [F.col(f"`{p}`").alias(p) for p in partition_by]
     rows = df.select(*keys, coerce.number(df, field).alias("v"), *[coerce.number(df, a).alias(a) for a in also], *[F.col(f"`{o}`").alias(f"__o{k}") for k, o in enumerate(order_by)]).filter("v is not null")
-    w = Window.partitionBy(*partition_by).orderBy(*[f"__o{k}" for k in range(len(order_by))]) if partition_by else Window.orderBy(*[f"__o{k}" for k in range(len(order_by))])
-    return rows.select(*partition_by, F.row_number().over(w).alias("rn"), "v", *also)
+    order = [f"__o{k}" for k in range(len(order_by))]
+    if not partition_by:
+        return numbered(rows, order).select("rn", "v", *also)
+    return rows.select(*partition_by, F.row_number().over(Window.partitionBy(*partition_by).orderBy(*order)).alias("rn"), "v", *also)
 
 
-def over(partition_by: Sequence[str], low: int, high: int):
-    w = Window.partitionBy(*partition_by).orderBy("rn") if partition_by else Window.orderBy("rn")
-    return w.rowsBetween(low, high)
+def around(rows: DataFrame, partition_by: Sequence[str], low: int, high: int) -> tuple[DataFrame, list[str]]:
+    """rows as windows from `low` to `high` need them, and what these are partitioned by: the series, or stretches of the only one.
+    Rows that stand there for other rows' windows alone have __own false."""
+    if partition_by:
+        return rows.withColumn("__own", F.lit(True)), list(partition_by)
+    return stretched(rows, "rn", max(0, -low), max(0, high)), ["__b"]
+
+
+def over(keys: Sequence[str], low: int, high: int):
+    return Window.partitionBy(*keys).orderBy("rn").rowsBetween(low, high)
 
 
 def autocorrelation(df: DataFrame, field: str, order_by: Sequence[str], max_lag: int = 20) -> DataFrame:
@@ -42,7 +52,9 @@ def changepoint_candidates(df: DataFrame, field: str, order_by: Sequence[str], m
     rows = series(df, field, order_by, partition_by)
     everything = Window.partitionBy(*partition_by) if partition_by else None
     std = F.stddev_pop("v").over(everything) if everything else None
-    marked = rows.select(*partition_by, "rn", F.avg("v").over(over(partition_by, -min_segment, -1)).alias("before"), F.avg("v").over(over(partition_by, 0, min_segment - 1)).alias("after"), F.count("v").over(over(partition_by, -min_segment, -1)).alias("b"), F.count("v").over(over(partition_by, 0, min_segment - 1)).alias("a"), *([std.alias("std")] if everything else []))
+    wide, keys = around(rows, partition_by, -min_segment, min_segment - 1)
+    last, following = over(keys, -min_segment, -1), over(keys, 0, min_segment - 1)
+    marked = wide.select(*partition_by, "rn", F.avg("v").over(last).alias("before"), F.avg("v").over(following).alias("after"), F.count("v").over(last).alias("b"), F.count("v").over(following).alias("a"), "__own", *([std.alias("std")] if everything else [])).filter("__own")
     if not everything:
         marked = marked.crossJoin(F.broadcast(rows.agg(F.stddev_pop("v").alias("std"))))  # one row
     shift = F.try_divide(F.abs(F.col("after") - F.col("before")), F.col("std"))
@@ -61,12 +73,13 @@ def changepoints(df: DataFrame, field: str, order_by: Sequence[str], min_segment
 def rolling(df: DataFrame, field: str, order_by: Sequence[str], window: int = 20, other: str | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
     """rn, mean, std, min, max (and corr with another field) of each full window that starts at a row."""
     rows = series(df, field, order_by, partition_by, [other] if other else [])
-    w = over(partition_by, 0, window - 1)
+    rows, keys = around(rows, partition_by, 0, window - 1)
+    w = over(keys, 0, window - 1)
     columns = [F.avg("v").over(w).alias("mean"), F.stddev_pop("v").over(w).alias("std"), F.min("v").over(w).alias("min"), F.max("v").over(w).alias("max")]
     if other:
         scale = F.stddev_pop("v").over(w) * F.stddev_pop(other).over(w)
         columns.append(F.coalesce(F.try_divide(F.covar_pop("v", other).over(w), F.nullif(scale, F.lit(0.0))), F.lit(0.0)).alias("corr"))
-    return rows.select(*partition_by, "rn", *columns, F.count("v").over(w).alias("__n")).filter(F.col("__n") == window).drop("__n")
+    return rows.select(*partition_by, "rn", *columns, F.count("v").over(w).alias("__n"), "__own").filter((F.col("__n") == window) & F.col("__own")).drop("__n", "__own")
 
 
 def ergodicity(df: DataFrame, field: str, order_by: Sequence[str], windows: Sequence[int] = (10, 25, 50, 100)) -> DataFrame:
@@ -81,8 +94,9 @@ def ergodicity(df: DataFrame, field: str, order_by: Sequence[str], windows: Sequ
 
 
 def rolling_mean(rows: DataFrame, window: int) -> DataFrame:
-    w = over((), 0, window - 1)
-    return rows.select("rn", F.avg("v").over(w).alias("mean"), F.count("v").over(w).alias("__n")).filter(F.col("__n") == window).drop("__n")
+    rows, keys = around(rows, (), 0, window - 1)
+    w = over(keys, 0, window - 1)
+    return rows.select("rn", F.avg("v").over(w).alias("mean"), F.count("v").over(w).alias("__n"), "__own").filter((F.col("__n") == window) & F.col("__own")).drop("__n", "__own")
 
 
 def ergodic(df: DataFrame, field: str, order_by: Sequence[str], windows: Sequence[int] = (10, 25, 50, 100)) -> dict[str, Any]:
@@ -211,8 +225,8 @@ def sample_entropy(df: DataFrame, field: str, order_by: Sequence[str], max_scale
         r, n = tolerance * (stats["s"] or 0.0), stats["n"] or 0
         if n <= dimension + 1 or r <= 0:
             continue
-        w = Window.orderBy("block")
-        t = values.select("block", *[F.lead("v", k).over(w).alias(f"x{k}") for k in range(dimension + 1)]).dropna()
+        w = Window.partitionBy("__b").orderBy("block")
+        t = stretched(values, "block", 0, dimension).select("block", "__own", *[F.lead("v", k).over(w).alias(f"x{k}") for k in range(dimension + 1)]).filter("__own").drop("__own").dropna()
         cell = F.floor(F.col("x0") / r)
         left = t.withColumn("cell", cell)
         right = t.select(F.col("block").alias("block2"), *[F.col(f"x{k}").alias(f"y{k}") for k in range(dimension + 1)], F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))

@@ -11,13 +11,21 @@ from pyspark.sql import functions as F
 
 from fathom.functions import coerce
 from fathom.operators.moments import moments, numeric_fields
+from fathom.operators.order import numbered, stretched
 
 
-def renormalized(df: DataFrame, fields: Sequence[str] | None, order_by: Sequence[str], scale: int) -> DataFrame:
-    """Means of blocks of 2**(scale-1) rows in order; the last, incomplete block is left out."""
+def in_order(df: DataFrame, names: Sequence[str], order_by: Sequence[str]) -> DataFrame:
+    """__rn (from 1) and the fields as numbers."""
+    order = [F.col(f"`{o}`").alias(f"__o{k}") for k, o in enumerate(order_by)]
+    rows = df.select(*[coerce.number(df, f).alias(f) for f in names], *order)
+    return numbered(rows, [f"__o{k}" for k in range(len(order))], "__rn").select("__rn", *names)
+
+
+def renormalized(df: DataFrame, fields: Sequence[str] | None, order_by: Sequence[str], scale: int, rows: DataFrame | None = None) -> DataFrame:
+    """Means of blocks of 2**(scale-1) rows in order; the last, incomplete block is left out. rows: in_order, if it is there already."""
     names = numeric_fields(df, fields, 10)
     size = 2 ** (scale - 1)
-    rows = df.select(F.row_number().over(Window.orderBy(*order_by)).alias("__rn"), *[coerce.number(df, f).alias(f) for f in names])
+    rows = in_order(df, names, order_by) if rows is None else rows
     blocks = rows.groupBy(F.floor((F.col("__rn") - 1) / size).alias("__b")).agg(F.count("*").alias("__m"), *[F.avg(f).alias(f) for f in names])
     return blocks.filter(F.col("__m") == size).select(*names)
 
@@ -25,9 +33,9 @@ def renormalized(df: DataFrame, fields: Sequence[str] | None, order_by: Sequence
 def renormalization_flow(df: DataFrame, fields: Sequence[str] | None, order_by: Sequence[str], max_scale: int = 5) -> list[dict[str, Any]]:
     """Mean and largest |correlation|, and mean standard deviation, at each scale."""
     names = numeric_fields(df, fields, 10)
-    out = []
+    out, rows = [], in_order(df, names, order_by)
     for scale in range(1, max_scale + 1):
-        m = moments(renormalized(df, names, order_by, scale), names)
+        m = moments(renormalized(df, names, order_by, scale, rows), names)
         if m.n < 5:
             break
         off = abs(m.corr[np.triu_indices(len(names), 1)])
@@ -38,8 +46,9 @@ def renormalization_flow(df: DataFrame, fields: Sequence[str] | None, order_by:
 def symmetry(df: DataFrame, fields: Sequence[str] | None, order_by: Sequence[str]) -> DataFrame:
     """field, n, translation (variation of the steps), log_skew of |x|, skew; reflection holds below 0.2."""
     names = numeric_fields(df, fields, 15)
-    w = Window.orderBy(*order_by)
-    rows = df.select(*[coerce.number(df, f).alias(f) for f in names], *[(coerce.number(df, f) - F.lag(coerce.number(df, f)).over(w)).alias(f"{f}__d") for f in names])
+    w = Window.partitionBy("__b").orderBy("__rn")
+    rows = stretched(in_order(df, names, order_by), "__rn", 1, 0)
+    rows = rows.select(*[F.col(f"`{f}`") for f in names], "__own", *[(F.col(f"`{f}`") - F.lag(f"`{f}`").over(w)).alias(f"{f}__d") for f in names]).filter("__own")
     entries = []
     aggregates = []
     for f in names:

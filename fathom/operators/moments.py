@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions import coerce
+from fathom.operators.order import running
 
 
 def numbers(df: DataFrame, fields: Sequence[str], *more: str) -> DataFrame:
@@ -95,13 +96,11 @@ def f_tail(f: float, d1: float, d2: float) -> float:
 
 def edges_of(df: DataFrame, field: str, bins: int) -> list[float]:
     """Nearest-rank quantile edges of a column of doubles: positions rounded half to even."""
-    from pyspark.sql import Window
-
     n = df.filter(F.col(field).isNotNull()).count()
     if not n:
         return []
     want = [round((n - 1) * b / bins) for b in range(bins + 1)]
-    ranked = df.filter(F.col(field).isNotNull()).groupBy(field).agg(F.count("*").alias("m")).withColumn("upto", F.sum("m").over(Window.orderBy(field)))  # one row for each different value
+    ranked = running(df.filter(F.col(field).isNotNull()).groupBy(field).agg(F.count("*").alias("m")), field, "m", "upto")
     rows = ranked.filter(F.expr(" or ".join(f"(upto - m <= {w} and upto > {w})" for w in sorted(set(want))))).select(field, "m", "upto").collect()
     value = {w: next(r[0] for r in rows if r["upto"] - r["m"] <= w < r["upto"]) for w in set(want)}
     return [value[w] for w in want]

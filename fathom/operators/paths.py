@@ -21,11 +21,11 @@ from fathom.runtime import stored
 ON_DRIVER, DENSE = 20_000, 2_000
 
 
-def components(grid: Grid, rounds: int = 100) -> DataFrame:
-    """vid, component (smallest vid): labels spread along edges, with a jump to the label's label each round."""
+def components(grid: Grid) -> DataFrame:
+    """vid, component (smallest vid): labels spread along edges, with a jump to the label's label each round, until nothing changes."""
     label = grid.vertices.select("vid", F.col("vid").alias("component"))
-    edges = grid.edges().select("src", "dst").distinct().cache()
-    for _ in range(rounds):
+    edges = stored(grid.edges().select("src", "dst").distinct())
+    while True:
         near = edges.join(label.withColumnRenamed("vid", "dst"), "dst").groupBy("src").agg(F.min("component").alias("m"))
         step = label.join(near, label["vid"] == near["src"], "left").select("vid", F.least("component", F.coalesce("m", "component")).alias("component"))
         jump = step.alias("a").join(step.select(F.col("vid").alias("component"), F.col("component").alias("top")), "component").select("vid", F.least("component", "top").alias("component"))
@@ -33,8 +33,7 @@ def components(grid: Grid, rounds: int = 100) -> DataFrame:
         settled = rows.join(label.withColumnRenamed("component", "old"), "vid").filter("component <> old").isEmpty()
         label = rows
         if settled:
-            break
-    return label
+            return label
 
 
 def betti(grid: Grid) -> dict[str, int]:
@@ -46,12 +45,12 @@ def betti(grid: Grid) -> dict[str, int]:
 
 def orbit(grid: Grid, vid: int, radius: int) -> DataFrame:
     """vid, distance for all vertices up to `radius` hops away: the frontier is joined with the edges, round by round."""
-    edges = grid.edges().select("src", "dst").distinct().cache()
+    edges = stored(grid.edges().select("src", "dst").distinct())
     reached = edges.sparkSession.createDataFrame([(vid, 0)], "vid int, distance int")
     front = reached
     for d in range(1, radius + 1):
         new = edges.join(front.select(F.col("vid").alias("src")), "src").select(F.col("dst").alias("vid")).distinct().join(reached, "vid", "left_anti").withColumn("distance", F.lit(d))
-        front = new.cache()
+        front = stored(new)
         if front.isEmpty():
             break
         reached = reached.unionByName(front)
@@ -103,13 +102,15 @@ def next_hops(grid: Grid, name: str, descend: bool = True) -> DataFrame:
     return grid.vertices.select("vid").join(moves, "vid", "left").select("vid", F.coalesce("next", "vid").alias("next"))
 
 
-def basins(grid: Grid, name: str, descend: bool = True, rounds: int = 7) -> DataFrame:
-    """vid, extremum: pointer doubling over the next hops, 2**rounds steps."""
-    hop = next_hops(grid, name, descend)
-    for _ in range(rounds):
-        hop = stored(hop)  # each round reads the last one twice
-        hop = hop.join(hop.select(F.col("vid").alias("next"), F.col("next").alias("after")), "next").select("vid", F.col("after").alias("next"))
-    return hop.withColumnRenamed("next", "extremum")
+def basins(grid: Grid, name: str, descend: bool = True) -> DataFrame:
+    """vid, extremum: pointer doubling over the next hops until all have arrived."""
+    hop = stored(next_hops(grid, name, descend))
+    while True:
+        step = hop.join(hop.select(F.col("vid").alias("next"), F.col("next").alias("after")), "next")
+        step = stored(step.select("vid", F.col("after").alias("next"), (F.col("after") != F.col("next")).alias("moved")))
+        hop = step.drop("moved")
+        if step.filter("moved").isEmpty():
+            return hop.withColumnRenamed("next", "extremum")
 
 
 def trace(grid: Grid, start: int, name: str, ascend: bool = True, max_steps: int = 25) -> list[int]:

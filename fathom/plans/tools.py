@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from fathom.functions import predicate
 from fathom.operators import causal, dependency, drivers, dynamics, grid, insight, laws, paths, quality, screening, structure
@@ -40,8 +41,16 @@ def parsed(value: Any) -> Any:
 
 
 def answer(value: Any, most: int = 200) -> Any:
-    """A frame's first rows, everything else as it is."""
-    return [r.asDict(True) for r in value.limit(most).collect()] if isinstance(value, DataFrame) else value
+    """A frame's rows, everything else as it is. Of more than `most` rows, some (evenly spaced ones of a series) with the total and a mark."""
+    if not isinstance(value, DataFrame):
+        return value
+    rows = value.limit(most + 1).collect()
+    if len(rows) <= most:
+        return [r.asDict(True) for r in rows]
+    total = value.count()
+    if "rn" in value.columns:
+        rows = value.filter((F.col("rn") - 1) % -(-total // most) == 0).orderBy("rn").limit(most).collect()
+    return {"rows": [r.asDict(True) for r in rows[:most]], "total": total, "truncated": True}
 
 
 KINDS = {"s": "string", "i": "integer", "n": "number", "b": "boolean"}

@@ -39,14 +39,14 @@ def shipping(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return run
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors see: spark.checkpoint.dir or, where it is unset, one in the warehouse."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/fathom_stored").rstrip("/")
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """df written to the folder all executors share (spark.checkpoint.dir; one of our own where it is unset) and read back, so
-    that its lineage ends there."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="fathom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    """df written to the folder all executors share and read back, so that its lineage ends there."""
+    spark, base = df.sparkSession, shared_dir(df.sparkSession)
     path = f"{base.rstrip('/')}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

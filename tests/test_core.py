@@ -263,3 +263,39 @@ def test_streams(spark, tmp_path):
     seen = []
     ingest.to_catalog(spark.readStream.text(str(tmp_path / "texts")), seen.append, str(tmp_path / "checkpoint")).awaitTermination(120)
     assert sorted(seen) == ["a" * 20, "b"]
+
+
+def test_order_without_one_task(spark):
+    from fathom.operators import dynamics, order
+
+    n = 1000
+    rows = spark.createDataFrame([(float((k * 37) % n), float(k % 5)) for k in range(n)], "o double, v double").repartition(5)
+    got = order.numbered(rows, ["o"]).collect()
+    assert all(r.rn == r.o + 1 for r in got) and len(got) == n
+    sums = {r.v: r.upto for r in order.running(rows.groupBy("v").count(), "v", "count", "upto").collect()}
+    assert sums == {float(v): 200 * (v + 1) for v in range(5)}
+    near = order.stretched(order.numbered(rows, ["o"]), "rn", 3, 2, stretch=10).filter("__own")
+    assert near.count() == n
+    assert order.numbered(rows.limit(0), ["o"]).count() == 0
+    plan = dynamics.rolling(rows, "v", ["o"], 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "[__b" in plan and "Window" in plan
+
+
+def test_windows_across_stretches(spark, monkeypatch):
+    from fathom.operators import dynamics, order
+
+    values = np.random.default_rng(2).normal(size=300)
+    rows = spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "k int, v double").repartition(4)
+    monkeypatch.setattr(order.stretched, "__defaults__", (20,))
+    got = {r.rn: r.mean for r in dynamics.rolling(rows, "v", ["k"], 9).collect()}
+    assert got.keys() == set(range(1, 293))
+    assert all(abs(got[k + 1] - values[k : k + 9].mean()) < 1e-9 for k in range(292))
+
+
+def test_long_answers_say_so(spark):
+    from fathom.plans import tools
+
+    short = spark.range(5)
+    assert tools.answer(short) == [{"id": k} for k in range(5)]
+    out = tools.answer(spark.range(1000).selectExpr("id + 1 AS rn"), 100)
+    assert out["total"] == 1000 and out["truncated"] and [r["rn"] for r in out["rows"]] == list(range(1, 1001, 10))
