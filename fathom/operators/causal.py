@@ -88,6 +88,35 @@ def transfer_entropy(df: DataFrame, source: str, target: str, order_by: Sequence
     return out
 
 
+def transfer_significance(df: DataFrame, source: str, target: str, order_by: Sequence[str], lag: int, bins: int = 8, surrogates: int = 100, seed: int = 42) -> DataFrame:
+    """observed, p_value: the transfer entropy at the lag, and the share of shuffled sources that reach it. Each shuffle is the
+    order of a seeded hash of row number and shuffle; all are numbered at once, so no shuffle is brought into one task."""
+    rows = bins_in_order(df, source, target, order_by, bins).dropna()
+    kept = numbered(rows, ["rn"], "at").drop("rn")
+    n = kept.count()
+    copies = kept.select(F.explode(F.sequence(F.lit(0), F.lit(surrogates - 1))).alias("s"), F.col(source).alias("driver"), F.xxhash64(F.lit(seed), "at", "s").alias("h"), "at")
+    moved = numbered(copies, ["s", "h", "at"], "rank").select("s", "driver", (F.col("rank") - 1 - F.col("s") * n + 1).alias("at"))
+    own = kept.select(F.lit(-1).alias("s"), F.col(source).alias("driver"), (F.col("at") + lag).alias("at")).filter(F.col("at") <= n)
+    w = Window.partitionBy("__b").orderBy("at")
+    past = stretched(kept, "at", lag, 0).select("at", F.col(target).alias("future"), F.lag(target, lag).over(w).alias("past"), "__own").filter("__own").drop("__own").dropna()
+    cells = own.unionByName(moved).join(past, "at").groupBy("s", "future", "past", "driver").agg(F.count("*").alias("m"))
+    total = lambda *k: F.sum("m").over(Window.partitionBy("s", *k))  # noqa: E731  over bins**3 cells of each shuffle
+    q = cells.select("s", "m", total("past", "driver").alias("pd"), total("future", "past").alias("fp"), total("past").alias("p"), total().alias("t"))
+    each = q.groupBy("s").agg(F.sum(F.col("m") / F.col("t") * F.log(F.col("m") * F.col("p") / (F.col("pd") * F.col("fp")))).alias("te"))
+    seen = F.max(F.when(F.col("s") < 0, F.col("te")))
+    return each.agg(seen.alias("observed"), F.collect_list(F.when(F.col("s") >= 0, F.col("te"))).alias("x")).select("observed", (F.size(F.filter("x", lambda v: v >= F.col("observed"))) / F.lit(surrogates)).alias("p_value"))
+
+
+def transfer_summary(df: DataFrame, source: str, target: str, order_by: Sequence[str], max_lag: int = 5, bins: int = 8, surrogates: int = 100) -> dict[str, Any]:
+    """All lags, the best one, the net flow's direction there and the chance of a shuffled source to do as well."""
+    lags = sorted(transfer_entropy(df, source, target, order_by, max_lag, bins).collect(), key=lambda r: r["lag"])  # max_lag rows
+    best = max(lags, key=lambda r: (r["te_forward"], -r["lag"]))
+    net = best["te_forward"] - best["te_backward"]
+    p = transfer_significance(df, source, target, order_by, best["lag"], bins, surrogates).first()["p_value"]
+    direction = f"{source} -> {target}" if net > 0.01 else f"{target} -> {source}" if net < -0.01 else "no_clear_direction"
+    return {"lags": [r.asDict() for r in lags], "best_lag": best["lag"], "net_flow": net, "direction": direction, "p_value": p}
+
+
 def effect(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str] = (), method: str = "regress", draws: int = 200, seed: int = 42) -> dict[str, Any]:
     """The treatment's coefficient with the confounders adjusted for, the naive one, and a bootstrap interval from weighted
     moments: every row gets Poisson weights from its hash, so one pass serves all draws."""

@@ -82,6 +82,28 @@ def rolling(df: DataFrame, field: str, order_by: Sequence[str], window: int = 20
     return rows.select(*partition_by, "rn", *columns, F.count("v").over(w).alias("__n"), "__own").filter((F.col("__n") == window) & F.col("__own")).drop("__n", "__own")
 
 
+def rolling_summary(df: DataFrame, field: str, order_by: Sequence[str], window: int = 20, other: str | None = None) -> DataFrame:
+    """One row over all full windows: windows, trend_slope (of their means along the order), volatility (autocorrelation of their
+    deviations at lag 1) and, with another field, sign_changes and stability of the correlation."""
+    found = rolling(df, field, order_by, window, other)
+    w = Window.partitionBy("__b").orderBy("rn")
+    steps = stretched(found, "rn", 1, 0).withColumn("before", F.lag("std").over(w)).withColumn("turned", F.col("corr") * F.lag("corr").over(w) < 0 if other else F.lit(False)).filter("__own")
+    mean = steps.agg(F.avg("std").alias("__mean"))  # one row
+    apart = (F.col("std") - F.col("__mean")) * (F.col("before") - F.col("__mean"))
+    out = steps.crossJoin(F.broadcast(mean)).agg(F.count("*").alias("windows"), F.coalesce(F.regr_slope("mean", F.col("rn").cast("double")), F.lit(0.0)).alias("trend_slope"), F.coalesce(F.try_divide(F.sum(apart) / F.count("*"), F.nullif(F.var_pop("std"), F.lit(0.0))), F.lit(0.0)).alias("volatility"), F.count_if("turned").alias("sign_changes"))
+    return out.withColumn("stability", 1 - F.col("sign_changes") / F.greatest("windows", F.lit(1))) if other else out.drop("sign_changes")
+
+
+def acf_summary(df: DataFrame, field: str, order_by: Sequence[str], max_lag: int = 20) -> dict[str, Any]:
+    """The autocorrelations by lag, the lags beyond chance, the period (lag of the first peak beyond it) and whether the first five lags
+    fall by more than 0.3, as a stationary series' do."""
+    rows = sorted(autocorrelation(df, field, order_by, max_lag).collect(), key=lambda r: r["lag"])  # max_lag rows
+    acf = [r["acf"] for r in rows]
+    peaks = (r["lag"] for a, r, b in zip(rows, rows[1:], rows[2:], strict=False) if r["acf"] > max(a["acf"], b["acf"]) and r["acf"] > 0 and r["beyond"])
+    fall = abs(acf[0] - acf[4]) if len(acf) > 4 else 1.0
+    return {"lags": [r.asDict() for r in rows], "significant": [r["lag"] for r in rows if r["beyond"]], "period": next(peaks, None), "stationary": fall > 0.3}
+
+
 def ergodicity(df: DataFrame, field: str, order_by: Sequence[str], windows: Sequence[int] = (10, 25, 50, 100)) -> DataFrame:
     """window, chunks, spread (standard deviation of chunk means, strides of half a window), ratio to what independence gives."""
     rows = series(df, field, order_by)

@@ -43,6 +43,22 @@ def renormalization_flow(df: DataFrame, fields: Sequence[str] | None, order_by:
     return out
 
 
+def exchangeable(df: DataFrame, fields: Sequence[str] | None) -> DataFrame:
+    """field_a, field_b, distance: the largest gap between values of the same rank, as a share of the largest value; permutation
+    symmetry holds below 0.1. Rows that lack a field are left out; values meet by rank."""
+    names = numeric_fields(df, fields, 15)
+    rows = df.select(*[coerce.number(df, f).alias(f"v{k}") for k, f in enumerate(names)]).dropna()
+    ranked = None
+    for k in range(len(names)):
+        one = numbered(rows.select(f"v{k}"), [f"v{k}"])
+        ranked = one if ranked is None else ranked.join(one, "rn")
+    pairs = [(a, b) for a in range(len(names)) for b in range(a + 1, len(names))]
+    top = [F.max(F.abs(f"v{k}")).alias(f"t{k}") for k in range(len(names))]
+    gaps = ranked.agg(*top, *[F.max(F.abs(F.col(f"v{a}") - F.col(f"v{b}"))).alias(f"g{a}_{b}") for a, b in pairs])
+    share = lambda a, b: F.coalesce(F.try_divide(F.col(f"g{a}_{b}"), F.greatest(f"t{a}", f"t{b}")), F.lit(0.0))
+    return gaps.select(F.inline(F.array(*[F.struct(F.lit(names[a]).alias("field_a"), F.lit(names[b]).alias("field_b"), share(a, b).alias("distance")) for a, b in pairs]))).withColumn("exchangeable", F.col("distance") < 0.1)
+
+
 def symmetry(df: DataFrame, fields: Sequence[str] | None, order_by: Sequence[str]) -> DataFrame:
     """field, n, translation (variation of the steps), log_skew of |x|, skew; reflection holds below 0.2."""
     names = numeric_fields(df, fields, 15)

@@ -88,7 +88,7 @@ def all_tools(c: Catalog) -> list[Tool]:
         out.append(Tool(name, description, schema(spec), lambda fn=fn, **k: answer(fn(**k)), group))
 
     def frame(key: str) -> DataFrame:
-        return c.get(key).frame
+        return c.get(key).typed()
 
     def surface(key: str) -> grid.Grid:
         made = c.get(key).grid()
@@ -135,18 +135,18 @@ def all_tools(c: Catalog) -> list[Tool]:
     st("graphical_model", "Partial correlation graph.", "key:s fields_json:s method:s=threshold alpha:n=0.01", lambda key, fields_json, method="threshold", alpha=0.01: structure.graphical_model(frame(key), listed(fields_json), method, alpha))
     st("persistent_topology", "Components and cycles over scales.", "key:s fields_json:s max_dimension:i=1 max_points:i=200", lambda key, fields_json, max_dimension=1, max_points=200: structure.topology(frame(key), listed(fields_json), max_dimension, max_points))
     st("causal_graph", "Constraint-based causal search.", "key:s fields_json:s alpha:n=0.05 max_conditioning_set:i=3", lambda key, fields_json, alpha=0.05, max_conditioning_set=3: causal.causal_graph(frame(key), listed(fields_json), alpha, max_conditioning_set))
-    st("transfer_entropy", "Directed information over lags.", "key:s source_field:s target_field:s order_by:s max_lag:i=5 bins:i=8", lambda key, source_field, target_field, order_by, max_lag=5, bins=8: causal.transfer_entropy(frame(key), source_field, target_field, [order_by, ROW], max_lag, bins))
+    st("transfer_entropy", "Directed information over lags.", "key:s source_field:s target_field:s order_by:s max_lag:i=5 bins:i=8", lambda key, source_field, target_field, order_by, max_lag=5, bins=8: causal.transfer_summary(frame(key), source_field, target_field, [order_by, ROW], max_lag, bins))
     st("do_estimate", "Adjusted effect of a treatment.", "key:s treatment:s outcome:s confounders_json:s method:s=regress", lambda key, treatment, outcome, confounders_json, method="regress": causal.effect(frame(key), treatment, outcome, listed(confounders_json), method))
     st("counterfactual_impact", "Synthetic control.", "key:s outcome_field:s time_field:s unit_field:s treated_unit:s intervention_time:s donor_units_json:s=", lambda key, outcome_field, time_field, unit_field, treated_unit, intervention_time, donor_units_json=None: causal.synthetic_control(frame(key), outcome_field, time_field, unit_field, treated_unit, intervention_time, listed(donor_units_json)))
-    st("autocorrelation", "Correlation with the past.", "key:s field:s order_by:s max_lag:i=20", lambda key, field, order_by, max_lag=20: dynamics.autocorrelation(frame(key), field, [order_by, ROW], max_lag))
+    st("autocorrelation", "Correlation with the past.", "key:s field:s order_by:s max_lag:i=20", lambda key, field, order_by, max_lag=20: dynamics.acf_summary(frame(key), field, [order_by, ROW], max_lag))
     st("changepoints", "Shifts of the mean.", "key:s field:s order_by:s min_segment:i=10 threshold:n=2.0", lambda key, field, order_by, min_segment=10, threshold=2.0: dynamics.changepoints(frame(key), field, [order_by, ROW], min_segment, threshold))
-    st("rolling_analysis", "Rolling figures.", "key:s field:s order_by:s window:i=20 field_b:s=", lambda key, field, order_by, window=20, field_b=None: dynamics.rolling(frame(key), field, [order_by, ROW], window, field_b or None))
+    st("rolling_analysis", "Rolling figures.", "key:s field:s order_by:s window:i=20 field_b:s=", lambda key, field, order_by, window=20, field_b=None: dynamics.rolling_summary(frame(key), field, [order_by, ROW], window, field_b or None).first().asDict() | {"windows_sampled": answer(dynamics.rolling(frame(key), field, [order_by, ROW], window, field_b or None), 50)})
     st("phase_space", "Delay embedding.", "key:s field:s order_by:s max_embedding_dim:i=10 tau:i=", lambda key, field, order_by, max_embedding_dim=10, tau=None: dynamics.phase_space(frame(key), field, [order_by, ROW], max_embedding_dim, tau))
     st("ergodicity_test", "Time averages against ensemble.", "key:s field:s order_by:s window_sizes_json:s=[10,25,50,100]", lambda key, field, order_by, window_sizes_json="[10,25,50,100]": dynamics.ergodic(frame(key), field, [order_by, ROW], parsed(window_sizes_json)))
     st("recurrence_analysis", "Recurrence of states.", "key:s fields_json:s order_by:s threshold:n= embedding_dim:i=3", lambda key, fields_json, order_by, threshold=None, embedding_dim=3: dynamics.recurrence(frame(key), listed(fields_json), [order_by, ROW], threshold, embedding_dim))
     st("entropy_spectrum", "Sample entropy over scales.", "key:s field:s order_by:s max_scale:i=10 embedding_dim:i=2", lambda key, field, order_by, max_scale=10, embedding_dim=2: dynamics.sample_entropy(frame(key), field, [order_by, ROW], max_scale, embedding_dim))
     st("renormalization_flow", "Correlations over block sizes.", "key:s fields_json:s max_scale:i=5", lambda key, fields_json, max_scale=5: laws.renormalization_flow(frame(key).drop(ROW) if not listed(fields_json) else frame(key), listed(fields_json), [ROW], max_scale))
-    st("symmetry_scan", "Symmetries of columns.", "key:s fields_json:s", lambda key, fields_json: laws.symmetry(frame(key), listed(fields_json), [ROW]))
+    st("symmetry_scan", "Symmetries of columns.", "key:s fields_json:s", lambda key, fields_json: {"fields": answer(laws.symmetry(frame(key), listed(fields_json), [ROW])), "pairs": answer(laws.exchangeable(frame(key), listed(fields_json)).filter("exchangeable"))})
 
     m = lambda *a: add("manifold", *a)
     m("manifold_state", "Axes, fields and counts of the grid.", "key:s", lambda key: {"axes": surface(key).axes, "ordered": surface(key).ordered, "fields": surface(key).fields, "coverage": answer(grid.coverage(surface(key))), "betti": paths.betti(surface(key))})

@@ -199,6 +199,13 @@ query("events", _SERIES + ", b AS (SELECT (rn - 1) // 2 b, avg(v) v, count(*) m
 query("events", "WITH d AS (SELECT value v, value - lag(value) OVER (ORDER BY ts, event_id) d FROM events), m AS (SELECT avg(v) mu, stddev_pop(v) s FROM d) SELECT 'value' field, round(stddev_pop(d) / avg(abs(d)), 6) translation, round(avg(power((v - mu) / s, 3)), 6) skew FROM d, m", "symmetry_diff")(lambda df: rounded(laws.symmetry(df, ["value"], ["ts", "event_id"]).select("field", "translation", "skew")))
 query("events", _SERIES + ", b AS (SELECT (rn - 1) // 8 k, avg(v) v, count(*) m FROM r GROUP BY 1), c AS (SELECT k, v FROM b WHERE m = 8), t AS (SELECT k, v x0, lead(v, 1) OVER (ORDER BY k) x1, lead(v, 2) OVER (ORDER BY k) x2, (SELECT 0.15 * stddev_pop(v) FROM c) r FROM c), u AS (SELECT * FROM t WHERE x2 IS NOT NULL) SELECT count(*) b, count(*) FILTER (abs(p.x2 - q.x2) <= p.r) a FROM u p JOIN u q ON q.k > p.k AND abs(p.x0 - q.x0) <= p.r AND abs(p.x1 - q.x1) <= p.r", "sampen_coarse")(lambda df: dynamics.sample_entropy(df, "value", ["ts", "event_id"], 8).filter("scale = 8").select("b", "a"))
 
+query("events", _SERIES + ", w AS (SELECT rn, avg(v) OVER w m, stddev_pop(v) OVER w s, count(*) OVER w n FROM r WINDOW w AS (ORDER BY rn ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)), f AS (SELECT * FROM w WHERE n = 20), g AS (SELECT avg(s) a, var_pop(s) va, count(*) c, regr_slope(m, rn) b FROM f), h AS (SELECT s, lag(s) OVER (ORDER BY rn) p FROM f) SELECT c windows, round(max(b), 6) trend_slope, round(sum((s - a) * (p - a)) / (c * max(va)), 6) volatility FROM h, g WHERE p IS NOT NULL GROUP BY c", "rolling_summary")(
+    lambda df: dynamics.rolling_summary(df, "value", ["ts", "event_id"]).select("windows", F.round("trend_slope", 6).alias("trend_slope"), F.round("volatility", 6).alias("volatility"))
+)
+query("lineitem", "WITH a AS (SELECT row_number() OVER (ORDER BY l_discount) k, CAST(l_discount AS DOUBLE) x FROM lineitem), b AS (SELECT row_number() OVER (ORDER BY l_tax) k, CAST(l_tax AS DOUBLE) y FROM lineitem) SELECT 'l_discount' field_a, 'l_tax' field_b, round(max(abs(x - y)) / greatest(max(abs(x)), max(abs(y))), 6) distance, max(abs(x - y)) / greatest(max(abs(x)), max(abs(y))) < 0.1 exchangeable FROM a JOIN b USING (k)", "symmetry_permutation")(
+    lambda df: laws.exchangeable(df, ["l_discount", "l_tax"]).withColumn("distance", F.round("distance", 6))
+)
+
 # insights
 
 query("lineitem", " UNION ALL ".join(f"SELECT '{d}' driver, count(*) n, round(regr_slope(l_extendedprice, {d}), 4) slope, round(regr_r2(l_extendedprice, {d}), 6) r2 FROM lineitem" for d in ("l_quantity", "l_discount", "l_tax")), "driver_fit")(lambda df: insight.driver_fits(df, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"]).select("driver", "n", F.round("slope", 4).alias("slope"), F.round("r2", 6).alias("r2")))

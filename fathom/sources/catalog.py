@@ -15,10 +15,11 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fathom.functions import predicate
+from fathom.functions import coerce, predicate
 from fathom.operators import grid as grids
 from fathom.operators import profile, relational
 from fathom.policy import LIMITS, Limits
@@ -42,12 +43,24 @@ class Dataset:
     used: int = 0
     _grid: Any = None
 
+    def typed(self) -> DataFrame:
+        """The rows with text columns as what the vote on their types says: numbers, dates. Statistics and the grid see these."""
+        text = {f.name for f in self.frame.schema if isinstance(f.dataType, T.StringType)}
+
+        def column(name: str) -> Column:
+            c = F.col(f"`{name}`")
+            kind = self.types.get(name) if name in text else None
+            return (coerce.plain_text(c) if kind == "numeric" else F.trim(c).try_cast("date") if kind == "date" else c).alias(name)
+
+        return self.frame.select(*[column(f.name) for f in self.frame.schema])
+
     def grid(self) -> grids.Grid | None:
         """The dataset's grid, made when it is first asked for; None where there is too little for one."""
         if self._grid is None and self.rows >= grids.MIN_ROWS:
-            axes, fields = grids.identify_axes(self.frame.drop(ROW))
+            typed = self.typed()
+            axes, fields = grids.identify_axes(typed.drop(ROW))
             if axes and fields:
-                made = grids.build(self.frame, axes, fields)
+                made = grids.build(typed, axes, fields)
                 self._grid = made if made.vertices.count() >= grids.MIN_VERTICES else None
         return self._grid
 

@@ -299,3 +299,44 @@ def test_long_answers_say_so(spark):
     assert tools.answer(short) == [{"id": k} for k in range(5)]
     out = tools.answer(spark.range(1000).selectExpr("id + 1 AS rn"), 100)
     assert out["total"] == 1000 and out["truncated"] and [r["rn"] for r in out["rows"]] == list(range(1, 1001, 10))
+
+
+def test_series_summaries(spark):
+    n = 400
+    r = np.random.default_rng(4)
+    wave = np.sin(np.arange(n) * 2 * np.pi / 8) + r.normal(scale=0.1, size=n)
+    other = np.concatenate([[0.0], wave[:-1]]) + r.normal(scale=0.05, size=n)  # follows the wave
+    noise = r.normal(size=n)
+    df = spark.createDataFrame([(k, float(a), float(b), float(c)) for k, (a, b, c) in enumerate(zip(wave, other, noise, strict=True))], "k int, wave double, other double, noise double").repartition(3)
+    acf = dynamics.acf_summary(df, "wave", ["k"])
+    assert acf["period"] == 8 and 8 in acf["significant"] and acf["stationary"]
+    got = dynamics.rolling_summary(df, "wave", ["k"], 15, "noise").first()
+    seg = lambda x: np.lib.stride_tricks.sliding_window_view(x, 15)
+    std, mean = seg(wave).std(axis=1), seg(wave).mean(axis=1)
+    d = std - std.mean()
+    corr = np.array([np.corrcoef(a, b)[0, 1] for a, b in zip(seg(wave), seg(noise), strict=True)])
+    assert got.windows == n - 14
+    assert got.trend_slope == pytest.approx(np.polyfit(np.arange(n - 14), mean, 1)[0], abs=1e-9)
+    assert got.volatility == pytest.approx((d[1:] * d[:-1]).sum() / len(d) / d.var(), abs=1e-9)
+    assert got.sign_changes == int((corr[1:] * corr[:-1] < 0).sum())
+    out = causal.transfer_summary(df, "wave", "other", ["k"], 3, 4, 20)
+    assert out["best_lag"] == 1 and out["p_value"] == 0 and out["direction"] == "wave -> other"
+    chance = causal.transfer_significance(df, "noise", "wave", ["k"], 1, 4, 20).first()
+    assert 0.05 <= chance.p_value <= 1
+    assert chance.observed == pytest.approx(causal.transfer_entropy(df, "noise", "wave", ["k"], 1, 4).first().te_forward)
+
+
+def test_typed_columns(spark):
+    from fathom.sources.catalog import Catalog
+
+    rows = [{"day": f"2024-01-{d:02d}", "shop": s, "price": f"{d * 1.5:.2f}", "note": f"n{d}{s}"} for d in range(1, 21) for s in "abcd"]
+    c = Catalog(spark)
+    c.ingest(json.dumps(rows) + " " * 3000, "sales")
+    (d,) = c.datasets.values()
+    kinds = dict(d.typed().dtypes)
+    assert kinds["day"] == "date" and kinds["price"] == "double" and kinds["shop"] == "string"
+    assert dict(d.frame.dtypes)["price"] == "string"  # rows come back as they were
+    g = d.grid()
+    assert "day" in g.axes and g.ordered[g.axes.index("day")] and "price" in g.fields
+    day, shop = 19 * 4 * 2, 20 * 4 * 3  # a path of days for each shop, a clique of shops on each day
+    assert g.edges().count() == day + shop
