@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathom import runtime
+
 #: Bytes of text that one block holds at most, if it has more than one document.
 BLOCK_BYTES = 4 << 20
 #: `[^\x20\x09-\x0D]+`
@@ -21,13 +22,11 @@ SPACES = bytes([0x20, *range(0x09, 0x0E)])
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or one of our own where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = set_dir.get() if set_dir.isDefined() else tempfile.mkdtemp(prefix="fathom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    """The folder all executors see: spark.checkpoint.dir, the context's checkpoint folder or, where both are unset, one in the warehouse."""
+    set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not spark.conf.get("spark.checkpoint.dir", None) and set_dir.isDefined():
+        return set_dir.get().rstrip("/")
+    return runtime.shared_dir(spark)
 
 
 #: What is stored and not removed yet: folders and, for bucketed blocks, tables of the warehouse.
