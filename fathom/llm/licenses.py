@@ -6,7 +6,7 @@ is matched in part. Three units of each document are looked up whole: the docume
 each line, so a notice that makes a line or a paragraph of its own is found as well.
 
 The table of known digests is as long as the list of known texts, which bounds what is broadcast. Defined results: a null
-or empty text has no licence; units without a letter or digit are not looked up; repeated rows are reported alike; other
+or empty text has no licence; very long texts are looked up whole, like all others; units without a letter or digit are not looked up; repeated rows are reported alike; other
 columns are ignored; an empty table gives no rows.
 """
 
@@ -50,6 +50,17 @@ GPL3_NOTICE = """This program is free software: you can redistribute it and/or m
 This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
 
 You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""
+BSD_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+"""
+BSD_3 = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+"""
+BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 KNOWN = (
     ("MIT", MIT),
     ("MIT", "MIT License\n\n" + MIT),
@@ -68,6 +79,11 @@ KNOWN = (
     ("GPL-3.0-only", "Licensed under the GNU General Public License, version 3."),
     ("GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-only"),
     ("GPL-3.0-or-later", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("BSD-2-Clause", BSD_2 + BSD_END),
+    ("BSD-2-Clause", "BSD 2-Clause License\n\n" + BSD_2 + BSD_END),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-3-Clause", BSD_2 + BSD_3 + BSD_END),
+    ("BSD-3-Clause", "BSD 3-Clause License\n\n" + BSD_2 + BSD_3 + BSD_END),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
@@ -78,6 +94,22 @@ KNOWN = (
     ("CC0-1.0", "Released under CC0 1.0."),
     ("LicenseRef-All-Rights-Reserved", "All rights reserved."),
 )
+#: Digests of the canonical forms of whole licence texts, as published.
+KNOWN_DIGESTS = (
+    ("Apache-2.0", "0d5838e6f6e5a374e58d608af5c01bc6a67cf18552dd7b346e5aef652b808ee9"),
+    ("Artistic-1.0", "cc2cd6cccfacd5fb622fb0e9b9a373fa9dcb86a8c152213a2b856dfbe24fe304"),
+    ("BSD-3-Clause", "3d151449461c0c776e892a4dc41cac0d251eb00c9fc49d2d48802d9bed818fe9"),
+    ("BSD-3-Clause", "b6093f80a67d752fa17301d7c8f20fe906e6f11169f3a64f9a5816d148eb738f"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "37db86be8f16e9b8dfb0d63e1698ad2e07d54f312494c1cb2dbdb4fa37487f0f"),
+    ("GFDL-1.3", "7befa86e5ee53162018d597eee81db6c727f3e64fab4641af93e19deab1807b4"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0", "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1"),
+    ("GPL-3.0", "010ce52b3b970c80b5447205f4afc3b42084811cda2d11b95178b1fd3940764f"),
+    ("LGPL-2.0", "9b0b3105b96203f9d9e4b72d4b77951152156c88139302b5aedf6295e3ceaaa3"),
+    ("LGPL-2.1", "cb225061bb71741fe8b31a2092e22fe05b1130438158ae5d16c48fd50186e345"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+)
 
 
 def canonical(text: Column) -> Column:
@@ -92,35 +124,37 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text).cast("binary"), 256)
 
 
-def known_digests(spark, known=KNOWN) -> DataFrame:
-    """digest, license: one row for each known text."""
+def known_digests(spark, known=KNOWN, digests=KNOWN_DIGESTS) -> DataFrame:
+    """digest, license: one row for each known text or digest."""
     rows = spark.createDataFrame(list(known), "license string, text string")
-    return rows.select(digest(F.col("text")).alias("digest"), "license").distinct()
+    own = rows.select(digest(F.col("text")).alias("digest"), "license")
+    return own.unionByName(spark.createDataFrame(list(digests), "license string, digest string")).distinct()
 
 
-def scan(docs: DataFrame, known=KNOWN) -> DataFrame:
+def scan(docs: DataFrame, known=KNOWN, digests=KNOWN_DIGESTS) -> DataFrame:
     """For each row of docs: doc_id, n_units (units whose text is a known one), licenses (sorted, comma-joined), whole (the document is one)."""
     spark = docs.sparkSession
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
-    by_digest = F.broadcast(known_digests(spark, known))
+    by_digest = F.broadcast(known_digests(spark, known, digests))
     units = F.array_distinct(F.concat(F.array("text"), F.split("text", r"\n[ \t]*\n"), F.split("text", "\n")))
-    found = rows.select("doc_id", "row", F.col("text").alias("all"), F.explode(units).alias("unit")).select("doc_id", "row", digest(F.col("unit")).alias("digest"), (F.col("unit") == F.col("all")).alias("whole"))
+    found = rows.select("doc_id", "row", F.posexplode(units).alias("place", "unit")).select("doc_id", "row", digest(F.col("unit")).alias("digest"), (F.col("place") == 0).alias("whole"))
     return found.join(by_digest, "digest", "left").groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), F.count("license").alias("n_units"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"), F.coalesce(F.max(F.col("whole") & F.col("license").isNotNull()), F.lit(False)).alias("whole")
     ).drop("row")
 
 
-def oracle_sql(known=KNOWN) -> str:
+def oracle_sql(known=KNOWN, digests=KNOWN_DIGESTS) -> str:
     """The same in DuckDB SQL."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     form = f"regexp_replace(lower(u), '{COPYRIGHT}', '', 'g')"
     for pattern, better in SPELLINGS:
         form = f"replace({form}, {quoted(pattern)}, {quoted(better)})"
-    form = rf"trim(regexp_replace({form}, '{CUT}', ' ', 'g'), ' ')"
+    form = rf"sha256(trim(regexp_replace({form}, '{CUT}', ' ', 'g'), ' '))"
     rows = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in known)
+    whole = ", ".join(f"({quoted(name)}, {quoted(value)})" for name, value in digests)
     return rf"""
-WITH k AS (SELECT DISTINCT name, {form} c FROM (VALUES {rows}) v(name, u)),
+WITH k AS (SELECT name, {form} c FROM (VALUES {rows}) v(name, u) UNION SELECT * FROM (VALUES {whole}) w(name, c)),
 d AS (SELECT row_number() OVER () r, doc_id, coalesce(text, '') t FROM documents),
 x AS (SELECT r, t, unnest(list_distinct(list_concat([t], regexp_split_to_array(t, '
 [ 	]*

@@ -10,7 +10,7 @@ group that is mentioned more often in toxic sentences doesn't make its neutral m
 Fitting collects at most N_FIT rows of a few features each; scoring reads each text once and shuffles nothing.
 
 Defined results: a null or empty text has no features and gets the score of the intercept; a null doc_id is scored, and
-never learnt from; labels that are null, or that repeat or contradict each other, count per row; without rows of both classes
+never learnt from; rows that repeat a doc_id count by themselves, within the bound; very long texts are read whole; labels that are null, or that repeat or contradict each other, count per row; without rows of both classes
 every score is the share of toxic rows, or 0.5 if there are none; other columns are ignored.
 """
 
@@ -124,7 +124,9 @@ def fit(docs: DataFrame, labels: DataFrame, n_fit: int = N_FIT) -> Model:
     """A model from the labelled rows of docs whose crc32 of doc_id is not 1 modulo 3."""
     ids = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
     chosen = ids.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(n_fit)
-    sample = S.stored(S.texts(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["text", "toxic"]), "labelled")
+    keyed = S.texts(docs).withColumn("row", F.xxhash64("doc_id", "text"))
+    rows = keyed.select("doc_id", "row").join(F.broadcast(chosen), "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic", "row").limit(n_fit)  # ids may repeat
+    sample = S.stored(keyed.join(F.broadcast(rows), ["doc_id", "row"]).drop("row").dropDuplicates(["text", "toxic"]), "labelled")
 
     def count(batches):
         for rows in S.blocks(batches):

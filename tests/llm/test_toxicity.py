@@ -47,8 +47,8 @@ def test_identity_terms_matter_little(spark):
     d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     model = toxicity.fit(d, y)
     neutral, named, other = model.scores(pa.array(["w1 w2 people", "w1 w2 muslim", "w1 w2 christian"]))
+    assert abs(neutral - other) < 0.05
     assert named < 0.5 and abs(np.log(named / (1 - named)) - np.log(other / (1 - other))) < 0.7
-    del neutral
 
 
 def test_one_class_and_empty(spark):
@@ -67,3 +67,44 @@ def test_given_documents(spark):
     hit, missed, wrong = (sum(p == a and t == b for p, t in pairs) for a, b in ((1, 1), (0, 1), (1, 0)))
     print(hit, missed, wrong, len(pairs))
     assert hit >= 0.85 * (hit + missed) and wrong <= 0.01 * len(pairs)  # an eighth of the toxic labels is noise: nothing in the text tells
+
+
+def test_against_plain_refit(spark):
+    """Newton's method on the dense matrix of the same loss, written anew, gives the same scores."""
+    docs, labels = corpus()
+    docs += [(3, "another row of 3 with scum"), (3, "and one more")]  # ids may repeat
+    d, y = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(d, y)
+    truth = dict(labels)
+    rows = sorted({(t, truth[i]) for i, t in docs if i in truth and zlib.crc32(str(i).encode()) % 3 != 1})
+    n = len(model.known)
+    strings = lambda t: {w[:k] if k else w for w in t.lower().split() for k in (0, *toxicity.PREFIXES) if not k or len(w) > k}
+    row, feature = toxicity.present(pa.array([t for t, _ in rows]), model.known)
+    x = np.zeros((len(rows), n + 1))
+    x[row, feature] = 1
+    assert max(x.sum(axis=1)) <= max(len(strings(t)) for t, _ in rows)
+    x[:, n] = 1
+    label = np.array([v for _, v in rows], float)
+    terms = toxicity.IDENTITY
+    own = np.zeros((len(terms), n + 1))
+    for k, t in enumerate(terms):
+        own[k, toxicity.present(pa.array([t]), model.known)[1]] = 1
+    share = (np.array([sum(t in text.lower().split() for text, _ in rows) for t in terms]) + 1) / len(rows)
+    apart = np.zeros((n + 1, n + 1))
+    for a in range(len(terms)):
+        for b in range(len(terms)):
+            e = own[a] - own[b]
+            apart += (share[a] + share[b]) * np.outer(e, e)
+    fixed = toxicity.COUNTERFACTUAL / (len(terms) - 1) * apart + toxicity.RIDGE / len(rows) * np.diag([1.0] * n + [0.0])
+    loss = lambda w: np.mean(np.logaddexp(0, x @ w) - label * (x @ w)) + w @ fixed @ w / 2
+    w = np.zeros(n + 1)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-x @ w))
+        step = np.linalg.solve((x.T * (p * (1 - p))) @ x / len(rows) + fixed + 1e-10 * np.eye(n + 1), x.T @ (p - label) / len(rows) + fixed @ w)
+        size = 1.0
+        while loss(w - size * step) > loss(w) and size > 1e-6:
+            size /= 2
+        w = w - size * step
+    mine = np.append(model.weights, model.intercept)
+    assert loss(mine) - loss(w) < 2e-3
+    assert np.abs(1 / (1 + np.exp(-x @ w)) - 1 / (1 + np.exp(-x @ mine))).max() < 0.05
