@@ -2,12 +2,13 @@
 
 Each line is judged by itself: navigation bars (three separators or more, and one for every four words), symbol litter (a
 symbol for every two words), shouting (30 letters or more, 70 % of them capitals, and an exclamation mark for every two
-words), boilerplate phrases in short lines. Lines that fail are removed, and a document that loses more than
+words), and in lines of at most SHORT_WORDS words: boilerplate phrases, a broken end (an ellipsis), and without a mark that ends a
+sentence also stubs of at most STUB_WORDS words, list items of at most ITEM_WORDS words and menus (nothing but words of navigation). Lines that fail are removed, and a document that loses more than
 half of its words is rejected. Base rules come first: 20 words at least, and not more than 30 % of the words in 8-word
 windows that the text repeats.
 
 Everything is computed within the row, so nothing is shuffled. Defined results: a null text has no words, no lines that
-count, and fails the base; repeated rows are judged alike; other columns are ignored; an empty table gives no rows.
+count, and fails the base; a very long text is one row like all others; repeated rows are judged alike; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,11 @@ BOILERPLATE = (
     "javascript is disabled|uses cookies|use cookies|click here|read more|sign in|log in|sign up|subscribe to|share this|"
     "skip to content|powered by|lorem ipsum"
 )
-BOILERPLATE_WORDS = 12
+SHORT_WORDS, ITEM_WORDS, STUB_WORDS = 12, 5, 2
+#: Words of menus.
+MENU = "home|about|about us|contact|contact us|news|blog|shop|search|login|register|help|faq|sitemap|menu|archive|accueil|recherche|startseite|kontakt|impressum|inicio|contacto|buscar"
+#: Characters that list items begin with, and marks that end a sentence, a heading or a quotation.
+BULLETS, ENDS = "•‣▪▸·*–-", r"[.!?…:;,\")\]”»«’。！？]"
 
 
 def count_of(text: Column, chars: str) -> Column:
@@ -48,16 +53,22 @@ def n_words(text: Column) -> Column:
 def failed_line(line: Column) -> Column:
     """Does a line fail one of the line rules? Cheap tests come first; most lines are not looked at any further."""
     words = n_words(line)
-    bars, symbols, marks = count_of(line, "|»›"), count_of(line, SYMBOLS), count_of(line, "!")
+    symbols, marks = count_of(line, SYMBOLS), count_of(line, "!")
+    bars = count_of(line, "|›") + F.greatest(count_of(line, "»") - count_of(line, "«"), F.lit(0).cast("long"))  # quotations have both
     capitals = F.length(line) - F.length(F.regexp_replace(line, r"\p{Lu}", ""))
     letters = F.length(line) - F.length(F.regexp_replace(line, r"\p{L}", ""))
     navigation = (bars >= 3) & (bars * 4 >= words)
     litter = (symbols >= 3) & (symbols * 2 >= words)
     shouting = (marks >= 3) & (marks * 2 >= words) & (letters >= 30) & (capitals * 10 >= letters * 7)
-    space = "[ \\t\\n\\x0B\\f\\r]"
-    more_words = line.rlike(f"^{space}*(?:[^ \\t\\n\\x0B\\f\\r]+{space}+){{{BOILERPLATE_WORDS}}}[^ \\t\\n\\x0B\\f\\r]")
-    boilerplate = ~more_words & F.lower(line).rlike(BOILERPLATE)
-    return navigation | litter | shouting | boilerplate
+    space, word = r"[ \t\n\x0B\f\r]", r"[^ \t\n\x0B\f\r]"
+    longer = lambda n: line.rlike(f"^{space}*+(?:{word}++{space}++){{{n}}}{word}")
+    small = F.lower(line)
+    menu = small.rlike(f"^[^a-z]*(?:(?:{MENU})(?:[^a-z]+|\\z))+\\z")
+    item = line.rlike(f"^{space}*+[{BULLETS}]{space}") & ~longer(ITEM_WORDS)
+    stub = line.rlike(word) & ~longer(STUB_WORDS)
+    open_end = ~line.rlike(f"{ENDS}{space}*+\\z")
+    short = small.rlike(BOILERPLATE) | line.rlike(rf"(?:\.\.\.|…){space}*+\z") | (open_end & (stub | item | menu))
+    return navigation | litter | shouting | (~longer(SHORT_WORDS) & short)
 
 
 def repeated_words(hashes: Column) -> Column:
@@ -103,12 +114,15 @@ g AS (SELECT r, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') k FROM w, unnest
 rep AS (SELECT r, unnest(range(i, i + {WINDOW})) p FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) c FROM g) WHERE c > 1),
 rw AS (SELECT r, count(DISTINCT p) n FROM rep GROUP BY r),
 l AS (SELECT r, unnest(string_split(t, chr(10))) x FROM d),
-f AS (SELECT r, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) n, length(x) - length(translate(x, '|»›', '')) bars,
+f AS (SELECT r, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) n, length(x) - length(translate(x, '|›', '')) + greatest(length(translate(x, '«', '')) - length(translate(x, '»', '')), 0) bars,
   length(x) - length(translate(x, '{SYMBOLS}', '')) syms, length(x) - length(translate(x, '!', '')) marks,
   length(x) - length(regexp_replace(x, '\p{{Lu}}', '', 'g')) caps, length(x) - length(regexp_replace(x, '\p{{L}}', '', 'g')) letters FROM l),
 s AS (SELECT r, coalesce(sum(n) FILTER ((bars >= 3 AND bars * 4 >= n) OR (syms >= 3 AND syms * 2 >= n)
     OR (marks >= 3 AND marks * 2 >= n AND letters >= 30 AND caps * 10 >= letters * 7)
-    OR (n <= {BOILERPLATE_WORDS} AND regexp_matches(lower(x), '{BOILERPLATE}'))), 0) lost,
+    OR (n <= {SHORT_WORDS} AND (regexp_matches(lower(x), '{BOILERPLATE}') OR regexp_matches(x, '(?:\.\.\.|…)[\x20\x09-\x0D]*\z')
+      OR (NOT regexp_matches(x, '{ENDS}[\x20\x09-\x0D]*\z') AND (n BETWEEN 1 AND {STUB_WORDS}
+        OR (n <= {ITEM_WORDS} AND regexp_matches(x, '^[\x20\x09-\x0D]*[{BULLETS}][\x20\x09-\x0D]'))
+        OR regexp_matches(lower(x), '^[^a-z]*(?:(?:{MENU})(?:[^a-z]+|\z))+\z')))))), 0) lost,
   count(*) FILTER (n > 0) - count(DISTINCT x) FILTER (n > 0) dup FROM f GROUP BY r),
 a AS (SELECT doc_id, CAST(len(ws) AS BIGINT) n_words,
   CAST(length(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS BIGINT) word_chars,

@@ -36,3 +36,21 @@ def test_native_plan_and_empty(spark):
     assert df.count() == 0
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_punctuation_and_menus(spark, tmp_path):
+    prose = "It was a fine day and we all went down to the sea to look at the ships that came in from far away."
+    quoted = "«Je viens», dit-il, «si tu veux», et «peut-être» encore, mais «pas ce soir», «ni demain» non plus."
+    german = "»Komm«, sagte sie, »wenn du magst«, und »vielleicht« auch »morgen«, aber nicht heute, »sonst« nie."
+    bad = ["Home About News Contact", "  • Garden chairs", "- one two three", "The council met on Monday and…", "and then they ...", "Page 3", "Startseite Kontakt", "* * *", "Home » Shop » Chairs » Oak"]
+    good = [quoted, german, "We went home.", "Yes!", "He said:", "- we took the long way home and were late.", "The news about the harbour is good", "A heading of some words", "1. It begins (here)", "home alone at last"]
+    docs = [(k, "\n".join([prose, prose[::-1] + ".", x])) for k, x in enumerate(bad + good)]
+    docs += [(100, "\n".join(bad)), (101, "\r" + prose + "\r\n Page 3 \r\n\t- x y\x0b"), (102, "word " * 30_000 + "\n" + "-" * 50_000 + "\n" + "home" * 20_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.judged(df).collect()}
+    for k, x in enumerate(bad + good):
+        assert (x in got[k].clean.split("\n")) == (x in good), x
+        assert got[k].kept
+    assert not got[100].kept and got[101].n_lines_removed == 2
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    same(spark, str(tmp_path), "op7_line_first")
