@@ -52,7 +52,8 @@ def categories(df: DataFrame, a: str, b: str, bins: int) -> DataFrame:
 
 
 def contingency(df: DataFrame, a: str, b: str, bins: int = 10) -> DataFrame:
-    """Cells a, b, observed, expected; empty cells stand as well, for they have expected counts."""
+    """Cells a, b, observed, expected; empty cells stand as well, for they have expected counts. This is the table in full; chi_squared
+    needs the observed cells only."""
     cells = categories(df, a, b, bins).groupBy(a, b).agg(F.count("*").alias("observed"))
     rows, columns = cells.groupBy(a).agg(F.sum("observed").alias("r")), cells.groupBy(b).agg(F.sum("observed").alias("c"))
     total = cells.agg(F.sum("observed").alias("t"))
@@ -61,9 +62,17 @@ def contingency(df: DataFrame, a: str, b: str, bins: int = 10) -> DataFrame:
 
 
 def chi_squared(df: DataFrame, a: str, b: str, bins: int = 10) -> dict[str, Any]:
-    one = contingency(df, a, b, bins).agg(F.sum(F.pow(F.col("observed") - F.col("expected"), 2) / F.col("expected")), F.sum("observed"), F.count_distinct(a), F.count_distinct(b)).first()
-    chi2, n, ka, kb = one[0] or 0.0, one[1] or 0, one[2], one[3]
-    dof = (ka - 1) * (kb - 1)
+    """From the cells that occur: an empty cell adds what it was expected to hold, and all of them together the rest of the rows."""
+    cells = categories(df, a, b, bins).groupBy(a, b).agg(F.count("*").alias("observed")).cache()
+    try:
+        rows, columns = cells.groupBy(a).agg(F.sum("observed").alias("r")), cells.groupBy(b).agg(F.sum("observed").alias("c"))
+        ka, kb, n = rows.count(), columns.count(), cells.agg(F.sum("observed")).first()[0] or 0
+        expected = F.col("r") * F.col("c") / F.lit(float(max(n, 1)))
+        seen = cells.join(rows, a).join(columns, b).agg(F.sum(F.pow(F.col("observed") - expected, 2) / expected), F.sum(expected)).first()
+    finally:
+        cells.unpersist()
+    chi2 = seen[0] + max(0.0, n - seen[1]) if n and ka > 1 and kb > 1 else 0.0
+    dof = max(ka - 1, 0) * max(kb - 1, 0)
     low = min(ka, kb) - 1
     return {"chi2": chi2, "n": n, "dof": dof, "p_value": chi2_tail(chi2, dof), "cramers_v": math.sqrt(chi2 / (n * low)) if n and low > 0 else 0.0}
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fathom.functions import coerce
+from fathom.operators.order import numbered
 
+#: Cells of the full grid up to which its vertices are numbered in one task.
+ONE_TASK = 100_000
 MAX_AXES, MAX_FIELDS, MIN_ROWS, MIN_VERTICES = 6, 20, 10, 4
 
 
@@ -25,6 +28,7 @@ class Grid:
     vertices: DataFrame  # vid, a0.., p0.. (place on the axis), fields, density
     sizes: list[int]
     wraps: list[bool] = field(default_factory=list)
+    flips: list[bool] = field(default_factory=list)  # of the axes that wrap: those that reverse
     _edges: DataFrame | None = None
 
     def edges(self) -> DataFrame:
@@ -76,9 +80,19 @@ def build(df: DataFrame, axes: Sequence[str], fields: Sequence[str], ordered: Se
         places = cells.select(f"a{k}").distinct().withColumn(f"p{k}", F.row_number().over(Window.orderBy(f"a{k}")) - 1)  # a row for each value of the axis
         sizes.append(places.count())
         cells = cells.join(F.broadcast(places) if sizes[-1] <= 100_000 else places, f"a{k}")
-    vid = F.row_number().over(Window.orderBy(*[f"p{k}" for k in range(len(axes))])) - 1
-    vertices = cells.select(vid.alias("vid"), *[f"a{k}" for k in range(len(axes))], *[f"p{k}" for k in range(len(axes))], *[F.col(f"`{f}`") for f in fields], "density")
-    return Grid(list(axes), ordered, list(fields), vertices, sizes, list(wraps or [False] * len(axes)))
+    places = [f"p{k}" for k in range(len(axes))]
+    if math.prod(sizes) <= ONE_TASK:
+        cells = cells.withColumn("vid", F.row_number().over(Window.orderBy(*places)) - 1)
+    else:
+        cells = numbered(cells, places, "__rn").withColumn("vid", (F.col("__rn") - 1).cast("int"))
+    vertices = cells.select("vid", *[f"a{k}" for k in range(len(axes))], *places, *[F.col(f"`{f}`") for f in fields], "density")
+    return Grid(list(axes), ordered, list(fields), vertices, sizes, list(wraps or [False] * len(axes)), [False] * len(axes))
+
+
+def with_wraps(grid: Grid) -> Grid:
+    """The same grid, its ordered axes of four values or more joined end to end where both ends look alike."""
+    found = [wraps_around(grid, a) if o and n >= 4 else {"wraps": False, "reversing": False} for a, o, n in zip(grid.axes, grid.ordered, grid.sizes, strict=True)]
+    return replace(grid, wraps=[w["wraps"] for w in found], flips=[w["reversing"] for w in found], _edges=None)
 
 
 def edges(grid: Grid) -> DataFrame:
@@ -106,10 +120,10 @@ def edges(grid: Grid) -> DataFrame:
 
 
 def with_neighbours(grid: Grid, fields: Sequence[str]) -> DataFrame:
-    """src, dst, and the fields at both ends (f, f__n)."""
+    """src, dst, axis, and the fields at both ends (f, f__n)."""
     v = grid.vertices.select("vid", *[F.col(f"`{f}`") for f in fields])
     near = v.select(F.col("vid").alias("dst"), *[F.col(f"`{f}`").alias(f"{f}__n") for f in fields])
-    return grid.edges().select("src", "dst").join(v.withColumnRenamed("vid", "src"), "src").join(near, "dst")
+    return grid.edges().join(v.withColumnRenamed("vid", "src"), "src").join(near, "dst")
 
 
 def curvature(grid: Grid) -> DataFrame:
@@ -153,12 +167,22 @@ def interaction(grid: Grid, a: str, b: str) -> DataFrame:
 
 
 def vector_field(grid: Grid, name: str) -> DataFrame:
-    """vid, divergence: mean difference to the neighbours; z; kind: source, sink or flat."""
-    e = with_neighbours(grid, [name])
-    d = e.groupBy(F.col("src").alias("vid")).agg(F.avg(F.col(f"`{name}__n`") - F.col(f"`{name}`")).alias("divergence"))
+    """vid, divergence: sum of the differences to the neighbours by their number; z; curl: share of the neighbours, in the order of
+    axis and vid, whose difference has another sign than the next one's (the first follows the last; 0 below three); kind: source
+    or sink (saddle where the curl is above 0.6), else vortex by the curl, else regular."""
+    x, y = F.col(f"`{name}`"), F.col(f"`{name}__n`")
+    e = with_neighbours(grid, [name]).filter(x.isNotNull()).select(F.col("src").alias("vid"), "axis", "dst", (y - x).alias("g"), (y > x).alias("up"))
+    ring = Window.partitionBy("vid").orderBy("axis", "dst")
+    following = F.first("up", ignorenulls=True).over(ring.rowsBetween(1, Window.unboundedFollowing))
+    first = F.first("up", ignorenulls=True).over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    turns = e.withColumn("turn", F.col("up") != F.coalesce(following, first))
+    curl = F.when(F.count("up") >= 3, F.count_if("turn") / F.count("up")).otherwise(0.0)
+    d = turns.groupBy("vid").agg((F.coalesce(F.sum("g"), F.lit(0.0)) / F.count("*")).alias("divergence"), curl.alias("curl"))
     one = d.agg(F.avg("divergence").alias("__m"), F.stddev_pop("divergence").alias("__s"))
-    z = F.coalesce(F.try_divide(F.col("divergence") - F.col("__m"), F.nullif("__s", F.lit(0.0))), F.lit(0.0))
-    return d.crossJoin(F.broadcast(one)).select("vid", "divergence", z.alias("z")).withColumn("kind", F.when(F.col("z") > 1.5, "source").when(F.col("z") < -1.5, "sink").otherwise("flat"))
+    z = F.when(F.col("__s") > 1e-12, (F.col("divergence") - F.col("__m")) / F.col("__s")).otherwise(0.0)
+    flow = F.when(F.col("z") > 1.5, "source").when(F.col("z") < -1.5, "sink")
+    kind = F.when(F.col("curl") > 0.6, F.when(flow.isNull(), "vortex").otherwise("saddle")).otherwise(F.coalesce(flow, F.lit("regular")))
+    return d.crossJoin(F.broadcast(one)).select("vid", "divergence", z.alias("z"), "curl").withColumn("kind", kind)
 
 
 def walk_axis(grid: Grid, axis: str, name: str) -> DataFrame:
@@ -184,6 +208,23 @@ def navigate(grid: Grid, vid: int, name: str) -> DataFrame:
     return e.join(v, e["dst"] == v["vid"]).crossJoin(F.broadcast(here)).select("dst", "axis", (F.col("x") - F.col("x0")).alias("gradient")).orderBy(F.abs("gradient").desc(), "dst")
 
 
+def highest_curvature(grid: Grid, top: int = 5) -> DataFrame:
+    return curvature(grid).orderBy(F.col("curvature").desc(), "vid").limit(top)
+
+
+def lowest_density(grid: Grid, top: int = 5) -> DataFrame:
+    return grid.vertices.select("vid", "density").orderBy("density", "vid").limit(top)
+
+
+def most_negative_ricci(grid: Grid, top: int = 5) -> DataFrame:
+    return ricci(grid).orderBy("ricci", "vid").limit(top)
+
+
+def critical_points(grid: Grid, name: str) -> DataFrame:
+    """vid, kind: the minima, maxima and saddles of a field."""
+    return morse(grid, name).filter("kind <> 'regular'").select("vid", "kind")
+
+
 def coverage(grid: Grid) -> DataFrame:
     """One row: vertices, edges, isolated, density figures, occupied share of the full grid."""
     d = degrees(grid).agg(F.count("*").alias("vertices"), (F.sum("degree") / 2).cast("long").alias("edges"), F.count_if(F.col("degree") == 0).alias("isolated"))

@@ -83,6 +83,27 @@ def column_stats(df: DataFrame, column: str) -> DataFrame:
     return df.agg(*base)
 
 
+def brief(df: DataFrame, types: dict[str, str]) -> dict[str, dict[str, Any]]:
+    """For each column its range (and mean) if numbers, its range if dates, the number of its values if text; one pass over all."""
+    wanted: list[tuple[str, str, Column]] = []
+    for name, kind in types.items():
+        c = F.col(f"`{name}`")
+        if kind == "numeric":
+            x = coerce.number(df, name)
+            wanted += [(name, "min", F.min(x)), (name, "max", F.max(x)), (name, "mean", F.avg(x))]
+        elif kind in ("date", "datetime"):
+            wanted += [(name, "min", F.min(c.cast("string"))), (name, "max", F.max(c.cast("string")))]
+        elif kind == "string":
+            wanted.append((name, "unique", F.count_distinct(F.when(c.cast("string") != "", c))))
+    if not wanted:
+        return {}
+    row = df.agg(*[x.alias(f"c{k}") for k, (*_, x) in enumerate(wanted)]).first()
+    out: dict[str, dict[str, Any]] = {}
+    for (name, figure, _), value in zip(wanted, row, strict=True):
+        out.setdefault(name, {})[figure] = value
+    return out
+
+
 def top_values(df: DataFrame, column: str, k: int = 5) -> DataFrame:
     """value, n: the most frequent values; ties by value."""
     return df.filter(F.col(f"`{column}`").isNotNull()).groupBy(F.col(f"`{column}`").cast("string").alias("value")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "value").limit(k)

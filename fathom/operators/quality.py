@@ -90,12 +90,18 @@ def vif(df: DataFrame, fields: Sequence[str] | None = None) -> list[dict[str, An
     return sorted(out, key=lambda r: -r["vif"])
 
 
-def effective_dimension(df: DataFrame, fields: Sequence[str] | None = None, sample: int = 1000, neighbours: int = 5, seed: int = 42) -> dict[str, Any]:
-    """Participation ratio of the spectrum, and the Levina-Bickel estimate on a bounded sample chosen by hash."""
+def effective_dimension(df: DataFrame, fields: Sequence[str] | None = None, sample: int = 1000, neighbours: int = 5, seed: int = 42, method: str = "both") -> dict[str, Any]:
+    """Participation ratio of the spectrum and, where the method is "mle" or "both", the Levina-Bickel estimate on a bounded sample
+    chosen by hash."""
+    if method not in ("both", "mle", "participation_ratio"):
+        raise ValueError(f"unknown method {method!r}")
     names = numeric_fields(df, fields, 30)
     m = moments(df, names)
     values = np.linalg.eigvalsh(m.corr)[::-1]
     ratio = float(values.sum() ** 2 / (values**2).sum())
+    out = {"fields": names, "samples": m.n, "spectrum": values.tolist(), "cumulative": (np.cumsum(values) / values.sum()).tolist(), "participation_ratio": ratio, "redundancy": len(names) / ratio if ratio > 0.1 else None}
+    if method == "participation_ratio":
+        return out
     points = hashed_sample(df, names, sample, seed)
     scale = points.std(axis=0)
     z = (points - points.mean(axis=0)) / np.where(scale > 0, scale, 1)
@@ -107,7 +113,7 @@ def effective_dimension(df: DataFrame, fields: Sequence[str] | None = None, samp
         if len(good):
             logs = np.log(good[:, -1:] / good[:, :-1]).sum(axis=1)
             mle = float(np.mean((neighbours - 1) / logs[logs > 0])) if (logs > 0).any() else 0.0
-    return {"fields": names, "spectrum": values.tolist(), "cumulative": (np.cumsum(values) / values.sum()).tolist(), "participation_ratio": ratio, "levina_bickel": mle}
+    return out | {"levina_bickel": mle, "levina_bickel_sample": len(points)}
 
 
 def hashed_sample(df: DataFrame, fields: Sequence[str], n: int, seed: int = 42) -> np.ndarray:

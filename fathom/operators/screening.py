@@ -77,8 +77,8 @@ def dependency_screen(df: DataFrame, target: str, candidates: Sequence[str], con
     return sorted(out, key=lambda r: -r["score"])[:top_k]
 
 
-def solve(df: DataFrame, target: str, goal: dict, constraints: Sequence[dict] = (), top_k: int = 5, ties: Sequence[str] = ("_row_id",)) -> DataFrame:
-    """Stored rows ranked against a goal: {"mode" or "direction": maximize | minimize | hit_target | range, "target", "min", "max"}."""
+def solve(df: DataFrame, target: str, goal: dict, constraints: Sequence[dict] = (), top_k: int = 5, ties: Sequence[str] = ("_row_id",), shown: Sequence[str] = ()) -> DataFrame:
+    """Stored rows (the columns `shown` and the target, if any are named) ranked against a goal: {"mode" or "direction": maximize | minimize | hit_target | range, "target", "min", "max"}."""
     mode = goal.get("mode") or goal.get("direction") or "maximize"
     rows = predicate.where(df, {"and": list(constraints)})
     x = coerce.number(df, target)
@@ -89,4 +89,6 @@ def solve(df: DataFrame, target: str, goal: dict, constraints: Sequence[dict] =
     score = {"maximize": x, "minimize": -x}.get(mode)
     score = -F.abs(x - wanted) if score is None else score
     order = [F.col("score").desc(), *[F.col(t).asc() for t in ties if t in df.columns]]
-    return rows.withColumn("score", score).filter("score is not null").orderBy(*order).limit(top_k)
+    kept = [c for c in dict.fromkeys([*shown, target, *ties]) if c in df.columns] if shown else df.columns
+    found = rows.withColumn("score", score).filter("score is not null").orderBy(*order).limit(top_k)
+    return found.select(*[F.col(f"`{c}`") for c in kept], "score")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions import coerce
-from fathom.operators import relational
+from fathom.operators import profile, relational
 from fathom.policy import LIMITS
 from fathom.sources.catalog import ROW, Catalog, Dataset
 
@@ -73,12 +73,22 @@ def export_sheet(d: Dataset, columns: Sequence[str] | None = None, sort_by: str
     return {"headers": rows.columns, "values": values, "row_count": len(values), "total_rows": d.rows}
 
 
+def described(d: Dataset, column: str, figures: dict[str, Any]) -> str:
+    """Behind a column's type: its range and mean, or the number of its values and the three most frequent."""
+    if figures.get("unique") is not None:
+        return f", {figures['unique']} values, most often {', '.join(r['value'] for r in profile.top_values(d.frame, column, 3).collect())}"
+    if figures.get("min") is None:
+        return ""
+    return f", {figures['min']} to {figures['max']}" + (f", mean {figures['mean']:g}" if figures.get("mean") is not None else "")
+
+
 def chunk(d: Dataset) -> dict[str, Any]:
     """One text that describes a dataset, for an index of embeddings."""
     lines = [f"Dataset {d.label} ({d.key}): {d.rows} rows, {len(d.columns)} columns"]
-    lines += [f"- {c}: {d.types[c]}" for c in d.columns[:CHUNK_COLUMNS]]
+    figures = d.brief(CHUNK_COLUMNS)
+    lines += [f"- {c}: {d.types[c]}{described(d, c, figures[c])}" for c in d.columns[:CHUNK_COLUMNS]]
     lines += [json.dumps(r, default=str) for r in export_rows(d, limit=CHUNK_ROWS)]
-    return {"id": d.key, "text": "\n".join(lines)[:CHUNK_CHARS], "metadata": {"rows": d.rows, "columns": d.columns[:20]}}
+    return {"id": d.key, "text": "\n".join(lines)[:CHUNK_CHARS], "metadata": {"rows": d.rows, "columns": d.columns[:20], "types": {c: d.types[c] for c in d.columns[:20]}, "fingerprint": d.fingerprint[:16]}}
 
 
 def chunks(catalog: Catalog) -> list[dict[str, Any]]:

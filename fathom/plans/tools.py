@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from fathom.functions import predicate
 from fathom.operators import causal, dependency, drivers, dynamics, grid, insight, laws, paths, quality, screening, structure
 from fathom.plans import exports
-from fathom.sources.catalog import ROW, Catalog
+from fathom.sources.catalog import ROW, Catalog, Dataset
 
 
 @dataclass(frozen=True)
@@ -112,12 +112,12 @@ def all_tools(c: Catalog) -> list[Tool]:
     st("partial_corr", "Correlation with controls held constant.", "key:s field_a:s field_b:s controls_json:s", lambda key, field_a, field_b, controls_json: screening.partial_correlation(frame(key), field_a, field_b, listed(controls_json)))
     st("pca_surface", "Principal components.", "key:s fields_json:s n_components:i=3", lambda key, fields_json, n_components=3: screening.pca(frame(key), listed(fields_json), n_components))
     st("dependency_screen", "Candidates ranked by dependence.", "key:s target:s candidates_json:s controls_json:s=[] top_k:i=8", lambda key, target, candidates_json, controls_json="[]", top_k=8: screening.dependency_screen(frame(key), target, listed(candidates_json), listed(controls_json), top_k))
-    st("solver", "Rows ranked against a goal.", "key:s target_field:s goal_json:s controllable_vars_json:s constraints_json:s=[] top_k:i=5", lambda key, target_field, goal_json, controllable_vars_json="[]", constraints_json="[]", top_k=5: screening.solve(frame(key), target_field, parsed(goal_json), parsed(constraints_json), top_k))
+    st("solver", "Rows ranked against a goal.", "key:s target_field:s goal_json:s controllable_vars_json:s constraints_json:s=[] top_k:i=5", lambda key, target_field, goal_json, controllable_vars_json="[]", constraints_json="[]", top_k=5: screening.solve(frame(key), target_field, parsed(goal_json), parsed(constraints_json), top_k, shown=listed(controllable_vars_json)))
     st("distribution", "Moments, quantiles, histogram.", "key:s field:s bins:i=15", lambda key, field, bins=15: {"moments": answer(quality.distribution(frame(key), field)), "histogram": answer(quality.histogram(frame(key), field, bins))})
     st("outliers", "Rows far from the rest.", "key:s fields_json:s method:s=both threshold:n=3.0", lambda key, fields_json, method="both", threshold=3.0: quality.outliers(frame(key), listed(fields_json), method, threshold))
     st("benford", "First digits.", "key:s field:s", lambda key, field: quality.benford(frame(key), field))
     st("vif", "Collinearity.", "key:s fields_json:s", lambda key, fields_json: quality.vif(frame(key), listed(fields_json)))
-    st("effective_dimension", "How many dimensions the data fill.", "key:s fields_json:s method:s=both", lambda key, fields_json, method="both": quality.effective_dimension(frame(key), listed(fields_json)))
+    st("effective_dimension", "How many dimensions the data fill.", "key:s fields_json:s method:s=both", lambda key, fields_json, method="both": quality.effective_dimension(frame(key), listed(fields_json), method=method))
     st("rank_corr", "Rank correlations.", "key:s fields_json:s method:s=spearman", lambda key, fields_json, method="spearman": dependency.rank_correlations(frame(key), listed(fields_json), method))
     st("chi_squared", "Independence of categories.", "key:s field_a:s field_b:s bins:i=10", lambda key, field_a, field_b, bins=10: dependency.chi_squared(frame(key), field_a, field_b, bins))
     st("anova", "Means of groups.", "key:s group_field:s target_field:s", lambda key, group_field, target_field: dependency.anova(frame(key), group_field, target_field))
@@ -149,23 +149,23 @@ def all_tools(c: Catalog) -> list[Tool]:
     st("symmetry_scan", "Symmetries of columns.", "key:s fields_json:s", lambda key, fields_json: {"fields": answer(laws.symmetry(frame(key), listed(fields_json), [ROW])), "pairs": answer(laws.exchangeable(frame(key), listed(fields_json)).filter("exchangeable"))})
 
     m = lambda *a: add("manifold", *a)
-    m("manifold_state", "Axes, fields and counts of the grid.", "key:s", lambda key: {"axes": surface(key).axes, "ordered": surface(key).ordered, "fields": surface(key).fields, "coverage": answer(grid.coverage(surface(key))), "betti": paths.betti(surface(key))})
+    m("manifold_state", "Axes, fields, topology and outstanding vertices of the grid.", "key:s", lambda key: state(c.get(key)))
     m("manifold_insights", "Drivers, surprises and regimes towards an objective.", "key:s objective_json:s top_k:i=5", lambda key, objective_json, top_k=5: insight.insights(frame(key).drop(ROW), parsed(objective_json), top_k))
     m("navigate", "Gradients to the neighbours of a vertex.", "key:s coord_json:s target_field:s=", lambda key, coord_json, target_field=None: grid.navigate(surface(key), vertex(surface(key), coord_json), field(surface(key), target_field)))
-    m("manifold_slice", "The grid of the rows that meet a condition.", "key:s condition_json:s target_field:s=", lambda key, condition_json, target_field=None: sliced(c, key, parsed(condition_json)))
+    m("manifold_slice", "The grid of the rows that meet a condition.", "key:s condition_json:s target_field:s=", lambda key, condition_json, target_field=None: sliced(c, key, parsed(condition_json), target_field))
     m("geodesic", "The cheapest way between two vertices.", "key:s start_json:s end_json:s target_field:s=", lambda key, start_json, end_json, target_field=None: paths.geodesic(surface(key), vertex(surface(key), start_json), vertex(surface(key), end_json), target_field or None))
     m("walk_axis", "A field along an axis.", "key:s walk_axis:s target_field:s", lambda key, walk_axis, target_field: grid.walk_axis(surface(key), walk_axis, target_field))
-    m("orbit", "Vertices up to a distance.", "key:s center_json:s radius:i target_field:s= resolution:i=16 mode:s=ring", lambda key, center_json, radius, target_field=None, resolution=16, mode="ring": ring(paths.orbit(surface(key), vertex(surface(key), center_json), radius), radius, mode))
-    m("multiscale_view", "Disks of several radii.", "key:s center_json:s radii_json:s target_field:s= resolution:i=16", lambda key, center_json, radii_json, target_field=None, resolution=16: paths.multiscale(surface(key), vertex(surface(key), center_json), parsed(radii_json)))
+    m("orbit", "Vertices up to a distance.", "key:s center_json:s radius:i target_field:s= resolution:i=16 mode:s=ring", lambda key, center_json, radius, target_field=None, resolution=16, mode="ring": paths.orbit_views(surface(key), vertex(surface(key), center_json), [radius], target_field or None, resolution, mode)[0])
+    m("multiscale_view", "Disks of several radii.", "key:s center_json:s radii_json:s target_field:s= resolution:i=16", lambda key, center_json, radii_json, target_field=None, resolution=16: paths.orbit_views(surface(key), vertex(surface(key), center_json), parsed(radii_json), target_field or None, resolution))
     m("frontier", "Edges between two regions.", "key:s condition_a_json:s condition_b_json:s target_field:s= limit:i=200", lambda key, condition_a_json, condition_b_json, target_field=None, limit=200: border(surface(key), parsed(condition_a_json), parsed(condition_b_json), target_field, limit))
     m("basin", "Vertices that flow to the same extremum.", "key:s seed_json:s target_field:s direction:s=descend", lambda key, seed_json, target_field, direction="descend": basin(surface(key), vertex(surface(key), seed_json), target_field, direction))
     m("ridge_trace", "A greedy way up.", "key:s seed_json:s target_field:s max_steps:i=25", lambda key, seed_json, target_field, max_steps=25: paths.trace(surface(key), vertex(surface(key), seed_json), target_field, True, max_steps))
     m("valley_trace", "A greedy way down.", "key:s seed_json:s target_field:s max_steps:i=25", lambda key, seed_json, target_field, max_steps=25: paths.trace(surface(key), vertex(surface(key), seed_json), target_field, False, max_steps))
     m("coverage_audit", "How full the grid is.", "key:s", lambda key: grid.coverage(surface(key)))
     m("wrap_audit", "Whether an axis wraps around.", "key:s axis:s", lambda key, axis: grid.wraps_around(surface(key), axis))
-    m("heat_kernel", "Heat kernel signatures and bottlenecks.", "key:s target_field:s= n_eigen:i=20 top_k:i=10", lambda key, target_field=None, n_eigen=20, top_k=10: paths.heat_kernel(surface(key), n_eigen, top_k))
+    m("heat_kernel", "Heat kernel signatures and bottlenecks.", "key:s target_field:s= n_eigen:i=20 top_k:i=10", lambda key, target_field=None, n_eigen=20, top_k=10: paths.heat_kernel(surface(key), target_field or None, n_eigen, top_k))
     m("reeb_graph", "Level set components.", "key:s target_field:s n_levels:i=20", lambda key, target_field, n_levels=20: paths.reeb(surface(key), target_field, n_levels))
-    m("vector_field", "Divergence of a field.", "key:s target_field:s top_k:i=10", lambda key, target_field, top_k=10: grid.vector_field(surface(key), target_field).orderBy("vid").limit(top_k))
+    m("vector_field", "Sources, sinks, vortices and saddles of a field.", "key:s target_field:s top_k:i=10", lambda key, target_field, top_k=10: flow(surface(key), target_field, top_k))
     m("laplacian_spectrum", "Spectrum of the grid.", "key:s n_eigen:i=15 n_clusters:i=", lambda key, n_eigen=15, n_clusters=None: paths.spectrum(surface(key), n_eigen, n_clusters))
     m("scalar_harmonics", "A field on the grid's modes.", "key:s target_field:s n_modes:i=10 top_k:i=10", lambda key, target_field, n_modes=10, top_k=10: paths.harmonics(surface(key), target_field, n_modes, top_k))
     m("diffusion_distance", "Diffusion distances of landmarks.", "key:s landmarks_json:s= time_param:n=1.0 n_landmarks:i=8", lambda key, landmarks_json=None, time_param=1.0, n_landmarks=8: paths.diffusion(surface(key), [vertex(surface(key), x) for x in parsed(landmarks_json)] if landmarks_json else None, time_param, n_landmarks))
@@ -176,18 +176,41 @@ def all_tools(c: Catalog) -> list[Tool]:
     return out
 
 
-def sliced(c: Catalog, key: str, condition: dict) -> dict[str, Any]:
-    rows = predicate.slice_rows(c.get(key).frame.drop(ROW), condition["column"], condition["op"], condition["value"])
+def state(d: Dataset) -> dict[str, Any]:
+    """The grid as a whole; without one, the columns it could have been made of."""
+    made = d.grid()
+    if made is None:
+        filled = d.typed().agg(*[F.count(F.col(f"`{c}`")).alias(f"c{k}") for k, c in enumerate(d.columns)]).first()
+        return {"error": "no grid: too few rows, axes, fields or vertices", "rows": d.rows, "types": d.types, "filled": dict(zip(d.columns, filled, strict=True))}
+    return {"key": d.key, "rows": d.rows} | paths.surface(made)
+
+
+def sliced(c: Catalog, key: str, condition: dict, name: str | None = None) -> dict[str, Any]:
+    """The grid of the rows that meet a condition, as a whole, with the range of a field over its vertices."""
+    rows = predicate.slice_rows(c.get(key).typed().drop(ROW), condition["column"], condition["op"], condition["value"])
     n = rows.count()
     if n < grid.MIN_ROWS:
         return {"error": "too few rows", "rows": n}
     axes, fields = grid.identify_axes(rows)
-    made = grid.build(rows, axes, fields)
-    return {"rows": n, "axes": axes, "fields": fields, "coverage": answer(grid.coverage(made))}
-
-
-def ring(found: DataFrame, radius: int, mode: str) -> DataFrame:
-    return found.filter(f"distance = {int(radius)}") if mode == "ring" else found
+    if not axes or not fields:
+        return {"error": "no axes or no fields", "rows": n}
+    made = grid.with_wraps(grid.build(rows, axes, fields))
+    if name and name not in fields:
+        return {"error": f"{name} is no field of the slice", "rows": n, "fields": fields}
+    value = F.col(f"`{name}`") if name else F.lit(None).cast("double")
+    over = made.vertices.agg(F.min(value).alias("min"), F.avg(value).alias("mean"), F.max(value).alias("max")).first().asDict()
+    return {"rows": n, "of_rows": c.get(key).rows, "condition": condition} | ({"target": {"field": name} | over} if name else {}) | paths.surface(made)
+
+
+def flow(g: grid.Grid, name: str, top_k: int) -> dict[str, Any]:
+    """Of each kind of vertex how many, and those of the strongest divergence."""
+    field = grid.vector_field(g, name).cache()
+    try:
+        sizes = {r["kind"]: r["n"] for r in field.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+        strongest = {kind: answer(field.filter(F.col("kind") == kind).orderBy(F.abs("divergence").desc(), "vid").limit(top_k)) for kind in ("source", "sink", "vortex", "saddle") if kind in sizes}
+    finally:
+        field.unpersist()
+    return {"sizes": sizes, "rotational": "vortex" in sizes, "strongest": strongest}
 
 
 def border(g: grid.Grid, a: dict, b: dict, name: str | None, limit: int) -> DataFrame:

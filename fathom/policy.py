@@ -9,6 +9,7 @@ from dataclasses import dataclass
 class Limits:
     ingest_chars: int = 3000
     preview_rows: int = 3
+    summary_columns: int = 12
     rows_per_page: int = 50
     datasets: int = 50
     memory_bytes: int = 50 * 1024 * 1024

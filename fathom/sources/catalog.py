@@ -8,6 +8,7 @@ import contextvars
 import functools
 import hashlib
 import json
+import logging
 import re
 import threading
 import time
@@ -26,6 +27,7 @@ from fathom.policy import LIMITS, Limits
 from fathom.sources import payload
 
 ROW = "_row_id"
+LOG = logging.getLogger(__name__)
 
 
 @dataclass
@@ -42,6 +44,15 @@ class Dataset:
     created: float = field(default_factory=time.time)
     used: int = 0
     _grid: Any = None
+    _brief: dict[str, dict[str, Any]] = field(default_factory=dict)
+
+    def brief(self, most: int) -> dict[str, dict[str, Any]]:
+        """Figures of the first columns, computed when they are first asked for."""
+        missing = [c for c in self.columns[:most] if c not in self._brief]
+        if missing:
+            found = profile.brief(self.typed(), {c: self.types[c] for c in missing})
+            self._brief |= {c: found.get(c, {}) for c in missing}
+        return self._brief
 
     def typed(self) -> DataFrame:
         """The rows with text columns as what the vote on their types says: numbers, dates. Statistics and the grid see these."""
@@ -61,7 +72,7 @@ class Dataset:
             axes, fields = grids.identify_axes(typed.drop(ROW))
             if axes and fields:
                 made = grids.build(typed, axes, fields)
-                self._grid = made if made.vertices.count() >= grids.MIN_VERTICES else None
+                self._grid = grids.with_wraps(made) if made.vertices.count() >= grids.MIN_VERTICES else None
         return self._grid
 
 
@@ -72,6 +83,16 @@ def short_number(n: float) -> str:
     return f"{n:g}"
 
 
+def in_short(figures: dict[str, Any]) -> str:
+    """A column's figures behind its type: a range or a number of values."""
+    if figures.get("unique") is not None:
+        return f", {figures['unique']} unique"
+    low, high = figures.get("min"), figures.get("max")
+    if low is None:
+        return ""
+    return f", {low[:10]}..{high[:10]}" if isinstance(low, str) else f", {short_number(low)}..{short_number(high)}"
+
+
 class Catalog:
     """A store of datasets for one session. One lock guards the book-keeping; plans run outside it."""
 
@@ -168,7 +189,9 @@ class Catalog:
 
     def summary(self, d: Dataset) -> str:
         head = [f"{d.key}: {short_number(d.rows)} rows, {len(d.columns)} columns"]
-        head += [f"  {c} ({d.types[c]})" for c in d.columns[:12]]
+        figures = d.brief(self.limits.summary_columns)
+        head += [f"  {c} ({d.types[c]}{in_short(figures[c])})" for c in d.columns[: self.limits.summary_columns]]
+        head += [f"  and {len(d.columns) - self.limits.summary_columns} more columns"] if len(d.columns) > self.limits.summary_columns else []
         preview = [r for r in d.frame.orderBy(ROW).drop(ROW).limit(self.limits.preview_rows).toJSON().collect()]
         return "\n".join([*head, *[p[:400] for p in preview]])
 
@@ -180,6 +203,14 @@ class Catalog:
     def context_stats(self) -> dict[str, Any]:
         return {"chars_in": self.chars_in, "chars_out": self.chars_out, "ratio": self.chars_in / max(self.chars_out, 1), "tokens": self.chars_out // 4, "calls": self.calls, "datasets": len(self.datasets), "bytes": self.used_bytes()}
 
+    def log_summary(self) -> str:
+        """One line for the log: calls, characters in and out, and the datasets with their rows and uses."""
+        c = self.context_stats()
+        held = ", ".join(f"{d.key}({d.rows} rows, {d.used} uses)" for d in self.datasets.values()) or "(empty)"
+        line = f"{c['calls']} calls, {c['chars_in']} characters in, {c['chars_out']} out ({c['ratio']:.1f}x, about {c['tokens']} tokens), {c['datasets']} datasets of {c['bytes'] / 1e6:.1f} MB: {held}"
+        LOG.info(line)
+        return line
+
     # answers
 
     def _rows(self, df: DataFrame) -> list[dict]:
