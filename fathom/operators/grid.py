@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from fathom.functions import coerce
 from fathom.operators.order import numbered
+from fathom.runtime import stored
 
 #: Cells of the full grid up to which its vertices are numbered in one task.
 ONE_TASK = 100_000
@@ -89,6 +90,13 @@ def build(df: DataFrame, axes: Sequence[str], fields: Sequence[str], ordered: Se
     return Grid(list(axes), ordered, list(fields), vertices, sizes, list(wraps or [False] * len(axes)), [False] * len(axes))
 
 
+def kept(grid: Grid) -> Grid:
+    """The same grid with its vertices and edges stored, for what asks for them more than once."""
+    held = replace(grid, vertices=stored(grid.vertices), _edges=None)
+    held._edges = stored(edges(held))
+    return held
+
+
 def with_wraps(grid: Grid) -> Grid:
     """The same grid, its ordered axes of four values or more joined end to end where both ends look alike."""
     found = [wraps_around(grid, a) if o and n >= 4 else {"wraps": False, "reversing": False} for a, o, n in zip(grid.axes, grid.ordered, grid.sizes, strict=True)]

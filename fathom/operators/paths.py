@@ -6,6 +6,7 @@ dense spectra, which are refused above DENSE vertices.
 
 from __future__ import annotations
 
+import functools
 import heapq
 from collections import defaultdict
 from collections.abc import Sequence
@@ -396,7 +397,8 @@ def surface(grid: Grid, top: int = 5) -> dict[str, Any]:
     product, faces = product_topology(kinds), face_topology(grid)
     name = "graph_only" if not faces or not faces["faces"] else product["name"] if faces["manifold"] else "nonmanifold_complex"
     rows = lambda df: [r.asDict() for r in df.collect()]  # noqa: E731  `top` rows at most
-    kind_counts = {f: {r["kind"]: r["count"] for r in critical_points(grid, f).groupBy("kind").count().collect()} for f in grid.fields[:top]}
+    named = [critical_points(grid, f).select(F.lit(f).alias("field"), "kind") for f in grid.fields[:top]]
+    kind_counts = functools.reduce(DataFrame.unionByName, named).groupBy("field", "kind").agg(F.count("*").alias("vertices"))
     return {
         "name": name,
         "axes": [{"column": a, "size": n, "ordered": o, "wraps": k != "I", "reversing": k == "X"} for a, n, o, k in zip(grid.axes, grid.sizes, grid.ordered, kinds, strict=True)],
@@ -407,7 +409,7 @@ def surface(grid: Grid, top: int = 5) -> dict[str, Any]:
         "betti": betti(grid),
         "coverage": coverage(grid).first().asDict(),
         "faces": faces,
-        "critical_points": kind_counts,
+        "critical_points": rows(kind_counts),
         "highest_curvature": rows(highest_curvature(grid, top)),
         "lowest_density": rows(lowest_density(grid, top)),
         "most_negative_ricci": rows(most_negative_ricci(grid, top)),

@@ -194,7 +194,7 @@ def sliced(c: Catalog, key: str, condition: dict, name: str | None = None) -> di
     axes, fields = grid.identify_axes(rows)
     if not axes or not fields:
         return {"error": "no axes or no fields", "rows": n}
-    made = grid.with_wraps(grid.build(rows, axes, fields))
+    made = grid.kept(grid.with_wraps(grid.build(rows, axes, fields)))
     if name and name not in fields:
         return {"error": f"{name} is no field of the slice", "rows": n, "fields": fields}
     value = F.col(f"`{name}`") if name else F.lit(None).cast("double")

@@ -164,6 +164,9 @@ query("lineitem", f"WITH {_RANKS} SELECT 'l_quantity' field_a, 'l_extendedprice'
 query("lineitem", f"WITH {_RANKS}, n AS (SELECT count(*) n FROM r) SELECT t threshold, round(count(*) FILTER (a / (n + 1) <= t AND b / (n + 1) <= t) / (max(n) * t), 6) lower, round(count(*) FILTER (a / (n + 1) > 1 - t AND b / (n + 1) > 1 - t) / (max(n) * t), 6) upper FROM r, n, unnest([0.01::DOUBLE, 0.05::DOUBLE, 0.1::DOUBLE, 0.15::DOUBLE, 0.2::DOUBLE]) u(t) GROUP BY t", "copula_tail")(lambda df: rounded(dependency.tail_dependence(df, "l_quantity", "l_extendedprice")))
 query("events", "WITH r AS (SELECT row_number() OVER (ORDER BY ts, event_id) i, value v, user_id u FROM events) SELECT count(*) FILTER ((a.v - b.v) * (a.u - b.u) > 0) concordant, count(*) FILTER ((a.v - b.v) * (a.u - b.u) < 0) discordant FROM r a JOIN r b ON b.i > a.i AND b.i < a.i + 500", "kendall_band")(lambda df: dependency.banded_kendall(df, "value", "user_id", ["ts", "event_id"]).select("concordant", "discordant"))
 query("orders", "WITH c AS (SELECT o_orderstatus, o_orderpriority, count(*) o FROM orders GROUP BY 1, 2), r AS (SELECT o_orderstatus, count(*) r FROM orders GROUP BY 1), k AS (SELECT o_orderpriority, count(*) k FROM orders GROUP BY 1) SELECT o_orderstatus, o_orderpriority, coalesce(o, 0) observed, round(r * k / (SELECT count(*) FROM orders)::DOUBLE, 6) expected FROM r CROSS JOIN k LEFT JOIN c USING (o_orderstatus, o_orderpriority)", "chi2_table")(lambda df: rounded(dependency.contingency(df, "o_orderstatus", "o_orderpriority")))
+query("orders", "WITH c AS (SELECT o_orderstatus, o_orderpriority, count(*) o FROM orders GROUP BY 1, 2), r AS (SELECT o_orderstatus, count(*) r FROM orders GROUP BY 1), k AS (SELECT o_orderpriority, count(*) k FROM orders GROUP BY 1), x AS (SELECT coalesce(o, 0) o, r * k / (SELECT count(*) FROM orders)::DOUBLE e FROM r CROSS JOIN k LEFT JOIN c USING (o_orderstatus, o_orderpriority)), t AS (SELECT sum((o - e) * (o - e) / e) chi2, CAST(sum(o) AS BIGINT) n, (SELECT count(*) FROM r) a, (SELECT count(*) FROM k) b FROM x) SELECT n, round(chi2, 6) chi2, (a - 1) * (b - 1) dof, round(sqrt(chi2 / (n * least(a - 1, b - 1))), 6) cramers_v FROM t", "chi2_value")(
+    lambda df: (lambda r: one_row(df, {"n": r["n"], "chi2": round(r["chi2"], 6), "dof": r["dof"], "cramers_v": round(r["cramers_v"], 6)}))(dependency.chi_squared(df, "o_orderstatus", "o_orderpriority"))
+)
 query("orders", "WITH g AS (SELECT o_orderpriority, count(*) n, avg(o_totalprice) m, var_pop(o_totalprice) v FROM orders GROUP BY 1), t AS (SELECT count(*) k, sum(n) n, sum(n * m) s, sum(n * m * m) q, sum(n * v) w FROM g) SELECT round(((q - s * s / n) / (k - 1)) / (w / (n - k)), 4) f FROM t", "anova_f")(lambda df: one_row(df, {"f": round(dependency.anova(df, "o_orderpriority", "o_totalprice")["f"], 4)}))
 query("orders", "SELECT o_orderpriority \"group\", count(*) n, round(avg(o_totalprice), 4) mean, round(stddev_pop(o_totalprice), 4) std FROM orders GROUP BY 1 HAVING count(*) >= 2", "anova_groups")(lambda df: rounded(dependency.anova_groups(df, "o_orderpriority", "o_totalprice"), 4))
 
@@ -247,6 +250,25 @@ query("lineitem", f"WITH {_LV} SELECT CAST(vid AS INTEGER) vid, 0 component FROM
 query("lineitem", f"WITH {_LV}, {_LE} SELECT CAST(v.vid AS INTEGER) vid, CAST(coalesce((SELECT dst FROM e WHERE e.src = v.vid AND x2 < e.x ORDER BY x2, dst LIMIT 1), v.vid) AS INTEGER) \"next\" FROM v", "grid_next_hop")(lambda df: paths.next_hops(_lines_grid(df), "l_extendedprice"))
 query("lineitem", f"WITH RECURSIVE {_LV}, {_LE}, h AS (SELECT v.vid, coalesce((SELECT dst FROM e WHERE e.src = v.vid AND x2 < e.x ORDER BY x2, dst LIMIT 1), v.vid) nx FROM v), p(vid, pos, k) AS (SELECT vid, nx, 1 FROM h UNION ALL SELECT p.vid, h.nx, k + 1 FROM p JOIN h ON h.vid = p.pos WHERE k < 30) SELECT CAST(vid AS INTEGER) vid, CAST(pos AS INTEGER) extremum FROM p WHERE k = 30", "grid_basin")(lambda df: paths.basins(_lines_grid(df), "l_extendedprice"))
 
+_LB = "c(vid, d) AS (SELECT 0, 0 UNION SELECT e.dst, c.d + 1 FROM c JOIN e ON e.src = c.vid WHERE c.d < 3), o AS (SELECT vid, min(d) distance FROM c GROUP BY 1)"
+_LC = "m AS (SELECT src, avg(x2) mx, avg(y2) my FROM e GROUP BY 1), k AS (SELECT vid, (abs(x - mx) / greatest(abs(mx), 1) + abs(y - my) / greatest(abs(my), 1)) / 2 curvature FROM v JOIN m ON m.src = v.vid)"
+query("lineitem", f"""WITH {_LV}, {_LE}, g AS (SELECT e.src, e.dst, CASE WHEN a.f = b.f THEN 1 ELSE 0 END axis, e.x2 > e.x up, e.x2 - e.x g FROM e JOIN v a ON a.vid = e.src JOIN v b ON b.vid = e.dst),
+  t AS (SELECT src, g, up <> coalesce(lead(up) OVER w, first_value(up) OVER w) turn FROM g WINDOW w AS (PARTITION BY src ORDER BY axis, dst)), d AS (SELECT src, sum(g) / count(*) d, CASE WHEN count(*) >= 3 THEN count(*) FILTER (turn) / count(*) ELSE 0.0 END curl FROM t GROUP BY 1),
+  z AS (SELECT *, (d - avg(d) OVER ()) / stddev_pop(d) OVER () z FROM d) SELECT CAST(src AS INTEGER) vid, round(curl, 6) curl, CASE WHEN curl > 0.6 THEN CASE WHEN abs(z) > 1.5 THEN 'saddle' ELSE 'vortex' END WHEN z > 1.5 THEN 'source' WHEN z < -1.5 THEN 'sink' ELSE 'regular' END kind FROM z""", "grid_curl")(lambda df: rounded(grid.vector_field(_lines_grid(df), "l_extendedprice").select("vid", "curl", "kind")))
+query("lineitem", f"""WITH {_LV}, {_LE}, q AS (SELECT a.vid a, b.vid b, c.vid c, d.vid d FROM (SELECT w.*, dense_rank() OVER (ORDER BY f) i FROM w) a JOIN (SELECT w.*, dense_rank() OVER (ORDER BY f) i FROM w) b ON b.i = a.i + 1 AND b.r = a.r JOIN w c ON c.f = b.f AND c.r = a.r + 1 JOIN w d ON d.f = a.f AND d.r = a.r + 1),
+  s AS (SELECT least(x, y) x, greatest(x, y) y, count(*) n FROM (SELECT a x, b y FROM q UNION ALL SELECT b, c FROM q UNION ALL SELECT c, d FROM q UNION ALL SELECT d, a FROM q) GROUP BY 1, 2), t AS (SELECT count(*) e, sum(n) // 4 f, count(*) FILTER (n = 1) rim FROM s), h AS (SELECT count(*) v FROM (SELECT x FROM s UNION SELECT y FROM s)),
+  z AS (SELECT (count(DISTINCT f) - 1) * (count(DISTINCT n) - 1) possible, count(*) / (count(DISTINCT f) * count(DISTINCT n)) occupancy FROM v) SELECT CAST(f AS BIGINT) faces, v face_vertices, e face_edges, rim boundary_edges, CAST(v - e + f AS BIGINT) euler, round(occupancy, 6) occupancy, round(least(1, 0.55 * f / possible + 0.45 * occupancy), 6) confidence FROM t, h, z""", "grid_topology")(
+    lambda df: (lambda t: df.sparkSession.createDataFrame([(t["faces"], t["face_vertices"], t["face_edges"], t["boundary_edges"], t["euler"], round(t["occupancy"], 6), round(t["confidence"], 6))], "faces long, face_vertices long, face_edges long, boundary_edges long, euler long, occupancy double, confidence double"))(paths.face_topology(_lines_grid(df)))
+)
+query("lineitem", f"WITH RECURSIVE {_LV}, {_LE}, {_LB}, {_LC} SELECT distance, count(*) points, round(avg(curvature), 6) mean_curvature, round(avg(density), 4) mean_density, round(avg(x), 4) mean_value, round(min(x), 4) min_value, round(max(x), 4) max_value FROM o JOIN v USING (vid) JOIN k USING (vid) GROUP BY 1", "grid_shells")(
+    lambda df: paths.shells(_lines_grid(df), 0, 3, "l_extendedprice").select("distance", "points", F.round("mean_curvature", 6).alias("mean_curvature"), *[F.round(c, 4).alias(c) for c in ("mean_density", "mean_value", "min_value", "max_value")])
+)
+query("lineitem", f"WITH {_LV}, {_LE}, m AS (SELECT src, count(*) FILTER (x2 > x + 1e-12) a, count(*) FILTER (x2 < x - 1e-12) b FROM e GROUP BY 1) SELECT CAST(src AS INTEGER) vid, CASE WHEN b = 0 THEN 'minimum' WHEN a = 0 THEN 'maximum' ELSE 'saddle' END kind FROM m WHERE (b = 0 AND a > 0) OR (a = 0 AND b > 0) OR (a >= 2 AND b >= 2)", "grid_critical")(lambda df: grid.critical_points(_lines_grid(df), "l_extendedprice"))
+query("lineitem", f"""WITH {_LV}, {_LE}, {_LC}, n AS (SELECT src, count(*) c FROM e GROUP BY 1), rc AS (SELECT e.src vid, avg(4 - a.c - b.c) r FROM e JOIN n a ON a.src = e.src JOIN n b ON b.src = e.dst GROUP BY 1)
+  SELECT * FROM (SELECT 'curvature' of, CAST(vid AS INTEGER) vid, round(curvature, 6) x FROM k ORDER BY curvature DESC, k.vid LIMIT 5) UNION ALL SELECT * FROM (SELECT 'density', CAST(vid AS INTEGER), density::DOUBLE FROM v ORDER BY density, v.vid LIMIT 5) UNION ALL SELECT * FROM (SELECT 'ricci', CAST(vid AS INTEGER), round(r, 6) FROM rc ORDER BY r, rc.vid LIMIT 5)""", "grid_extremes")(
+    lambda df: (lambda g: rounded(grid.highest_curvature(g).select(F.lit("curvature").alias("of"), "vid", F.col("curvature").alias("x")).unionByName(grid.lowest_density(g).select(F.lit("density").alias("of"), "vid", F.col("density").cast("double").alias("x"))).unionByName(grid.most_negative_ricci(g).select(F.lit("ricci").alias("of"), "vid", F.col("ricci").alias("x")))))(_lines_grid(df))
+)
+
 # exports and streams
 
 query("nation", "SELECT '| ' || n_nationkey || ' | ' || n_name || ' | ' || n_regionkey || ' |' line FROM nation", "md_export")(lambda df: exports.markdown_lines(df.select("n_nationkey", "n_name", "n_regionkey")))
@@ -255,7 +277,7 @@ query("documents", "SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) toke
 query("events", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') start, event_type, count(*) n, round(sum(value), 4) total FROM events GROUP BY 1, 2", "window_counts")(lambda df: ingest.windowed(df.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", ["event_type"], "value").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total")))
 query("events", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END s FROM events), k AS (SELECT user_id, ts, sum(s) OVER (PARTITION BY user_id ORDER BY ts) k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') start, count(*) n FROM k GROUP BY user_id, k", "session_counts")(lambda df: ingest.sessions(df, "ts", "user_id").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n"))
 
-# without SQL: iterative, spectral or sampled
+# iterative, spectral or sampled; some have SQL below
 
 
 def _pairs(df: DataFrame, values: dict) -> DataFrame:
@@ -275,24 +297,54 @@ _ITERATIVE = {
     "kmeans": ("lineitem", lambda df: _pairs(df, structure.cluster(df, ["l_quantity", "l_extendedprice"], k=3))),
     "spectral": ("lineitem", lambda df: _pairs(df, structure.spectral(df, ["l_quantity", "l_extendedprice"]))),
     "latent_sources": ("lineitem", lambda df: df.sparkSession.createDataFrame([(k, s["kurtosis"]) for k, s in enumerate(structure.sources(df, ["l_quantity", "l_extendedprice", "l_tax"])["sources"])], "source int, kurtosis double")),
-    "graphical_model": ("lineitem", lambda df: df.sparkSession.createDataFrame([(e["a"], e["b"], e["partial"]) for e in structure.graphical_model(_tied(df), ["l_quantity", "l_extendedprice", "tied"])["edges"]], "a string, b string, partial double")),
+    "graphical_model": ("lineitem", lambda df: rounded(df.sparkSession.createDataFrame([(e["a"], e["b"], e["partial"]) for e in structure.graphical_model(_tied(df), ["l_quantity", "l_extendedprice", "tied"])["edges"]], "a string, b string, partial double"))),
     "persistent_topology": ("lineitem", lambda df: df.sparkSession.createDataFrame([tuple(t.values()) for t in structure.topology(df, ["l_quantity", "l_extendedprice"])["trace"]], "radius double, b0 long, b1 long")),
     "causal_graph": ("lineitem", lambda df: df.sparkSession.createDataFrame(causal.causal_graph(_tied(df), ["l_quantity", "l_extendedprice", "tied"])["undirected"], "a string, b string")),
     "synthetic_control": ("events", lambda df: _pairs(df, causal.synthetic_control(df.withColumn("day", F.date_format("ts", "yyyy-MM-dd")).groupBy("day", "event_type").agg(F.avg("value").alias("y")), "y", "day", "event_type", "click", df.agg(F.date_format(F.expr("timestampadd(second, cast(timestampdiff(second, min(ts), max(ts)) * 0.7 as int), min(ts))"), "yyyy-MM-dd")).first()[0]))),
     "phase_space": ("events", lambda df: _pairs(df, dynamics.phase_space(df, "value", ["ts", "event_id"]))),
-    "recurrence": ("events", lambda df: _pairs(df, dynamics.recurrence(df, ["value"], ["ts", "event_id"]))),
+    "recurrence": ("events", lambda df: rounded(_pairs(df, dynamics.recurrence(df, ["value"], ["ts", "event_id"])))),
     "geodesic": ("lineitem", lambda df: df.sparkSession.createDataFrame([(k, v) for k, v in enumerate(paths.geodesic(_lines_grid(df), 0, 20, "l_extendedprice")["path"])], "step int, vid int")),
     "ridge_trace": ("lineitem", lambda df: df.sparkSession.createDataFrame(list(enumerate(paths.trace(_lines_grid(df), 0, "l_extendedprice"))), "step int, vid int")),
     "grid_persistence": ("lineitem", lambda df: df.sparkSession.createDataFrame([tuple(p.values()) for p in paths.persistence(_lines_grid(df), "l_extendedprice")], "birth double, death double, persistence double")),
-    "heat_kernel": ("lineitem", lambda df: df.sparkSession.createDataFrame([(r["vid"], r["bottleneck"]) for r in paths.heat_kernel(_lines_grid(df))], "vid int, bottleneck double")),
-    "laplacian_spectrum": ("lineitem", lambda df: df.sparkSession.createDataFrame(list(enumerate(paths.spectrum(_lines_grid(df))["eigenvalues"])), "k int, eigenvalue double")),
+    "heat_kernel": ("lineitem", lambda df: df.sparkSession.createDataFrame([(r["vid"], r["bottleneck"]) for r in paths.heat_kernel(_lines_grid(df))["bottlenecks"]], "vid int, bottleneck double")),
+    "laplacian_spectrum": ("lineitem", lambda df: rounded(df.sparkSession.createDataFrame(list(enumerate(paths.spectrum(_lines_grid(df))["eigenvalues"])), "k int, eigenvalue double"))),
     "scalar_harmonics": ("lineitem", lambda df: df.sparkSession.createDataFrame(list(enumerate(paths.harmonics(_lines_grid(df), "l_extendedprice")["energy"])), "mode int, energy double")),
-    "diffusion_distance": ("lineitem", lambda df: df.sparkSession.createDataFrame([tuple(r.values()) for r in paths.diffusion(_lines_grid(df))], "a int, b int, distance double, kind string")),
+    "diffusion_distance": ("lineitem", lambda df: rounded(df.sparkSession.createDataFrame([tuple(r.values()) for r in paths.diffusion(_lines_grid(df))], "a int, b int, distance double, kind string"))),
     "reeb_graph": ("lineitem", lambda df: df.sparkSession.createDataFrame([tuple(n.values()) for n in paths.reeb(_lines_grid(df), "l_extendedprice", 5)["nodes"]], "slab int, size int, kind string")),
     "multiscale_view": ("lineitem", lambda df: paths.multiscale(_lines_grid(df), 0, [1, 2, 3])),
 }
+_DELAYED = """WITH r AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 k, value v FROM events), s AS (SELECT k, v a, lead(v) OVER (ORDER BY k) b, lead(v, 2) OVER (ORDER BY k) c FROM r), n AS (SELECT count(*) n FROM s WHERE c IS NOT NULL),
+  pick AS (SELECT i, CASE WHEN i = 499 THEN n - 1 ELSE CAST(floor(i * ((n - 1) / 499::DOUBLE)) AS BIGINT) END k FROM n, range(500) t(i)), x AS MATERIALIZED (SELECT i, a, b, c FROM pick JOIN s USING (k)),
+  d AS MATERIALIZED (SELECT p.i i, q.i j, sqrt((p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b) + (p.c - q.c) * (p.c - q.c)) d FROM x p CROSS JOIN x q), cut AS (SELECT quantile_cont(d, 0.1) cut FROM d), hits AS (SELECT i, j FROM d, cut WHERE d <= cut AND i <> j)"""
+_MODES = "sz AS (SELECT count(DISTINCT f) nf, count(DISTINCT n) nn, count(*) nv FROM v), modes AS (SELECT t, j, nf, nn, t * nf + 2 - 2 * cos(pi() * j / nn) lam, CASE WHEN t = 0 THEN 1 ELSE nf - 1 END times FROM sz, (VALUES (0), (1)) a(t), range(1000) b(j) WHERE j < nn)"
+#: The line items' grid is full, so its modes are products of those of a clique and of a path.
+_ITERATIVE_SQL = {
+    "graphical_model": """WITH l AS (SELECT l_quantity q, l_extendedprice e, l_quantity * 2 + l_tax * 10 t FROM lineitem), c AS (SELECT count(*) n, var_pop(q) + 0.01 a, covar_pop(q, e) b, covar_pop(q, t) c, var_pop(e) + 0.01 d, covar_pop(e, t) f, var_pop(t) + 0.01 g FROM l),
+      p AS (SELECT n, d * g - f * f p11, a * g - c * c p22, a * d - b * b p33, c * f - b * g p12, b * f - c * d p13, b * c - a * f p23 FROM c),
+      r AS (SELECT n, 'l_quantity' a, 'l_extendedprice' b, -p12 / sqrt(p11 * p22) x FROM p UNION ALL SELECT n, 'l_quantity', 'tied', -p13 / sqrt(p11 * p33) FROM p UNION ALL SELECT n, 'l_extendedprice', 'tied', -p23 / sqrt(p22 * p33) FROM p) SELECT a, b, round(x, 6) "partial" FROM r WHERE abs(x) > 2 / sqrt(n)""",
+    "recurrence": _DELAYED + """, dl AS (SELECT count(*) len FROM (SELECT j - i k, i - row_number() OVER (PARTITION BY j - i ORDER BY i) g FROM hits WHERE j > i) GROUP BY k, g HAVING count(*) >= 2), vl AS (SELECT count(*) len FROM (SELECT j, i - row_number() OVER (PARTITION BY j ORDER BY i) g FROM hits) GROUP BY j, g HAVING count(*) >= 2),
+      h AS (SELECT count(*) h FROM hits), p AS (SELECT count(*) / sum(count(*)) OVER () p FROM dl GROUP BY len)
+      SELECT 'threshold' "name", round(cut, 6) "value" FROM cut UNION ALL SELECT 'rate', round(h / 250000, 6) FROM h UNION ALL SELECT 'determinism', round(2 * (SELECT sum(len) FROM dl) / h, 6) FROM h UNION ALL SELECT 'laminarity', round((SELECT sum(len) FROM vl) / h, 6) FROM h UNION ALL SELECT 'trapping_time', round(avg(len), 6) FROM vl UNION ALL SELECT 'entropy', round(-sum(p * ln(p)), 6) FROM p""",
+    "ridge_trace": f"WITH RECURSIVE {_LV}, {_LE}, h AS (SELECT v.vid, (SELECT dst FROM e WHERE e.src = v.vid AND x2 > e.x ORDER BY x2 DESC, dst LIMIT 1) nx FROM v), p(step, vid) AS (SELECT 0, CAST(0 AS BIGINT) UNION ALL SELECT step + 1, h.nx FROM p JOIN h ON h.vid = p.vid WHERE h.nx IS NOT NULL AND step < 25) SELECT CAST(step AS INTEGER) step, CAST(vid AS INTEGER) vid FROM p",
+    "multiscale_view": f"WITH RECURSIVE {_LV}, {_LE}, {_LB} SELECT radius, count(*) vertices FROM o, (VALUES (1), (2), (3)) r(radius) WHERE distance <= radius GROUP BY 1",
+    "laplacian_spectrum": f"WITH {_LV}, {_MODES}, s AS (SELECT lam, row_number() OVER (ORDER BY lam) - 1 k FROM modes, range(1000) m(q) WHERE q < times) SELECT CAST(k AS INTEGER) k, round(lam, 6) eigenvalue FROM s WHERE k < least(15, (SELECT nv - 1 FROM sz))",
+    "diffusion_distance": f"""WITH {_LV}, {_MODES}, cum AS (SELECT *, sum(times) OVER (ORDER BY lam, t) upto FROM modes), used AS (SELECT * FROM cum WHERE upto <= 15), l AS (SELECT vid, f, r FROM v JOIN ranks USING (n), sz WHERE vid % greatest(1, nv // least(8, nv)) = 0 AND vid // greatest(1, nv // least(8, nv)) < 8),
+      m AS (SELECT a.vid a, b.vid b, exp(-2 * lam) * CASE WHEN j = 0 THEN 1 ELSE 2 END / nn z, CASE WHEN t = 0 THEN 1 / nf ELSE 1 - 1 / nf END same, CASE WHEN t = 0 THEN 1 / nf WHEN a.f = b.f THEN 1 - 1 / nf ELSE -1 / nf END cross_, cos(pi() * j * (a.r - 0.5) / nn) x, cos(pi() * j * (b.r - 0.5) / nn) y FROM used, l a JOIN l b ON b.vid > a.vid),
+      d AS (SELECT a, b, sqrt(greatest(0, sum(z * (same * x * x + same * y * y - 2 * cross_ * x * y)))) d FROM m GROUP BY 1, 2) SELECT CAST(a AS INTEGER) a, CAST(b AS INTEGER) b, round(d, 6) distance, CASE WHEN d <= 0.3 * avg(d) OVER () THEN 'close' WHEN d >= 2 * avg(d) OVER () THEN 'far' ELSE 'middle' END kind FROM d""",
+}
 for _name, (_source, _fn) in _ITERATIVE.items():
-    query(_source, None, _name)(_fn)
+    query(_source, _ITERATIVE_SQL.get(_name), _name)(_fn)
+
+query("lineitem", f"""WITH RECURSIVE {_LV}, {_LE}, c AS MATERIALIZED (SELECT src, dst, abs(x2 - x) + 1e-6 w FROM e), lim AS MATERIALIZED (SELECT sum(w) u FROM c WHERE (src < 6 AND dst = src + 1) OR (src = 6 AND dst = 20)),
+  p(vid, cost, path) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS DOUBLE), [CAST(0 AS BIGINT)] UNION ALL SELECT c.dst, p.cost + c.w, list_append(p.path, c.dst) FROM p JOIN c ON c.src = p.vid, lim WHERE p.vid <> 20 AND NOT list_contains(p.path, c.dst) AND p.cost + c.w <= u + 1e-9)
+  SELECT round(min(cost), 4) cost FROM p WHERE vid = 20""", "geodesic_cost")(lambda df: one_row(df, {"cost": round(paths.geodesic(_lines_grid(df), 0, 20, "l_extendedprice")["cost"], 4)}))  # ways of equal cost may differ
+_FOUR = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+query("lineitem", "SELECT round(16 / (4 + 2 * (" + " + ".join(f"power(corr({a}, {b}), 2)" for i, a in enumerate(_FOUR) for b in _FOUR[i + 1 :]) + ")), 6) ratio, round((4 + 2 * (" + " + ".join(f"power(corr({a}, {b}), 2)" for i, a in enumerate(_FOUR) for b in _FOUR[i + 1 :]) + ")) / 4, 6) redundancy FROM lineitem", "participation_ratio")(
+    lambda df: (lambda r: one_row(df, {"ratio": round(r["participation_ratio"], 6), "redundancy": round(r["redundancy"], 6)}))(quality.effective_dimension(df, list(_FOUR), method="participation_ratio"))
+)
+query("events", f"WITH b AS (SELECT {_bucket_sql('value', 'events', 8, 'x')}, {_bucket_sql('user_id', 'events', 8, 'y')} FROM events), c AS (SELECT x, y, count(*) m FROM b GROUP BY 1, 2), s AS (SELECT x, m, sum(m) OVER (PARTITION BY x) mx, sum(m) OVER (PARTITION BY y) my, sum(m) OVER () t FROM c) SELECT count(DISTINCT x) states, round(sum(m / t * ln(m * t / (mx * my))), 6) information FROM s", "bottleneck_information")(
+    lambda df: (lambda r: one_row(df, {"states": r["states"], "information": round(r["information"], 6)}))(drivers.bottleneck(df, ["value"], "user_id"))
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -24,6 +24,7 @@ from fathom.functions import coerce, predicate
 from fathom.operators import grid as grids
 from fathom.operators import profile, relational
 from fathom.policy import LIMITS, Limits
+from fathom.runtime import stored
 from fathom.sources import payload
 
 ROW = "_row_id"
@@ -72,7 +73,8 @@ class Dataset:
             axes, fields = grids.identify_axes(typed.drop(ROW))
             if axes and fields:
                 made = grids.build(typed, axes, fields)
-                self._grid = grids.with_wraps(made) if made.vertices.count() >= grids.MIN_VERTICES else None
+                made.vertices = stored(made.vertices)
+                self._grid = grids.kept(grids.with_wraps(made)) if made.vertices.count() >= grids.MIN_VERTICES else None
         return self._grid
 
 
