@@ -10,9 +10,7 @@ So do, in one piece, texts with special tokens or with white space outside ASCII
 
 from __future__ import annotations
 
-import itertools
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -20,16 +18,12 @@ import pyarrow as pa
 from fathom.llm import repeats as R
 from fathom.llm import shared as S
 
-#: White space outside ASCII, as UTF-8.
-WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-#: What has one kind of character only, with a space before it or not.
-PLAIN = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
 #: Pieces that are remembered from block to block, at most.
 REMEMBERED = 500_000
 SPACE, LETTER, DIGIT, MARK, ODD = range(5)
 
 
-def kinds() -> np.ndarray:
+def kinds() -> bytes:
     """The kind of each byte, if it stands alone."""
     out = np.full(256, ODD, np.uint8)
     out[0x21:0x7F] = MARK
@@ -37,12 +31,42 @@ def kinds() -> np.ndarray:
     out[0x41:0x5B] = out[0x61:0x7B] = LETTER
     out[[0x20, 0x09, 0x0A, 0x0D]] = SPACE
     out[0x27] = ODD  # an apostrophe may start a piece of its own
-    return out
+    return out.tobytes()
 
 
 KINDS = kinds()
 
 
+def kinds_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each byte, and where two bytes make a Latin letter."""
+    kind = np.frombuffer(bytearray(data).translate(KINDS), np.uint8)
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    second = data[lead + 1]
+    pair = lead[(second >= 0x80) & (second <= 0xBF) & (second != 0x97) & (second != 0xB7)]
+    kind[pair] = kind[pair + 1] = LETTER
+    return kind, pair
+
+
+def of_one_kind(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows that have letters, digits or marks only, with a space before them or not; no row is empty."""
+    if len(at) < 2:
+        return np.zeros(0, bool)
+    kind, _ = kinds_of(data)
+    head = at[:-1][(data[at[:-1]] == 0x20) & (np.diff(at) > 1)]
+    kind[head] = kind[head + 1]
+    least = np.minimum.reduceat(kind, at[:-1])
+    return (least == np.maximum.reduceat(kind, at[:-1])) & (least != SPACE) & (least != ODD)
+
+
+def wide_spaces(data: np.ndarray) -> np.ndarray:
+    """Where white space outside ASCII begins, in UTF-8."""
+    lead = np.flatnonzero((data == 0xC2) | (data - 0xE1 < 3))
+    a, b, c = data[lead], data.take(lead + 1, mode="clip"), data.take(lead + 2, mode="clip")
+    two = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+    general = (a == 0xE2) & ((b == 0x80) & ((c >= 0x80) & (c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F))
+    return lead[two | general | (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE3) & (b == 0x80) & (c == 0x80)]
+
+
 def byte_names() -> dict[int, str]:
     """Byte-level BPE's letter for each byte: itself if it is printable, else the next free one from 256 on."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -51,6 +75,7 @@ def byte_names() -> dict[int, str]:
 
 
 NAMES = byte_names()
+LETTERS = np.array([ord(NAMES[b]) for b in range(256)], np.uint32)
 
 
 class Encoder:
@@ -71,8 +96,8 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        """Start with no piece remembered: where each one is, and all their ids."""
-        self.memory: dict[bytes, int] = {}
+        """Start with no piece remembered: their bytes, where each one's ids are, and all their ids."""
+        self.memory = pa.array([], pa.large_binary())
         self.base, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def whole(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -80,7 +105,7 @@ class Encoder:
         if not (self.keeps_space or self.drops_space):
             return np.arange(len(at) - 1)
         text = data.tobytes()
-        places = [m.start() for m in WIDE_SPACE.finditer(text)]
+        places = wide_spaces(data).tolist()
         for token in self.special:
             low = text.find(token)
             while low >= 0:
@@ -94,9 +119,7 @@ class Encoder:
         whole = self.whole(data, at)
         some = at[:-1] < at[1:]
         head, last = at[:-1][some], at[1:][some] - 1
-        kind = KINDS[data]
-        pair = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0xBF) & (data[1:] != 0x97) & (data[1:] != 0xB7))
-        kind[pair] = kind[pair + 1] = LETTER
+        kind, pair = kinds_of(data)
         cut = np.zeros(n + 1, bool)
         if self.keeps_space:
             dark = (data > 0x20) & (data != 0x7F)
@@ -117,59 +140,65 @@ class Encoder:
             kind[at[k] : at[k + 1]] = ODD
             inside[at[k] : at[k + 1]] = True
         cut[head] = inside[head]
-        if self.plain:
-            chunk = np.cumsum(cut[:-1], dtype=np.int32)
-            odd = np.zeros((chunk[-1] if n else 0) + 1, bool)
-            odd[chunk[(kind == ODD) & inside]] = True
-            plain = ~odd[chunk] & inside
+        start = np.flatnonzero(cut[:-1])
+        if self.plain and len(start):
+            plain = np.zeros(n, bool)
+            plain[start[0] :] = np.repeat(np.maximum.reduceat(kind, start) != ODD, np.diff(start, append=n))  # by chunk
+            plain &= inside
             change = kind[1:] != kind[:-1]
             if self.splits_digits:
                 change |= (kind[1:] == DIGIT) & (kind[:-1] == DIGIT)
-            cut[1:-1] |= change & plain[1:] & plain[:-1] & (chunk[1:] == chunk[:-1])
+            cut[1:-1] |= change & plain[1:]
+            start = np.flatnonzero(cut[:-1])
             if self.lowers:
-                data = data.copy()
-                data[plain & (data >= 0x41) & (data <= 0x5A)] += 0x20
+                data = data + (((data - 0x41 < 26) & plain).view(np.uint8) << 5)
                 second = pair + 1
                 data[second[plain[second] & (data[second] <= 0x9E)]] += 0x20
-        start = np.flatnonzero(cut[:-1])
         if inside.all():
             edges = np.append(start, n)
-            out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
         else:
-            compact = np.append(0, np.cumsum(inside))
-            edges = np.append(compact[start], compact[-1])
-            out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[inside]))])
+            data = data[inside]
+            edges = np.append(np.flatnonzero(cut[:-1][inside]), len(data))
+        out = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
         return out, np.searchsorted(start, at)
 
-    def ids_of(self, names: list[bytes]) -> list[list[int]]:
-        """The ids of these pieces."""
-        merge = self.tokenizer.model.tokenize
-        found = [[t.id for t in merge(x.decode("latin-1").translate(NAMES))] if self.plain and PLAIN.fullmatch(x) else None for x in names]
-        rest = [k for k, x in enumerate(found) if x is None]
+    def ids_of(self, names: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of these pieces: where each one's begin, how many there are, and all of them."""
+        plain = of_one_kind(*S.utf8(names)) if self.plain else np.zeros(len(names), bool)
+        rest = np.flatnonzero(~plain)
+        data, at = S.utf8(names.filter(pa.array(plain)))
+        letters = with_end(LETTERS[data], at, 0x0A)[0].astype("<u4").tobytes().decode("utf-32-le").split("\n")  # no byte's letter is a line feed
+        merge, flat, size = self.tokenizer.model.tokenize, [], []
+        for x in letters[:-1]:
+            ids = [t.id for t in merge(x)]
+            flat += ids
+            size.append(len(ids))
         fast = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         for low in range(0, len(rest), 50_000):
-            part = rest[low : low + 50_000]
-            for k, e in zip(part, fast([names[k].decode() for k in part], add_special_tokens=False), strict=True):
-                found[k] = e.ids
-        return found
+            for e in fast([x.decode() for x in names.take(rest[low : low + 50_000]).to_pylist()], add_special_tokens=False):
+                flat += e.ids
+                size.append(len(e.ids))
+        order = np.concatenate([np.flatnonzero(plain), rest])
+        base, sizes = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        sizes[order] = size
+        base[order] = np.cumsum(sizes[order]) - sizes[order]
+        return base, sizes, np.array(flat, np.uint32)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids (32 bits), and each row's first one (with the number of ids at the end)."""
         pieces, first = self.pieces(*S.utf8(column))
         named = pieces.dictionary_encode()
-        names = named.dictionary.to_pylist()
-        known = self.memory
-        new = [x for x in names if x not in known]
-        if len(known) + len(new) > REMEMBERED and known:
+        both = pa.concat_arrays([self.memory, named.dictionary]).dictionary_encode()  # remembered pieces keep their numbers
+        if len(both.dictionary) > REMEMBERED and len(self.memory):
             self.forget()
-            known, new = self.memory, names
-        known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-        found = self.ids_of(new)
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        self.base = np.append(self.base, len(self.flat) + np.cumsum(size) - size)
+            both = named.dictionary.dictionary_encode()
+        known = len(self.memory)
+        base, size, flat = self.ids_of(both.dictionary[known:])
+        self.memory = both.dictionary
+        self.base = np.append(self.base, len(self.flat) + base)
         self.size = np.append(self.size, size)
-        self.flat = np.append(self.flat, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(size.sum())))
-        of = np.fromiter((known[x] for x in names), np.int64, len(names))[named.indices.to_numpy()]
+        self.flat = np.append(self.flat, flat)
+        of = both.indices.to_numpy()[known:][named.indices.to_numpy()]
         count = self.size[of]
         ids = self.flat[np.repeat(self.base[of], count) + R.ramp(count)]
         return ids, np.append(0, np.cumsum(count))[first]

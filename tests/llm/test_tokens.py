@@ -1,4 +1,5 @@
 import random
+import sys
 import zlib
 from collections import defaultdict
 
@@ -32,6 +33,40 @@ def test_same_ids_as_whole_texts(name):
         assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == want
 
 
+WIDE = "\u0085\u00a0\u1680\u2000\u2005\u200a\u2028\u2029\u202f\u205f\u3000"
+NEAR_WIDE = "\u0084\u0086\u00a1\u1681\u167f\u200b\u2010\u2019\u2027\u202a\u205e\u2060\u2fff\u3001×÷Þß"
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_same_ids_around_wide_spaces_and_when_memory_is_full(name, monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 60)
+    whole, coder = Tokenizer.from_file(tokenizer(name)), tokens.Encoder(tokenizer(name))
+    blocks = [["", ""], [" \n\t ", " "], [x for c in WIDE + NEAR_WIDE for x in (c, f"Ab{c}cd", f"one two {c} three.", f"{c}x")], *[random_texts(seed, 6) for seed in range(8)], []]
+    for texts in blocks:
+        ids, first = coder.encode(pa.array(texts, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == [x.ids for x in whole.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_steps_for_each_piece(name):
+    """Pieces that are known take no step of Python's, new ones three."""
+    n, coder = 5000, tokens.Encoder(tokenizer(name))
+    column = pa.array([" ".join("".join(chr(97 + k // 26**j % 26) for j in range(4)) for k in range(n))])
+
+    def calls():
+        seen = []
+        sys.setprofile(lambda frame, event, arg: seen.append(1) if event in ("call", "c_call") else None)
+        try:
+            coder.encode(column)
+        finally:
+            sys.setprofile(None)
+        return len(seen)
+
+    coder.encode(pa.array(["warm up"]))
+    assert calls() < 3.5 * n
+    assert calls() < n / 5
+
+
 @pytest.fixture(scope="module")
 def documents(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("tokens")
