@@ -24,6 +24,7 @@ treated alike (ties in the smallest doc_id are all kept); a very long text is on
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -113,34 +114,39 @@ def digests(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack([S.mixed(s[first[1:]] - s[first[:-1]] + size, 52) for s in sums], axis=1)
 
 
+def signatures(batches: Iterator[pa.RecordBatch], trees: int) -> Iterator[pa.RecordBatch]:
+    """Nodes and signatures of these rows (doc_id, text, row), a small block at a time."""
+    for rows in S.blocks(batches, S.SMALL_BLOCK_BYTES):
+        values, first = shingle_sets(rows.column("text"))
+        some = np.flatnonzero(np.diff(first))
+        sig = minima(values, first, trees).reshape(len(some), trees, DEPTH).astype(np.uint64)
+        key = np.full((len(some), trees), U(1))
+        for k in range(FLOOR):
+            key = S.mixed(key * U(S.BASES[0]) + sig[:, :, k], 60)
+        key = S.mixed(key + np.arange(trees, dtype=np.uint64), 61)
+        deep = sig[:, :, FLOOR] << U(32) | sig[:, :, FLOOR + 1]
+        node = digests(values, first)[some].tobytes()
+        missing = np.diff(first) == 0
+        place = np.cumsum(~missing) - 1
+        take = pa.array(place, mask=missing)
+        lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * trees, pa.int32()), pa.array(x.reshape(-1).view(np.int64))).take(take)  # noqa: B023, E731
+        yield pa.RecordBatch.from_pydict(
+            {
+                "doc_id": rows.column("doc_id"),
+                "row": rows.column("row"),
+                "n_shingles": np.diff(first),
+                "node": pa.array([node[16 * k : 16 * k + 16] for k in range(len(some))], pa.binary()).take(take),
+                "keys": lists(key),
+                "deeper": lists(deep),
+            }
+        )
+
+
 def sign(docs: DataFrame, trees: int) -> DataFrame:
     """The stored nodes and signatures of all rows; rows without shingles have no node."""
 
     def signed(batches):
-        for rows in S.blocks(batches):
-            values, first = shingle_sets(rows.column("text"))
-            some = np.flatnonzero(np.diff(first))
-            sig = minima(values, first, trees).reshape(len(some), trees, DEPTH).astype(np.uint64)
-            key = np.full((len(some), trees), U(1))
-            for k in range(FLOOR):
-                key = S.mixed(key * U(S.BASES[0]) + sig[:, :, k], 60)
-            key = S.mixed(key + np.arange(trees, dtype=np.uint64), 61)
-            deep = sig[:, :, FLOOR] << U(32) | sig[:, :, FLOOR + 1]
-            node = digests(values, first)[some].tobytes()
-            missing = np.diff(first) == 0
-            place = np.cumsum(~missing) - 1
-            take = pa.array(place, mask=missing)
-            lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * trees, pa.int32()), pa.array(x.reshape(-1).view(np.int64))).take(take)  # noqa: B023, E731
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": rows.column("doc_id"),
-                    "row": rows.column("row"),
-                    "n_shingles": np.diff(first),
-                    "node": pa.array([node[16 * k : 16 * k + 16] for k in range(len(some))], pa.binary()).take(take),
-                    "keys": lists(key),
-                    "deeper": lists(deep),
-                }
-            )
+        yield from signatures(batches, trees)
 
     return S.stored(rows_of(docs).mapInArrow(S.tidy(signed), SIGNED), "signatures")
 
@@ -149,7 +155,7 @@ def sets_of(docs: DataFrame, owners: DataFrame) -> DataFrame:
     """The stored shingle sets (node, hashes) of the nodes that these rows have."""
 
     def cut(batches):
-        for rows in S.blocks(batches):
+        for rows in S.blocks(batches, S.SMALL_BLOCK_BYTES):
             values, first = shingle_sets(rows.column("text"))
             own = digests(values, first)
             flat = [values[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]

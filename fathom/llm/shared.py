@@ -17,6 +17,8 @@ from fathom import runtime
 
 #: Bytes of text that one block holds at most, if it has more than one document.
 BLOCK_BYTES = 4 << 20
+#: The same for functions whose arrays take dozens of times a block's bytes: executors hold such a worker for each core beside a grown heap.
+SMALL_BLOCK_BYTES = 1 << 20
 #: `[^\x20\x09-\x0D]+`
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 

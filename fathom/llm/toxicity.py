@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, n_fit: int = N_FIT) -> Model:
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def look(batches):
-        for rows in S.blocks(batches):
+        for rows in S.blocks(batches, S.SMALL_BLOCK_BYTES):
             row, feature = present(rows.column("text"), sent.value)
             ends = np.searchsorted(row, np.arange(rows.num_rows + 1))
             yield pa.RecordBatch.from_pydict({"toxic": rows.column("toxic"), "features": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(feature, pa.int32()))})
@@ -177,7 +177,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
-        for rows in S.blocks(batches):
+        for rows in S.blocks(batches, S.SMALL_BLOCK_BYTES):
             yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "score": sent.value.scores(rows.column("text"))})
 
     out = S.texts(docs).mapInArrow(S.tidy(score), "doc_id long, score double")
@@ -190,7 +190,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def keep(batches):
-        for rows in S.blocks(batches):
+        for rows in S.blocks(batches, S.SMALL_BLOCK_BYTES):
             yield rows.filter(pa.array(model.value.scores(rows.column("text")) < THRESHOLD))
 
     return docs.mapInArrow(S.tidy(keep), docs.schema)

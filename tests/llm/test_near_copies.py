@@ -1,7 +1,9 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fathom.llm import components, near_copies
@@ -135,3 +137,19 @@ def test_bitmap():
         only = sum(int(v).bit_count() for v in x & ~y)
         assert only <= len(set(a.tolist()) - set(b.tolist()))
         assert n != 30 or only > 5
+
+
+def test_memory_of_signatures():
+    r = random.Random(3)
+    words = [f"w{k}" for k in range(5000)]
+    texts = [" ".join(r.choices(words, k=1000)) for _ in range(1500)] + [None, ""]  # 8 MB in one batch
+    ids = pa.array(range(len(texts)), pa.int64())
+    rows = pa.RecordBatch.from_pydict({"doc_id": ids, "text": pa.array(texts, pa.string()), "row": ids})
+    tracemalloc.start()
+    out = [(x.column("doc_id").to_pylist(), x.column("n_shingles").to_pylist()) for x in near_copies.signatures(iter([rows]), near_copies.trees_for(near_copies.STAGE_PERCENT))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    near_copies.S.clean_up()
+    assert [d for ids, _ in out for d in ids] == list(range(len(texts)))
+    assert [n for _, sizes in out for n in sizes] == [len(shingles(t)) for t in texts]
+    assert peak < 96 << 20, peak
